@@ -34,6 +34,8 @@ def order_events(events: DataFrame, order: Sequence[str], block_rows: int = BLOC
     ``order`` must be unique within a case. Unless the caller vouches for
     ``max_case_rows``, one pass over ``case_id`` counts the events per case first.
     """
+    if block_rows < 2:
+        raise ValueError("a block must hold at least two events")
     if max_case_rows is not None and max_case_rows <= block_rows:
         return _order_whole_cases(events, order)
     sizes = events.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_rows)
