@@ -198,8 +198,7 @@ def _bindings(operator: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable
 
 def _binding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = events_log(spark, sf_dir)
-    graph = discovery.discovered_graph(log, SENSITIVE)
-    return _joined(B.binding_counts(B.output_bindings(log, graph), B.input_bindings(log, graph)))
+    return _joined(B.binding_counts(log, discovery.discovered_graph(log, SENSITIVE)))
 
 
 def entry(spark: SparkSession) -> DataFrame:

@@ -108,7 +108,7 @@ def test_bindings(case, spark):
     for c, side, a, s in {(c, side, a, tuple(sorted(s))) for (c, _, side, a), s in expected.items()}:
         tallies[a, side, s] = tallies.get((a, side, s), 0) + 1
     assert {(r.activity, r.side, tuple(r.binding)): r.n
-            for r in binding_counts(outputs, inputs).collect()} == tallies
+            for r in binding_counts(log, graph).collect()} == tallies
 
 
 def staged(seed, cases=40):

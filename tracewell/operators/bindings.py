@@ -18,48 +18,51 @@ SUCC, PRED = "SUCC", "PRED"
 
 def output_bindings(log: DataFrame, graph: DataFrame) -> DataFrame:
     """``case_id, pos, activity, binding``: the sorted successors each event is linked to."""
-    return _bindings(log, graph, "successors", "predecessors", F.asc("pos"))
+    return event_bindings(log, graph, [SUCC]).drop("side")
 
 
 def input_bindings(log: DataFrame, graph: DataFrame) -> DataFrame:
     """``case_id, pos, activity, binding``: the sorted predecessors each event is linked to."""
-    return _bindings(log, graph, "predecessors", "successors", F.desc("pos"))
+    return event_bindings(log, graph, [PRED]).drop("side")
 
 
-def _bindings(log: DataFrame, graph: DataFrame, neighbours: str, others: str, direction) -> DataFrame:
-    # Every event stands in line for each neighbour, and in its own line if it is anyone's.
-    own = F.when(F.size(others) > 0, F.array("activity")).otherwise(F.array().cast("array<string>"))
+def event_bindings(log: DataFrame, graph: DataFrame, sides: list[str]) -> DataFrame:
+    """``case_id, pos, activity, side, binding`` on the given sides, in one pass."""
+    # Every event stands in line for each neighbour on a side, and in its own line if it is
+    # anyone's neighbour there. Inputs are looked for backwards.
+    def in_line(side: str) -> str:
+        near, far, step = (
+            ("successors", "predecessors", "pos") if side == SUCC else ("predecessors", "successors", "-pos"))
+        return f"""transform(array_union({near}, if(size({far}) > 0, array(activity), array())), s -> named_struct(
+            'side', '{side}', 'step', {step}, 'neighbour', s,
+            'waits', array_contains({near}, s), 'arrives', s = activity))"""
+
     lines = (
         log.select("case_id", "block", "pos", "activity").join(adjacency(graph), "activity")
-        .withColumn("neighbour", F.explode(F.array_union(neighbours, own)))
-        .select("case_id", "block", "pos", "activity", "neighbour",
-                F.array_contains(neighbours, F.col("neighbour")).alias("waits"),
-                (F.col("neighbour") == F.col("activity")).alias("arrives")))
-    in_block = Window.partitionBy("case_id", "block", "neighbour").orderBy(direction)
+        .selectExpr("case_id", "block", "pos", "activity", f"inline(concat({', '.join(map(in_line, sides))}))"))
+    in_block = Window.partitionBy("case_id", "block", "side", "neighbour").orderBy("step")
     met = (
         lines.withColumn("met", F.lead("arrives").over(in_block))
         .withColumn("n", F.row_number().over(in_block)))
 
     # In cases cut into blocks, the last in line of a block looks at the first in line of the
     # next block that has any: two rows per block and line are enough for that.
-    across = Window.partitionBy("case_id", "neighbour").orderBy(direction)
-    ends = (
-        met.filter(F.col("block").isNotNull() & ((F.col("n") == 1) | F.col("met").isNull()))
+    across = Window.partitionBy("case_id", "side", "neighbour").orderBy("step")
+    beyond = (
+        met.filter("block IS NOT NULL AND (n = 1 OR met IS NULL)")
         .withColumn("met_beyond", F.lead("arrives").over(across))
-        .filter(F.col("met").isNull() & F.col("met_beyond") & F.col("waits")))
+        .filter("met IS NULL AND met_beyond AND waits"))
 
-    columns = ["case_id", "pos", "activity", "neighbour"]
+    columns = ["case_id", "pos", "activity", "side", "neighbour"]
     return (
-        met.filter(F.col("met") & F.col("waits")).select(columns).unionByName(ends.select(columns))
-        .groupBy("case_id", "pos", "activity")
-        .agg(F.array_sort(F.collect_list("neighbour")).alias("binding")))
+        met.filter("met AND waits").select(columns).unionByName(beyond.select(columns))
+        .groupBy("case_id", "pos", "activity", "side")
+        .agg(F.expr("array_sort(collect_list(neighbour)) AS binding")))
 
 
-def binding_counts(outputs: DataFrame, inputs: DataFrame) -> DataFrame:
+def binding_counts(log: DataFrame, graph: DataFrame) -> DataFrame:
     """``activity, side, binding, n``: number of cases in which the binding occurs."""
-    def sided(bindings: DataFrame, side: str) -> DataFrame:
-        return bindings.select("case_id", "activity", F.lit(side).alias("side"), "binding")
-
     return (
-        sided(outputs, SUCC).unionByName(sided(inputs, PRED)).distinct()
+        event_bindings(log, graph, [SUCC, PRED])
+        .select("case_id", "activity", "side", "binding").distinct()
         .groupBy("activity", "side", "binding").agg(F.count(F.lit(1)).alias("n")))

@@ -84,15 +84,25 @@ def successor_counts(log: DataFrame, counting: str = "last_wins") -> DataFrame:
 
 
 def dependency_counts(log: DataFrame, counting: str = "last_wins") -> DataFrame:
-    """``rel, a, b, c1, c2``: all tallies in one table. ``COUNT`` rows have a = b and c2 = 0."""
-    def tagged(rel: str, tally: DataFrame) -> DataFrame:
-        return tally.select(F.lit(rel).alias("rel"), "a", "b", "c1", "c2")
+    """``rel, a, b, c1, c2``: all tallies in one table. ``COUNT`` rows have a = b and c2 = 0.
 
-    counts = activity_trace_count(log).select(
-        F.col("activity").alias("a"), F.col("activity").alias("b"), F.col("n").alias("c1"),
-        F.lit(0).cast("bigint").alias("c2"))
-    return (
-        tagged(COUNT, counts)
-        .unionByName(tagged(DIRECT, direct_counts(log, counting)))
-        .unionByName(tagged(LOOP2, loop2_counts(log, counting)))
-        .unionByName(tagged(SUCCESSOR, successor_counts(log, counting))))
+    One pass finds all sightings of activities, direct pairs and two-step loops; the pass for
+    the successors reads the same shuffled events.
+    """
+    x, y, z = F.col("activity"), F.col("next1"), F.col("next2")
+
+    def sighting(rel: str, a, b, fwd):
+        return F.struct(F.lit(rel).alias("rel"), a.alias("a"), b.alias("b"), fwd.alias("fwd"))
+
+    a, b = F.least(x, y), F.greatest(x, y)
+    count = sighting(COUNT, x, x, F.lit(True))
+    direct = sighting(DIRECT, a, b, x <= y)
+    loop2 = sighting(LOOP2, a, b, x < y)
+    sightings = log.select("case_id", "pos", F.inline(
+        F.when(y.isNull(), F.array(count))
+        .when((z == x) & (y != x), F.array(count, direct, loop2))
+        .otherwise(F.array(count, direct))))
+    near = oriented_pairs(sightings, ["case_id", "rel", "a", "b"], counting).groupBy("rel", "a", "b").agg(
+        F.count_if("forward").alias("c1"), F.count_if("backward").alias("c2"))
+    return near.unionByName(
+        successor_counts(log, counting).select(F.lit(SUCCESSOR).alias("rel"), "a", "b", "c1", "c2"))

@@ -47,22 +47,16 @@ def follow_flags(log: DataFrame, counting: str = "last_wins") -> DataFrame:
 
 def footprint(log: DataFrame, counting: str = "last_wins") -> DataFrame:
     """``a, b, relation`` for all ordered pairs of activities. A self-loop is ``->``."""
-    both = F.col("forward") & F.col("backward")
-    one_way = (
-        F.when(both, F.array(F.lit("||"), F.lit("||")))
-        .when(F.col("forward"), F.array(F.lit("->"), F.lit("<-")))
-        .otherwise(F.array(F.lit("<-"), F.lit("->"))))
+    # A pair fills two cells of the matrix, a self-loop only one.
     seen = (
-        follow_flags(log, counting).withColumn("rel", one_way)
-        .select(F.inline(F.when(
-            F.col("a") == F.col("b"),
-            F.array(F.struct("a", "b", F.col("rel")[0].alias("relation"))))
-            .otherwise(F.array(
-                F.struct("a", "b", F.col("rel")[0].alias("relation")),
-                F.struct(F.col("b").alias("a"), F.col("a").alias("b"), F.col("rel")[1].alias("relation")))))))
+        follow_flags(log, counting)
+        .selectExpr("a", "b", "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '->' ELSE '<-' END AS there",
+                    "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '<-' ELSE '->' END AS back")
+        .selectExpr("stack(2, a, b, there, if(a = b, NULL, b), a, back) AS (a, b, relation)")
+        .filter("a IS NOT NULL"))
     cells = activity_alphabet(log).select(
         F.col("activity").alias("a"), sorted_names(log).scalar().alias("names")).select(
-        "a", F.explode("names").alias("b"))
+        "a", F.explode_outer("names").alias("b"))
     return cells.join(seen, ["a", "b"], "left").select(
         "a", "b", F.coalesce("relation", F.lit("#")).alias("relation"))
 

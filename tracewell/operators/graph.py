@@ -7,9 +7,8 @@ edges ``src, dst`` without duplicates.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.measures import positive_direct, positive_loop2, positive_successor
@@ -31,107 +30,131 @@ DEFAULTS = Thresholds()
 
 
 def loops_len1(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return positive_direct(measures).filter(
-        (F.col("src") == F.col("dst")) & (F.col("measure") >= t.loop1)).select("src", "dst")
+    return positive_direct(measures).filter(_is_loop(t)).select("src", "dst")
 
 
-def loops_len2(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    """Two-step loops neither end of which loops in one step."""
-    loops1 = loops_len1(measures, t)
+def _is_loop(t: Thresholds) -> str:
+    return f"(src = dst AND measure >= {t.loop1}D)"
+
+
+def _nodes(measures: DataFrame, t: Thresholds) -> DataFrame:
+    """``activity, best_out, best_in, loops``: strongest edge to and from another activity, and
+    whether the activity is a one-step loop."""
     return (
-        positive_loop2(measures).filter(F.col("measure") >= t.loop2).select("src", "dst")
-        .join(loops1.select("src"), "src", "left_anti")
-        .join(loops1.select("dst"), "dst", "left_anti")
-        .select("src", "dst"))
+        positive_direct(measures)
+        .selectExpr("measure", f"{_is_loop(t)} AS loop", "if(src <> dst, measure, NULL) AS to_other",
+                    "stack(2, src, true, dst, false) AS (activity, leaves)")
+        .groupBy("activity").agg(
+            F.expr("max(to_other) FILTER (WHERE leaves) AS best_out"),
+            F.expr("max(to_other) FILTER (WHERE NOT leaves) AS best_in"),
+            F.expr("bool_or(loop) AS loops")))
 
 
-def _best(measures: DataFrame, end: str) -> DataFrame:
-    strongest_first = Window.partitionBy(end).orderBy(F.desc("measure"))
+def _loops_len2(measures: DataFrame, nodes: DataFrame, t: Thresholds) -> DataFrame:
+    """Two-step loops and the best measures of the far end."""
     return (
-        positive_direct(measures).filter(F.col("src") != F.col("dst"))
-        .withColumn("place", F.rank().over(strongest_first))
-        .filter(F.col("place") == 1).select("src", "dst", "measure"))
+        positive_loop2(measures).filter(f"measure >= {t.loop2}D").select("src", "dst")
+        .join(nodes.selectExpr("activity AS src", "loops AS src_loops"), "src", "left")
+        .join(nodes.selectExpr("activity AS dst", "loops AS dst_loops", "best_out", "best_in"), "dst", "left")
+        .filter("NOT coalesce(src_loops, false) AND NOT coalesce(dst_loops, false)"))
 
 
-def best_successors(measures: DataFrame) -> DataFrame:
-    """The strongest edges out of each activity, all of them on a tie."""
-    return _best(measures, "src").select("src", "dst")
+def loops_len2(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Two-step loops neither end of which loops in one step."""
+    return _loops_len2(measures, _nodes(measures, t), t).select("src", "dst")
 
 
-def best_predecessors(measures: DataFrame) -> DataFrame:
-    """The strongest edges into each activity, all of them on a tie."""
-    return _best(measures, "dst").select("src", "dst")
+def _edges(measures: DataFrame, t: Thresholds) -> DataFrame:
+    """Positive direct measures, with the best measure at either end and whether it is weak.
 
+    The best edges at an end all have the same measure, so they are weak together: when it is
+    below the threshold and the activity is in a two-step loop with a partner whose best
+    measure at the same end is clearly stronger.
+    """
+    nodes = _nodes(measures, t)
+    partners = _loops_len2(measures, nodes, t).groupBy(F.col("src").alias("activity")).agg(
+        F.max("best_out").alias("partner_out"), F.max("best_in").alias("partner_in"))
 
-def _weak(measures: DataFrame, end: str, t: Thresholds) -> DataFrame:
-    """Best edges below the threshold whose activity is in a two-step loop with a partner
-    that has a clearly stronger best edge at the same end."""
-    best = _best(measures, end)
-    weak = best.filter(F.col("measure") < t.dependency).withColumn("activity", F.col(end))
-    stronger = best.select(F.col(end).alias("partner"), F.col("measure").alias("stronger"))
-    loops2 = loops_len2(measures, t).toDF("activity", "partner")
+    def weak(end: str) -> str:
+        return (f"coalesce(best_{end} < {t.dependency}D AND partner_{end} - best_{end} > {t.relative}D, false)"
+                f" AS weak_{end}")
+
+    judged = nodes.join(partners, "activity", "left").selectExpr(
+        "activity", "best_out", "best_in", weak("out"), weak("in"))
     return (
-        weak.join(loops2, "activity").join(stronger, "partner")
-        .filter(F.col("stronger") - F.col("measure") > t.relative)
-        .select("src", "dst").distinct())
+        positive_direct(measures)
+        .join(judged.selectExpr("activity AS src", "best_out", "weak_out"), "src")
+        .join(judged.selectExpr("activity AS dst", "best_in", "weak_in"), "dst"))
 
 
-def weak_out(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _weak(measures, "src", t)
+def _is_best(end: str) -> str:
+    return f"(src <> dst AND measure = best_{end})"
 
 
-def weak_in(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _weak(measures, "dst", t)
+def _is_strong(end: str) -> str:
+    return f"({_is_best(end)} AND NOT weak_{end})"
 
 
-def _strong(measures: DataFrame, end: str, t: Thresholds) -> DataFrame:
-    return _best(measures, end).join(_weak(measures, end, t), ["src", "dst"], "left_anti")
+def _is_accepted(end: str, t: Thresholds) -> str:
+    """Above the threshold, or hardly weaker than a strong best edge at the same end."""
+    return f"(measure >= {t.dependency}D OR (NOT weak_{end} AND best_{end} - measure < {t.relative}D))"
 
 
-def strong_out(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _strong(measures, "src", t).select("src", "dst")
+def _where(measures: DataFrame, t: Thresholds, condition: str) -> DataFrame:
+    return _edges(measures, t).filter(condition).select("src", "dst")
 
 
-def strong_in(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _strong(measures, "dst", t).select("src", "dst")
+def best_successors(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The strongest edges out of each activity, all of them on a tie."""
+    return _where(measures, t, _is_best("out"))
 
 
-def _accepted(measures: DataFrame, end: str, t: Thresholds) -> DataFrame:
-    """Edges above the threshold, or hardly weaker than a strong edge at the same end."""
-    # Being close to any strong edge is being close to the weakest of them.
-    strong = _strong(measures, end, t).groupBy(end).agg(F.min("measure").alias("nearest"))
-    return (
-        positive_direct(measures).join(strong, end, "left")
-        .filter((F.col("measure") >= t.dependency) | (F.col("nearest") - F.col("measure") < t.relative))
-        .select("src", "dst"))
+def best_predecessors(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """The strongest edges into each activity, all of them on a tie."""
+    return _where(measures, t, _is_best("in"))
+
+
+def weak_out(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Best successors given up because a two-step-loop partner has a stronger one."""
+    return _where(measures, t, f"{_is_best('out')} AND weak_out")
+
+
+def weak_in(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    """Best predecessors given up because a two-step-loop partner has a stronger one."""
+    return _where(measures, t, f"{_is_best('in')} AND weak_in")
+
+
+def strong_out(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    return _where(measures, t, _is_strong("out"))
+
+
+def strong_in(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
+    return _where(measures, t, _is_strong("in"))
 
 
 def accepted_out(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _accepted(measures, "src", t)
+    return _where(measures, t, _is_accepted("out", t))
 
 
 def accepted_in(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return _accepted(measures, "dst", t)
+    return _where(measures, t, _is_accepted("in", t))
 
 
 def long_distance(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    return positive_successor(measures).filter(F.col("measure") > t.long_distance).select("src", "dst")
+    return positive_successor(measures).filter(f"measure > {t.long_distance}D").select("src", "dst")
 
 
 def dependency_graph(measures: DataFrame, t: Thresholds = DEFAULTS) -> DataFrame:
-    parts = [
-        loops_len1(measures, t), loops_len2(measures, t), strong_in(measures, t), strong_out(measures, t),
-        accepted_out(measures, t), accepted_in(measures, t), long_distance(measures, t)]
-    return reduce(DataFrame.unionByName, parts).distinct()
+    """All one- and two-step loops, strong best edges, accepted edges and long-distance edges."""
+    direct = _where(measures, t, " OR ".join([
+        _is_loop(t), _is_strong("out"), _is_strong("in"), _is_accepted("out", t), _is_accepted("in", t)]))
+    return direct.unionByName(loops_len2(measures, t)).unionByName(long_distance(measures, t)).distinct()
 
 
 def adjacency(graph: DataFrame) -> DataFrame:
     """``activity, successors, predecessors``: sorted neighbours of every activity on an edge."""
-    ends = graph.select(F.inline(F.array(
-        F.struct(F.col("src").alias("activity"), F.col("dst").alias("successor"),
-                 F.lit(None).cast("string").alias("predecessor")),
-        F.struct(F.col("dst").alias("activity"), F.lit(None).cast("string").alias("successor"),
-                 F.col("src").alias("predecessor")))))
-    return ends.groupBy("activity").agg(
-        F.array_sort(F.collect_set("successor")).alias("successors"),
-        F.array_sort(F.collect_set("predecessor")).alias("predecessors"))
+    return (
+        graph.selectExpr("stack(2, src, dst, NULL, dst, NULL, src) AS (activity, successor, predecessor)")
+        .groupBy("activity").agg(
+            F.expr("array_sort(collect_set(successor)) AS successors"),
+            F.expr("array_sort(collect_set(predecessor)) AS predecessors")))

@@ -2,71 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.counts import COUNT, DIRECT, LOOP2, SUCCESSOR
 
+_FORWARD, _BACKWARD = "(c1 - c2) / (c1 + c2 + 1)", "(c2 - c1) / (c1 + c2 + 1)"
 
-def _difference(x: str, y: str) -> Column:
-    return (F.col(x) - F.col(y)).cast("double") / (F.col("c1") + F.col("c2") + 1).cast("double")
 
-
-def _of(counts: DataFrame, rel: str) -> DataFrame:
-    return counts.filter(F.col("rel") == rel)
+def _of(counts: DataFrame, rel: str, forward: str, backward: str) -> DataFrame:
+    return counts.filter(f"rel = '{rel}'").selectExpr("a", "b", f"{forward} AS forward", f"{backward} AS backward")
 
 
 def direct_measure(counts: DataFrame) -> DataFrame:
     """``a, b, forward, backward`` of the direct tallies."""
-    loop = F.col("a") == F.col("b")
-    return _of(counts, DIRECT).select(
-        "a", "b",
-        F.when(loop, F.col("c1").cast("double") / (F.col("c1") + 1).cast("double"))
-        .otherwise(_difference("c1", "c2")).alias("forward"),
-        F.when(loop, F.lit(0.0)).otherwise(_difference("c2", "c1")).alias("backward"))
+    return _of(counts, DIRECT, f"if(a = b, c1 / (c1 + 1), {_FORWARD})", f"if(a = b, 0D, {_BACKWARD})")
 
 
 def loop2_measure(counts: DataFrame, loop2: str = "difference") -> DataFrame:
     """Two-step loops: the difference of the tallies, or with ``"paper"`` their sum both ways."""
     if loop2 == "paper":
-        together = (F.col("c1") + F.col("c2")).cast("double") / (F.col("c1") + F.col("c2") + 1).cast("double")
-        forward = backward = together
-    elif loop2 == "difference":
-        forward, backward = _difference("c1", "c2"), _difference("c2", "c1")
-    else:
-        raise ValueError(f"loop2 must be 'difference' or 'paper', not {loop2!r}")
-    return _of(counts, LOOP2).select("a", "b", forward.alias("forward"), backward.alias("backward"))
+        return _of(counts, LOOP2, "(c1 + c2) / (c1 + c2 + 1)", "(c1 + c2) / (c1 + c2 + 1)")
+    if loop2 == "difference":
+        return _of(counts, LOOP2, _FORWARD, _BACKWARD)
+    raise ValueError(f"loop2 must be 'difference' or 'paper', not {loop2!r}")
 
 
 def successor_measure(counts: DataFrame) -> DataFrame:
-    totals = _of(counts, COUNT)
-    gap = F.abs(F.col("count_a") - F.col("count_b"))
-
-    def strength(c: str) -> Column:
-        return F.lit(2.0) * (F.col(c) - gap).cast("double") / (F.col("count_a") + F.col("count_b") + 1).cast("double")
-
-    return (
-        _of(counts, SUCCESSOR)
-        .join(totals.select("a", F.col("c1").alias("count_a")), "a")
-        .join(totals.select("b", F.col("c1").alias("count_b")), "b")
-        .select("a", "b", strength("c1").alias("forward"), strength("c2").alias("backward")))
+    """How often one comes before the other, less the difference of their own tallies."""
+    totals = counts.filter(f"rel = '{COUNT}'")
+    joined = (
+        counts.join(totals.selectExpr("a", "c1 AS n_a"), "a").join(totals.selectExpr("b", "c1 AS n_b"), "b"))
+    return _of(joined, SUCCESSOR, "2D * (c1 - abs(n_a - n_b)) / (n_a + n_b + 1)",
+               "2D * (c2 - abs(n_a - n_b)) / (n_a + n_b + 1)")
 
 
 def directed_measures(counts: DataFrame, loop2: str = "difference") -> DataFrame:
     """``rel, src, dst, measure``: both directions of every measure as rows."""
-    def rows(rel: str, measures: DataFrame) -> DataFrame:
-        return measures.select(F.lit(rel).alias("rel"), F.inline(F.array(
-            F.struct(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("forward").alias("measure")),
-            F.struct(F.col("b").alias("src"), F.col("a").alias("dst"), F.col("backward").alias("measure")))))
-
     return (
-        rows(DIRECT, direct_measure(counts))
-        .unionByName(rows(LOOP2, loop2_measure(counts, loop2)))
-        .unionByName(rows(SUCCESSOR, successor_measure(counts))))
+        direct_measure(counts).withColumn("rel", F.lit(DIRECT))
+        .unionByName(loop2_measure(counts, loop2).withColumn("rel", F.lit(LOOP2)))
+        .unionByName(successor_measure(counts).withColumn("rel", F.lit(SUCCESSOR)))
+        .selectExpr("rel", "stack(2, a, b, forward, b, a, backward) AS (src, dst, measure)"))
 
 
 def _positive(measures: DataFrame, rel: str) -> DataFrame:
-    return measures.filter((F.col("rel") == rel) & (F.col("measure") > 0)).select("src", "dst", "measure")
+    return measures.filter(f"rel = '{rel}' AND measure > 0").select("src", "dst", "measure")
 
 
 def positive_direct(measures: DataFrame) -> DataFrame:

@@ -26,42 +26,35 @@ def _loop_free_sets(fp: DataFrame) -> DataFrame:
 
 def _grow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """All pairs one activity larger. ``more_in`` and ``more_out`` hold what still fits."""
-    def later(candidates: str, chosen: str):
-        return F.filter(candidates, lambda v: v > F.try_element_at(chosen, F.lit(-1)))
+    def later(candidates: str, chosen: str) -> str:
+        return f"filter({candidates}, v -> v > try_element_at({chosen}, -1))"
 
-    no_outputs = F.size("out_set") == 0
-    outputs = F.when(no_outputs, F.col("more_out")).otherwise(later("more_out", "out_set"))
-    inputs = F.when(no_outputs, later("more_in", "in_set")).otherwise(F.array().cast("array<string>"))
-    steps = F.concat(
-        F.transform(inputs, lambda v: F.struct(v.alias("activity"), F.lit(True).alias("as_input"))),
-        F.transform(outputs, lambda v: F.struct(v.alias("activity"), F.lit(False).alias("as_input"))))
-    grown = pairs.withColumn("step", F.explode(steps)).select(
-        "in_set", "out_set", "more_in", "more_out", "step.*").join(sets, "activity")
+    def steps(candidates: str, as_input: str) -> str:
+        return f"transform({candidates}, v -> named_struct('activity', v, 'as_input', {as_input}))"
 
-    as_input = F.col("as_input")
-    added = F.array("activity")
-
-    def still(candidates: str, if_input: str, if_output: str):
-        return F.array_except(
-            F.array_intersect(candidates, F.when(as_input, F.col(if_input)).otherwise(F.col(if_output))), added)
+    def still(candidates: str, if_input: str, if_output: str) -> str:
+        return (f"array_remove(array_intersect({candidates}, if(as_input, {if_input}, {if_output})), activity)"
+                f" AS {candidates}")
 
     return (
-        grown.select(
-            F.when(as_input, F.concat("in_set", added)).otherwise(F.col("in_set")).alias("in_set"),
-            F.when(as_input, F.col("out_set")).otherwise(F.concat("out_set", added)).alias("out_set"),
-            still("more_in", "unrelated", "preceders").alias("more_in"),
-            still("more_out", "followers", "unrelated").alias("more_out"))
-        .filter((F.size("out_set") > 0) | (F.size("more_out") > 0)))
+        pairs.selectExpr("*", f"""inline(if(size(out_set) = 0,
+            concat({steps(later("more_in", "in_set"), "true")}, {steps("more_out", "false")}),
+            {steps(later("more_out", "out_set"), "false")}))""")
+        .join(sets, "activity")
+        .selectExpr(
+            "if(as_input, array_append(in_set, activity), in_set) AS in_set",
+            "if(as_input, out_set, array_append(out_set, activity)) AS out_set",
+            still("more_in", "unrelated", "preceders"),
+            still("more_out", "followers", "unrelated"))
+        .filter("size(out_set) > 0 OR size(more_out) > 0"))
 
 
 def _all_pairs(fp: DataFrame) -> DataFrame:
     sets = materialize(_loop_free_sets(fp), "relation-sets")
     level = materialize(
-        sets.filter(F.size("followers") > 0).select(
-            F.array("activity").alias("in_set"),
-            F.array().cast("array<string>").alias("out_set"),
-            F.array_except("unrelated", F.array("activity")).alias("more_in"),
-            F.col("followers").alias("more_out")),
+        sets.filter("size(followers) > 0").selectExpr(
+            "array(activity) AS in_set", "cast(array() AS array<string>) AS out_set",
+            "array_remove(unrelated, activity) AS more_in", "followers AS more_out"),
         "places")
     levels = [level]
     while not level.isEmpty():

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from tracewell.functions.storage import materialize
-from tracewell.operators.bindings import binding_counts, input_bindings, output_bindings
+from tracewell.operators.bindings import binding_counts
 from tracewell.operators.counts import dependency_counts
 from tracewell.operators.footprint import footprint
 from tracewell.operators.graph import DEFAULTS, Thresholds, dependency_graph
@@ -35,8 +35,7 @@ def discovered_graph(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "
 def causal_net(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "last_wins",
                loop2: str = "difference") -> DataFrame:
     """``activity, side, binding, n``: the binding counts of a log."""
-    graph = discovered_graph(log, t, counting, loop2)
-    return binding_counts(output_bindings(log, graph), input_bindings(log, graph))
+    return binding_counts(log, discovered_graph(log, t, counting, loop2))
 
 
 def discovered_places(log: DataFrame, counting: str = "last_wins") -> DataFrame:
