@@ -24,7 +24,7 @@ LOG_COLUMNS = ["case_id", "pos", "block", "activity", "next1", "next2"]
 
 
 def block_of(pos: Column, block_rows: int) -> Column:
-    return F.floor((pos - 1) / F.lit(block_rows)).cast("bigint")
+    return F.call_function("div", pos.cast("bigint") - 1, F.lit(block_rows))
 
 
 def order_events(events: DataFrame, order: Sequence[str], block_rows: int = BLOCK_ROWS,

@@ -11,35 +11,67 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.storage import materialize
 from tracewell.operators.graph import adjacency
 
 SUCC, PRED = "SUCC", "PRED"
 
 
-def output_bindings(log: DataFrame, graph: DataFrame) -> DataFrame:
+# Neighbours that fit in one non-negative bigint, a bit each.
+MAX_BITS = 63
+
+
+def output_bindings(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``case_id, pos, activity, binding``: the sorted successors each event is linked to."""
-    return event_bindings(log, graph, [SUCC]).drop("side")
+    links, decode = _links(log, graph, [SUCC], max_bits)
+    return links.selectExpr("case_id", "pos", "activity", decode)
 
 
-def input_bindings(log: DataFrame, graph: DataFrame) -> DataFrame:
+def input_bindings(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``case_id, pos, activity, binding``: the sorted predecessors each event is linked to."""
-    return event_bindings(log, graph, [PRED]).drop("side")
+    links, decode = _links(log, graph, [PRED], max_bits)
+    return links.selectExpr("case_id", "pos", "activity", decode)
 
 
-def event_bindings(log: DataFrame, graph: DataFrame, sides: list[str]) -> DataFrame:
-    """``case_id, pos, activity, side, binding`` on the given sides, in one pass."""
+def binding_counts(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+    """``activity, side, binding, n``: number of cases in which the binding occurs."""
+    links, decode = _links(log, graph, [SUCC, PRED], max_bits)
+    return (
+        links.select("case_id", "activity", "side", "linked").distinct()
+        .groupBy("activity", "side", "linked").agg(F.count(F.lit(1)).alias("n"))
+        .selectExpr("activity", "side", decode, "n"))
+
+
+def _links(log: DataFrame, graph: DataFrame, sides: list[str], max_bits: int) -> tuple[DataFrame, str]:
+    """``case_id, pos, activity, side, linked`` for every event linked to something, and the SQL
+    that turns ``linked`` into the column ``binding``.
+
+    With few activities ``linked`` is a set of bits, so that grouping needs no arrays.
+    """
+    nodes = materialize(adjacency(graph), "adjacency")
+    names = [r[0] for r in nodes.select("activity").limit(max_bits + 1).collect()]
+    if len(names) <= max_bits:
+        # Bits in name order, so that decoding yields sorted names.
+        listed = "array(" + ", ".join(map(_quoted, sorted(names))) + ")" if names else "array('')"
+        code = f"cast(array_position({listed}, s) - 1 AS int)"
+        collect = "bit_or(shiftleft(1L, neighbour)) AS linked"
+        decode = f"filter({listed}, (name, i) -> linked & shiftleft(1L, i) <> 0) AS binding"
+    else:
+        code, collect, decode = "s", "array_sort(collect_list(neighbour)) AS linked", "linked AS binding"
+
     # Every event stands in line for each neighbour on a side, and in its own line if it is
     # anyone's neighbour there. Inputs are looked for backwards.
     def in_line(side: str) -> str:
-        near, far, step = (
-            ("successors", "predecessors", "pos") if side == SUCC else ("predecessors", "successors", "-pos"))
+        near, far, direction = ("successors", "predecessors", 1) if side == SUCC else ("predecessors", "successors", -1)
         return f"""transform(array_union({near}, if(size({far}) > 0, array(activity), array())), s -> named_struct(
-            'side', '{side}', 'step', {step}, 'neighbour', s,
+            'side', '{side}', 'direction', {direction}, 'neighbour', {code},
             'waits', array_contains({near}, s), 'arrives', s = activity))"""
 
+    roles = nodes.selectExpr("activity", f"concat({', '.join(map(in_line, sides))}) AS roles")
     lines = (
-        log.select("case_id", "block", "pos", "activity").join(adjacency(graph), "activity")
-        .selectExpr("case_id", "block", "pos", "activity", f"inline(concat({', '.join(map(in_line, sides))}))"))
+        log.select("case_id", "block", "pos", "activity").join(roles, "activity")
+        .selectExpr("case_id", "block", "pos", "activity", "inline(roles)")
+        .withColumn("step", F.expr("pos * direction")))
     in_block = Window.partitionBy("case_id", "block", "side", "neighbour").orderBy("step")
     met = (
         lines.withColumn("met", F.lead("arrives").over(in_block))
@@ -54,15 +86,12 @@ def event_bindings(log: DataFrame, graph: DataFrame, sides: list[str]) -> DataFr
         .filter("met IS NULL AND met_beyond AND waits"))
 
     columns = ["case_id", "pos", "activity", "side", "neighbour"]
-    return (
+    links = (
         met.filter("met AND waits").select(columns).unionByName(beyond.select(columns))
-        .groupBy("case_id", "pos", "activity", "side")
-        .agg(F.expr("array_sort(collect_list(neighbour)) AS binding")))
+        .groupBy("case_id", "pos", "activity", "side").agg(F.expr(collect)))
+    return links, decode
 
 
-def binding_counts(log: DataFrame, graph: DataFrame) -> DataFrame:
-    """``activity, side, binding, n``: number of cases in which the binding occurs."""
-    return (
-        event_bindings(log, graph, [SUCC, PRED])
-        .select("case_id", "activity", "side", "binding").distinct()
-        .groupBy("activity", "side", "binding").agg(F.count(F.lit(1)).alias("n")))
+def _quoted(name: str) -> str:
+    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{escaped}'"

@@ -12,6 +12,7 @@ which marking it turns every marking into, and these tables are chained in a tre
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -24,80 +25,108 @@ from tracewell.operators.net import SINK, SOURCE
 MAX_MARKINGS = 4096
 # Blocks chained per step of the tree.
 FAN_IN = 1024
+# Places that fit in one non-negative bigint, a bit each.
+MAX_BITS = 63
 
 
 def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "skip",
-                      max_markings: int = MAX_MARKINGS) -> DataFrame:
+                      max_markings: int = MAX_MARKINGS, max_bits: int = MAX_BITS) -> DataFrame:
     """``case_id, accepted``. ``pre_post`` is the table of ``pre_post_places``; an event that
     cannot fire is skipped, or with ``on_disabled="reject"`` rejects its case."""
     if on_disabled not in ("skip", "reject"):
         raise ValueError(f"on_disabled must be 'skip' or 'reject', not {on_disabled!r}")
     pre_post = materialize(pre_post, "pre-post")
-    long = log.filter(F.col("block").isNotNull())
-    whole = _verdict(
-        _block_events(log.filter(F.col("block").isNull()), pre_post)
-        .select("case_id", _fold(F.array(F.lit(SOURCE)), "events", on_disabled).alias("state")))
+    rules = _rules(pre_post, on_disabled, max_bits)
+    long = log.filter("block IS NOT NULL")
+    whole = rules.verdict(
+        rules.block_events(log.filter("block IS NULL"))
+        .selectExpr("case_id", f"{rules.after(rules.start)} AS state"))
     if long.isEmpty():
         return whole
     steps = _unfold(pre_post, on_disabled, max_markings)
     if steps is None:
-        return whole.unionByName(_replay_in_turn(long, pre_post, on_disabled))
+        return whole.unionByName(_replay_in_turn(long, rules))
     return whole.unionByName(_replay_in_parallel(long, steps))
 
 
 def log_fitness(conformance: DataFrame) -> DataFrame:
     """One row ``accepted, cases, fitness``."""
-    totals = conformance.agg(
-        F.count_if("accepted").alias("accepted"), F.count(F.lit(1)).alias("cases"))
-    return totals.select(
-        "accepted", "cases",
-        F.try_divide(F.col("accepted").cast("double"), F.col("cases").cast("double")).alias("fitness"))
-
-
-def _block_events(log: DataFrame, pre_post: DataFrame) -> DataFrame:
-    """Events per case and block in order, each with its places; null places if unknown."""
-    return (
-        log.join(pre_post, "activity", "left")
-        .groupBy("case_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "pre", "post"))).alias("events")))
-
-
-def _fire(marking: Column, pre: Column, post: Column) -> Column:
-    return F.array_sort(F.array_union(F.array_except(marking, pre), post))
-
-
-def _fold(marking: Column, events: str, on_disabled: str) -> Column:
-    """The marking after the events, null when they reject the case."""
-    def step(state: Column, event: Column) -> Column:
-        fired = _fire(state, event["pre"], event["post"])
-        enabled = F.size(F.array_except(event["pre"], state)) == 0
-        stuck = state if on_disabled == "skip" else F.lit(None).cast("array<string>")
+    return conformance.selectExpr("count_if(accepted) AS accepted", "count(1) AS cases").selectExpr(
+        "accepted", "cases", "try_divide(accepted, cases) AS fitness")
+
+
+@dataclass(frozen=True)
+class _Rules:
+    """How a marking changes: ``net`` has the input and output places of each activity as
+    ``pre`` and ``post``, the texts are SQL. A rejected case has the state ``dead``."""
+
+    net: DataFrame
+    start: str
+    final: str
+    dead: str
+    is_closed: str
+    is_enabled: str
+    fire: str
+    stuck: str
+
+    def block_events(self, log: DataFrame) -> DataFrame:
+        """Events per case and block in order, each with its places; null places if unknown."""
         return (
-            F.when(state.isNull() | event["pre"].isNull() | F.array_contains(state, SINK),
-                   F.lit(None).cast("array<string>"))
-            .when(enabled, fired).otherwise(stuck))
-
-    return F.aggregate(events, marking.cast("array<string>"), step)
-
-
-def _verdict(states: DataFrame) -> DataFrame:
-    return states.select(
-        "case_id", F.coalesce(F.col("state") == F.array(F.lit(SINK)), F.lit(False)).alias("accepted"))
-
-
-def _replay_in_turn(long: DataFrame, pre_post: DataFrame, on_disabled: str) -> DataFrame:
+            log.join(self.net, "activity", "left").groupBy("case_id", "block")
+            .agg(F.expr("sort_array(collect_list(struct(pos, pre, post))) AS events")))
+
+    def after(self, state: str) -> str:
+        """The state after the events of a block."""
+        return f"""aggregate(events, {state}, (s, e) -> CASE
+            WHEN e.pre IS NULL OR {self.is_closed} THEN {self.dead}
+            WHEN {self.is_enabled} THEN {self.fire} ELSE {self.stuck} END)"""
+
+    def verdict(self, states: DataFrame) -> DataFrame:
+        return states.selectExpr("case_id", f"coalesce(state = {self.final}, false) AS accepted")
+
+
+def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
+    others = materialize(
+        pre_post.selectExpr("explode(array_union(pre, post)) AS place").distinct()
+        .filter(~F.col("place").isin(SOURCE, SINK)), "places")
+    if others.count() + 2 > max_bits:
+        dead = "cast(NULL AS array<string>)"
+        return _Rules(
+            pre_post, start=f"array('{SOURCE}')", final=f"array('{SINK}')", dead=dead,
+            is_closed=f"s IS NULL OR array_contains(s, '{SINK}')",
+            is_enabled="size(array_except(e.pre, s)) = 0",
+            fire="array_union(array_except(s, e.pre), e.post)",
+            stuck="s" if on_disabled == "skip" else dead)
+    # The source is bit 0, the sink bit 1, and a rejected case -1.
+    bits = others.agg(F.collect_list("place").alias("places")).selectExpr(
+        f"posexplode(concat(array('{SOURCE}', '{SINK}'), places)) AS (bit, place)")
+    net = (
+        pre_post.selectExpr("activity", """inline(concat(array(named_struct('place', cast(NULL AS string), 'is_pre', true)),
+            transform(pre, p -> named_struct('place', p, 'is_pre', true)),
+            transform(post, p -> named_struct('place', p, 'is_pre', false))))""")
+        .join(bits, "place", "left").groupBy("activity").agg(
+            F.expr("coalesce(bit_or(shiftleft(1L, bit)) FILTER (WHERE is_pre), 0L) AS pre"),
+            F.expr("coalesce(bit_or(shiftleft(1L, bit)) FILTER (WHERE NOT is_pre), 0L) AS post")))
+    return _Rules(
+        materialize(net, "net-bits"), start="1L", final="2L", dead="-1L", is_closed="s < 0 OR s & 2L = 2L",
+        is_enabled="s & e.pre = e.pre", fire="(s & ~e.pre) | e.post", stuck="s" if on_disabled == "skip" else "-1L")
+
+
+def _replay_in_turn(long: DataFrame, rules: _Rules) -> DataFrame:
     """One round per block: exact for any net, with as many rounds as the longest case has blocks."""
-    blocks = materialize(_block_events(long, pre_post), "block-events")
+    blocks = materialize(rules.block_events(long), "block-events")
     last = blocks.agg(F.max("block")).first()[0]
-    states = blocks.filter(F.col("block") == 0).select(
-        "case_id", F.array(F.lit(SOURCE)).alias("state"))
+    states = blocks.filter("block = 0").selectExpr("case_id", f"{rules.start} AS state")
     for block in range(last + 1):
         states = materialize(
             states.join(blocks.filter(F.col("block") == block), "case_id", "left")
-            .select("case_id", F.when(F.col("events").isNull(), F.col("state"))
-                    .otherwise(_fold(F.col("state"), "events", on_disabled)).alias("state")),
+            .selectExpr("case_id", f"if(events IS NULL, state, {rules.after('state')}) AS state"),
             "replay-states")
-    return _verdict(states)
+    return rules.verdict(states)
+
+
+def _fire(marking: Column, pre: Column, post: Column) -> Column:
+    return F.array_sort(F.array_union(F.array_except(marking, pre), post))
 
 
 def _unfold(pre_post: DataFrame, on_disabled: str, max_markings: int) -> DataFrame | None:
@@ -181,7 +210,7 @@ def _replay_in_parallel(long: DataFrame, net: DataFrame) -> DataFrame:
             lambda now, k: F.when(k.isNull(), rejects).otherwise(_then(now, F.get("moves", k)))).alias("effect")))
     # Three steps of FAN_IN chain a billion blocks; the fourth is the whole case.
     for width in (FAN_IN, FAN_IN ** 2, FAN_IN ** 3, None):
-        group = F.lit(0).cast("bigint") if width is None else F.floor(F.col("block") / F.lit(width)) * width
+        group = F.lit(0) if width is None else F.col("block") - F.col("block") % F.lit(width)
         effects = (
             effects.groupBy("case_id", group.cast("bigint").alias("block"))
             .agg(F.array_sort(F.collect_list(F.struct("block", "effect"))).alias("parts"))

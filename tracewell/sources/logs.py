@@ -90,11 +90,17 @@ def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -
 
 
 def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
-                     block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Event log of a table that holds one array of activity names per row; no shuffle."""
+                     block_rows: int = BLOCK_ROWS, by_case: bool = False) -> DataFrame:
+    """Event log of a table that holds one array of activity names per row.
+
+    Needs no shuffle. With ``by_case`` the arrays are hash-partitioned by case before they are
+    spread into events, so that operators that group by case need not shuffle the events.
+    """
+    traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"))
+    if by_case:
+        traces = traces.repartition("case_id")
     return (
-        df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"))
-        .select("case_id", F.posexplode("trace").alias("i", "activity"), "trace")
+        traces.select("case_id", F.posexplode("trace").alias("i", "activity"), "trace")
         .select(
             "case_id",
             (F.col("i") + 1).cast("bigint").alias("pos"),
