@@ -11,16 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewell.functions.storage import materialize
+from tracewell.functions.bits import MAX_BITS, bit_sql, few_names, from_bits_sql
 from tracewell.operators.graph import adjacency
 
 SUCC, PRED = "SUCC", "PRED"
 
 
-# Neighbours that fit in one non-negative bigint, a bit each.
-MAX_BITS = 63
-
-
 def output_bindings(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """``case_id, pos, activity, binding``: the sorted successors each event is linked to."""
     links, decode = _links(log, graph, [SUCC], max_bits)
@@ -46,18 +42,15 @@ def _links(log: DataFrame, graph: DataFrame, sides: list[str], max_bits: int) ->
     """``case_id, pos, activity, side, linked`` for every event linked to something, and the SQL
     that turns ``linked`` into the column ``binding``.
 
-    With few activities ``linked`` is a set of bits, so that grouping needs no arrays.
+    With few activities ``linked`` is a set of bits, so that grouping needs no arrays. ``graph``
+    is read twice and should be a written table.
     """
-    nodes = materialize(adjacency(graph), "adjacency")
-    names = [r[0] for r in nodes.select("activity").limit(max_bits + 1).collect()]
-    if len(names) <= max_bits:
-        # Bits in name order, so that decoding yields sorted names.
-        listed = "array(" + ", ".join(map(_quoted, sorted(names))) + ")" if names else "array('')"
-        code = f"cast(array_position({listed}, s) - 1 AS int)"
-        collect = "bit_or(shiftleft(1L, neighbour)) AS linked"
-        decode = f"filter({listed}, (name, i) -> linked & shiftleft(1L, i) <> 0) AS binding"
-    else:
+    names = few_names(graph.selectExpr("explode(array(src, dst))"), max_bits)
+    if names is None:
         code, collect, decode = "s", "array_sort(collect_list(neighbour)) AS linked", "linked AS binding"
+    else:
+        code, collect = bit_sql(names, "s"), "bit_or(shiftleft(1L, neighbour)) AS linked"
+        decode = f"{from_bits_sql(names, 'linked')} AS binding"
 
     # Every event stands in line for each neighbour on a side, and in its own line if it is
     # anyone's neighbour there. Inputs are looked for backwards.
@@ -67,7 +60,7 @@ def _links(log: DataFrame, graph: DataFrame, sides: list[str], max_bits: int) ->
             'side', '{side}', 'direction', {direction}, 'neighbour', {code},
             'waits', array_contains({near}, s), 'arrives', s = activity))"""
 
-    roles = nodes.selectExpr("activity", f"concat({', '.join(map(in_line, sides))}) AS roles")
+    roles = adjacency(graph).selectExpr("activity", f"concat({', '.join(map(in_line, sides))}) AS roles")
     lines = (
         log.select("case_id", "block", "pos", "activity").join(roles, "activity")
         .selectExpr("case_id", "block", "pos", "activity", "inline(roles)")
@@ -91,7 +84,3 @@ def _links(log: DataFrame, graph: DataFrame, sides: list[str], max_bits: int) ->
         .groupBy("case_id", "pos", "activity", "side").agg(F.expr(collect)))
     return links, decode
 
-
-def _quoted(name: str) -> str:
-    escaped = name.replace("\\", "\\\\").replace("'", "\\'")
-    return f"'{escaped}'"

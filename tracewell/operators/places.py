@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tracewell.functions.storage import materialize
 from tracewell.operators.footprint import relation_sets
 
+# Activities added between two written intermediate results.
+STEPS_PER_ROUND = 3
+
 
 def _loop_free_sets(fp: DataFrame) -> DataFrame:
     loop_free = fp.filter((F.col("a") == F.col("b")) & (F.col("relation") == "#")).select("a")
@@ -51,17 +54,20 @@ def _grow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _all_pairs(fp: DataFrame) -> DataFrame:
     sets = materialize(_loop_free_sets(fp), "relation-sets")
-    level = materialize(
-        sets.filter("size(followers) > 0").selectExpr(
-            "array(activity) AS in_set", "cast(array() AS array<string>) AS out_set",
-            "array_remove(unrelated, activity) AS more_in", "followers AS more_out"),
-        "places")
-    levels = [level]
-    while not level.isEmpty():
+    seeds = sets.filter("size(followers) > 0").selectExpr(
+        "array(activity) AS in_set", "cast(array() AS array<string>) AS out_set",
+        "array_remove(unrelated, activity) AS more_in", "followers AS more_out")
+    batches, last = [], seeds
+    while not batches or not last.isEmpty():
+        grown = []
+        for step in range(STEPS_PER_ROUND):
+            last = _grow(last, sets)
+            grown.append(last.withColumn("step", F.lit(step)))
         # Rebalancing spreads the offspring of prolific pairs over all tasks.
-        level = materialize(_grow(level, sets).hint("rebalance"), "places")
-        levels.append(level)
-    return reduce(DataFrame.unionByName, levels).filter(F.size("out_set") > 0)
+        batch = materialize(reduce(DataFrame.unionByName, grown).hint("rebalance"), "places")
+        batches.append(batch.drop("step"))
+        last = batch.filter(F.col("step") == STEPS_PER_ROUND - 1).drop("step")
+    return reduce(DataFrame.unionByName, batches).filter("size(out_set) > 0")
 
 
 def place_candidates(fp: DataFrame) -> DataFrame:

@@ -35,8 +35,8 @@ def word_count(lines: DataFrame, column: str) -> DataFrame:
     Empty words between and before spaces count, those at the end of a line do not; an
     empty line is one empty word, a line of spaces only is none.
     """
-    line = F.col(column)
-    words = F.when((line == "") | line.rlike("[^ ]"), F.split(F.regexp_replace(line, " +$", ""), " "))
+    line, trimmed = F.col(column), F.rtrim(column)
+    words = F.when((line == "") | (trimmed != ""), F.split(trimmed, " "))
     return (
         lines.select(F.explode(words).alias("word"))
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")))

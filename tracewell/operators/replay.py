@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.bits import MAX_BITS, few_names, to_bits_sql
 from tracewell.functions.storage import materialize
 from tracewell.operators.net import SINK, SOURCE
 
@@ -25,8 +26,6 @@ from tracewell.operators.net import SINK, SOURCE
 MAX_MARKINGS = 4096
 # Blocks chained per step of the tree.
 FAN_IN = 1024
-# Places that fit in one non-negative bigint, a bit each.
-MAX_BITS = 63
 
 
 def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "skip",
@@ -86,10 +85,10 @@ class _Rules:
 
 
 def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
-    others = materialize(
-        pre_post.selectExpr("explode(array_union(pre, post)) AS place").distinct()
-        .filter(~F.col("place").isin(SOURCE, SINK)), "places")
-    if others.count() + 2 > max_bits:
+    places = few_names(
+        pre_post.selectExpr("explode(array_union(pre, post)) AS place")
+        .filter(~F.col("place").isin(SOURCE, SINK)), max_bits - 2)
+    if places is None:
         dead = "cast(NULL AS array<string>)"
         return _Rules(
             pre_post, start=f"array('{SOURCE}')", final=f"array('{SINK}')", dead=dead,
@@ -98,17 +97,11 @@ def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
             fire="array_union(array_except(s, e.pre), e.post)",
             stuck="s" if on_disabled == "skip" else dead)
     # The source is bit 0, the sink bit 1, and a rejected case -1.
-    bits = others.agg(F.collect_list("place").alias("places")).selectExpr(
-        f"posexplode(concat(array('{SOURCE}', '{SINK}'), places)) AS (bit, place)")
-    net = (
-        pre_post.selectExpr("activity", """inline(concat(array(named_struct('place', cast(NULL AS string), 'is_pre', true)),
-            transform(pre, p -> named_struct('place', p, 'is_pre', true)),
-            transform(post, p -> named_struct('place', p, 'is_pre', false))))""")
-        .join(bits, "place", "left").groupBy("activity").agg(
-            F.expr("coalesce(bit_or(shiftleft(1L, bit)) FILTER (WHERE is_pre), 0L) AS pre"),
-            F.expr("coalesce(bit_or(shiftleft(1L, bit)) FILTER (WHERE NOT is_pre), 0L) AS post")))
+    places = [SOURCE, SINK, *places]
+    net = pre_post.selectExpr(
+        "activity", f"{to_bits_sql(places, 'pre')} AS pre", f"{to_bits_sql(places, 'post')} AS post")
     return _Rules(
-        materialize(net, "net-bits"), start="1L", final="2L", dead="-1L", is_closed="s < 0 OR s & 2L = 2L",
+        net, start="1L", final="2L", dead="-1L", is_closed="s < 0 OR s & 2L = 2L",
         is_enabled="s & e.pre = e.pre", fire="(s & ~e.pre) | e.post", stuck="s" if on_disabled == "skip" else "-1L")
 
 

@@ -21,9 +21,8 @@ from tracewell.operators.replay import trace_conformance
 
 
 def measured(log: DataFrame, counting: str = "last_wins", loop2: str = "difference") -> DataFrame:
-    """Directed measures of a log, written once."""
-    counts = materialize(dependency_counts(log, counting), "dependency-counts")
-    return materialize(directed_measures(counts, loop2), "measures")
+    """Directed measures of a log, over tallies written once."""
+    return directed_measures(materialize(dependency_counts(log, counting), "dependency-counts"), loop2)
 
 
 def discovered_graph(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "last_wins",
