@@ -1,0 +1,202 @@
+"""Three hand-checked logs with the expected result of every stage."""
+
+from functools import reduce
+
+import pytest
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tracewell.operators import counts as D
+from tracewell.operators import footprint as FP
+from tracewell.operators import graph as G
+from tracewell.operators import measures as M
+from tracewell.operators.net import connect_source_sink, event_places_map, pre_post_places, workflow_net
+from tracewell.operators.places import maximal_places, place_candidates
+from tracewell.operators.profile import activity_alphabet, activity_index, end_activities, start_activities
+from tracewell.operators.replay import log_fitness, trace_conformance
+from tracewell.plans.discovery import causal_net, discovered_places, replayed
+from tracewell.sources.logs import traces_to_events
+
+# name: traces, thresholds, then per operator the expected edges.
+MICRO = {
+    "choice": dict(
+        traces=[("abcd", 3), ("acbd", 2), ("aed", 1)], t=G.Thresholds(),
+        candidates=10, places="p(a|b,e) p(a|c,e) p(b,e|d) p(c,e|d)", accepted=6,
+        DIRECT="ab30 ac20 ae10 bc32 bd20 cd30 de01", LOOP2="",
+        SUCCESSOR="ab50 ac50 ad60 ae10 bc32 bd50 cd50 de01",
+        direct="ab.7500 ac.6667 ae.5000 bc.1667 bd.6667 cd.7500 ed.5000", loop2="",
+        successor="ab.6667 ac.6667 ad.9231 bc.5455 bd.6667 cb.3636 cd.6667",
+        loops_len1="", loops_len2="", best_successors="ab bd cd ed", best_predecessors="ab ac ae cd",
+        weak_out="", weak_in="", accepted_out="ab bd cd ed", accepted_in="ab ac ae cd", long_distance="ad",
+        dependency_graph="ab ac ad ae bd cd ed",
+        bindings="a/SUCC bc 5,a/SUCC e 1,b/PRED a 3,b/SUCC d 2,c/PRED a 2,c/SUCC d 3,d/PRED bc 5,d/PRED e 1,"
+                 "e/PRED a 1,e/SUCC d 1"),
+    "loops": dict(
+        traces=[("abbc", 4), ("adedec", 3), ("abc", 2), ("ac", 1)], t=G.Thresholds(.9, .7, .7, .7, .05),
+        candidates=6, places="p(a,e|c) p(a|c,d) p(d|e)", accepted=7,
+        DIRECT="ab60 ac10 ad30 bb40 bc60 ce03 de30", LOOP2="de03",
+        SUCCESSOR="ab60 ac:10,0 ad30 ae30 bb40 bc60 cd03 ce03 dd30 de30 ee30",
+        direct="ab.8571 ac.5000 ad.7500 bb.8000 bc.8571 de.7500 ec.7500", loop2="ed.7500",
+        successor="ab.2353 ac.9524 bb.6154 bc.2353 dd.8571 de.8571 ee.8571",
+        loops_len1="bb", loops_len2="ed", best_successors="ab bc de ec", best_predecessors="ab ad bc de",
+        weak_out="", weak_in="", accepted_out="ab bc de ec", accepted_in="ab ad bc de",
+        long_distance="ac dd de ee", dependency_graph="ab ac ad bb bc dd de ec ed ee",
+        bindings="a/SUCC b 6,a/SUCC c 1,a/SUCC d 3,b/PRED a 6,b/PRED b 4,b/SUCC b 4,b/SUCC c 6,c/PRED a 1,"
+                 "c/PRED b 6,c/PRED e 3,d/PRED a 3,d/PRED e 3,d/SUCC e 3,e/PRED d 3,e/SUCC c 3,e/SUCC d 3"),
+    "weak": dict(
+        traces=[("ybxyx", 1), ("yay", 2)], t=G.Thresholds(.9, .7, .5, .95, .05),
+        candidates=4, places="p(a|y) p(b|x) p(y|b) p(y|x)", accepted=0,
+        DIRECT="ay20 bx10 by01 xy01", LOOP2="ay02 xy10", SUCCESSOR="ay20 bx10 by10 xx10 xy01 yy30",
+        direct="ay.6667 bx.5000 yb.5000 yx.5000", loop2="xy.5000 ya.6667", successor=None,
+        loops_len1="", loops_len2="xy ya", best_successors="ay bx yb yx", best_predecessors="ay bx yb yx",
+        weak_out="yb yx", weak_in="bx yx", accepted_out="ay bx", accepted_in="ay yb", long_distance="",
+        dependency_graph="ay bx xy ya yb",
+        bindings="a/PRED y 2,a/SUCC y 2,b/PRED y 1,b/SUCC x 1,x/PRED b 1,x/SUCC y 1,y/PRED a 2,y/PRED x 1,"
+                 "y/SUCC a 2,y/SUCC b 1"),
+}
+
+
+def log_of(spark, traces):
+    rows = [(f"{i}.{k}", list(t)) for i, (t, n) in enumerate(traces) for k in range(n)]
+    return traces_to_events(spark.createDataFrame(rows, "c string, t array<string>"), "c", "t")
+
+
+@pytest.fixture(scope="module", params=MICRO)
+def micro(request, spark):
+    spec = MICRO[request.param]
+    log = log_of(spark, spec["traces"]).cache()
+    counts = D.dependency_counts(log).cache()
+    return spec, log, counts, M.directed_measures(counts).cache()
+
+
+def test_counts(micro):
+    spec, _, counts, _ = micro
+    for rel in ("DIRECT", "LOOP2", "SUCCESSOR"):
+        expected = {}
+        for item in spec[rel].split():
+            c1, c2 = item[3:].split(",") if ":" in item else item[2:]
+            expected[item[0], item[1]] = (int(c1), int(c2))
+        assert {(r.a, r.b): (r.c1, r.c2) for r in counts.filter(f"rel = '{rel}'").collect()} == expected
+
+
+def test_measures(micro):
+    spec, _, _, measures = micro
+    for name in ("direct", "loop2", "successor"):
+        if spec[name] is not None:
+            got = getattr(M, f"positive_{name}")(measures).collect()
+            assert " ".join(sorted(f"{r.src}{r.dst}{r.measure:.4f}".replace("0.", ".") for r in got)) == spec[name]
+
+
+OPERATORS = [
+    "loops_len1", "loops_len2", "best_successors", "best_predecessors", "weak_out", "weak_in", "accepted_out",
+    "accepted_in", "long_distance", "dependency_graph", "strong_out", "strong_in"]
+
+
+def test_graph(micro):
+    spec, _, _, measures = micro
+    edges = reduce(DataFrame.unionByName, [
+        getattr(G, o)(measures, spec["t"]).withColumn("operator", F.lit(o)) for o in OPERATORS]).collect()
+    expected = {o: spec[o].split() for o in OPERATORS if o in spec}
+    for end, best in (("out", "best_successors"), ("in", "best_predecessors")):
+        expected[f"strong_{end}"] = sorted(set(expected[best]) - set(expected[f"weak_{end}"]))
+    assert {o: sorted(r.src + r.dst for r in edges if r.operator == o) for o in OPERATORS} == expected
+
+
+def test_adjacency(micro, spark):
+    spec, _, _, measures = micro
+    got = {r.activity: (r.successors, r.predecessors)
+           for r in G.adjacency(G.dependency_graph(measures, spec["t"])).collect()}
+    edges = spec["dependency_graph"].split()
+    assert got == {x: (sorted(e[1] for e in edges if e[0] == x), sorted(e[0] for e in edges if e[1] == x))
+                   for x in set("".join(edges))}
+
+
+def test_causal_net(micro):
+    spec, log, _, _ = micro
+    got = causal_net(log, spec["t"]).collect()
+    assert ",".join(sorted(f"{r.activity}/{r.side} {''.join(r.binding)} {r.n}" for r in got)) == spec["bindings"]
+
+
+def test_net_and_replay(micro):
+    spec, log, _, _ = micro
+    fp = FP.footprint(log).cache()
+    assert place_candidates(fp).count() == spec["candidates"]
+    assert " ".join(sorted(r.place for r in maximal_places(fp).collect())) == spec["places"]
+    fitness = log_fitness(replayed(log)).first()
+    cases = sum(n for _, n in spec["traces"])
+    assert (fitness.accepted, fitness.cases, fitness.fitness) == (spec["accepted"], cases, spec["accepted"] / cases)
+
+
+def test_footprint_of_choice(spark):
+    fp = FP.footprint(log_of(spark, MICRO["choice"]["traces"])).cache()
+    lines = [r.line for r in FP.footprint_text(fp).orderBy("row_no").collect()]
+    assert lines == [
+        "\ta\tb\tc\td\te\t",
+        "a\t#\t->\t->\t#\t->\t",
+        "b\t<-\t#\t||\t->\t#\t",
+        "c\t<-\t||\t#\t->\t#\t",
+        "d\t#\t<-\t<-\t#\t<-\t",
+        "e\t<-\t#\t#\t->\t#\t"]
+    assert {r.activity: "".join(r.relations) for r in FP.footprint_rows(fp).collect()}["b"] == "<-#||->#"
+    pairs = spark.createDataFrame([("b", "c"), ("d", "a"), ("a", "zz")], "a string, b string")
+    assert {(r.a, r.b): r.relation for r in FP.relation_lookup(pairs, fp).collect()} == {
+        ("b", "c"): "||", ("d", "a"): "#", ("a", "zz"): None}
+    assert FP.connected_pairs(fp).count() == 14
+    assert {r.a + r.b for r in FP.sequence_pairs(fp).collect()} == {"ab", "ac", "ae", "bd", "cd", "ed"}
+    sets = spark.createDataFrame([
+        (1, ["a"], ["b", "e"]), (2, ["a"], ["b", "c"]), (3, ["b", "e"], ["d"]), (4, ["a"], ["d"]),
+        (5, ["zz"], ["a"]), (6, [], []), (7, ["b", "c"], ["d"])], "pair_id int, in_set array<string>, out_set array<string>")
+    assert {r.pair_id: r.connected for r in FP.sets_connected(sets, fp).collect()} == {
+        1: True, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
+
+
+def test_self_loop_is_a_sequence(spark):
+    fp = FP.footprint(log_of(spark, MICRO["loops"]["traces"]))
+    assert {r.a: r.relation for r in fp.filter("a = b").collect()} == {
+        "a": "#", "b": "->", "c": "#", "d": "#", "e": "#"}
+    loops = log_of(spark, MICRO["loops"]["traces"])
+    presence = {(r.a, r.b): r.relation for r in FP.footprint(loops, "presence").collect()}
+    assert presence["d", "e"] == "||"
+
+
+def test_profile_and_net_tables(spark):
+    log = log_of(spark, MICRO["loops"]["traces"])
+    assert [(r.activity, r["index"]) for r in activity_index(log).orderBy("index").collect()] == list(
+        zip("abcde", range(5)))
+    assert [r[0] for r in start_activities(log).collect()] == ["a"]
+    assert [r[0] for r in end_activities(log).collect()] == ["c"]
+    alphabet = activity_alphabet(log)
+    places = discovered_places(log)
+    assert {r.place: (r.in_set, r.out_set) for r in places.collect()} == {
+        "In": ([], ["a"]), "Out": (["c"], []), "p(a,e|c)": (["a", "e"], ["c"]), "p(a|c,d)": (["a"], ["c", "d"]),
+        "p(d|e)": (["d"], ["e"])}
+    assert workflow_net(places).count() == 10
+    assert {r.activity: (r.pre, r.post) for r in pre_post_places(alphabet, places).collect()} == {
+        "a": (["In"], ["p(a,e|c)", "p(a|c,d)"]), "b": ([], []), "c": (["p(a,e|c)", "p(a|c,d)"], ["Out"]),
+        "d": (["p(a|c,d)"], ["p(d|e)"]), "e": (["p(d|e)"], ["p(a,e|c)"])}
+    inner = places.filter("place LIKE 'p%'")
+    assert {r.activity: r.places for r in event_places_map(alphabet, inner).collect()} == {
+        "a": ["p(a,e|c)", "p(a|c,d)"], "b": [], "c": [], "d": ["p(d|e)"], "e": ["p(a,e|c)"]}
+
+
+@pytest.mark.parametrize("on_disabled,accepted", [
+    ("skip", {"abcd", "acbd", "aed", "abcbd"}), ("reject", {"abcd", "acbd", "aed"})])
+def test_replay_of_other_traces(spark, on_disabled, accepted):
+    log = log_of(spark, MICRO["choice"]["traces"])
+    pre_post = pre_post_places(activity_alphabet(log), discovered_places(log))
+    traces = ["abcd", "acbd", "aed", "abd", "axbcd", "aad", "abcdd", "abcbd"]
+    other = traces_to_events(
+        spark.createDataFrame([(t, list(t)) for t in traces], "c string, t array<string>"), "c", "t")
+    got = trace_conformance(other, pre_post, on_disabled).filter("accepted").collect()
+    assert {r.case_id for r in got} == accepted
+
+
+def test_options(spark):
+    log = log_of(spark, MICRO["weak"]["traces"])
+    counts = D.dependency_counts(log)
+    assert {(r.a, r.b): (r.forward, r.backward) for r in M.loop2_measure(counts, "paper").collect()} == {
+        ("a", "y"): (2 / 3, 2 / 3), ("x", "y"): (0.5, 0.5)}
+    for call in (lambda: D.dependency_counts(log, "both"), lambda: D.successor_counts(log, "both"),
+                 lambda: M.loop2_measure(counts, "sum"), lambda: trace_conformance(log, counts, "ignore")):
+        with pytest.raises(ValueError):
+            call()

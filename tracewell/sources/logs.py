@@ -70,7 +70,7 @@ _XES_SCHEMA = T.StructType([
 
 
 def _concept_name(strings: Column) -> Column:
-    return F.filter(strings, lambda s: s["_key"] == "concept:name")[0]["_value"]
+    return F.get(F.filter(strings, lambda s: s["_key"] == "concept:name"), F.lit(0))["_value"]
 
 
 def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
