@@ -90,7 +90,10 @@ def relations(traces, counting="last_wins"):
 
 
 def candidates(traces):
-    names, rel = relations(traces)
+    return candidates_of(*relations(traces))
+
+
+def candidates_of(names, rel):
     subsets = [s for n in range(1, len(names) + 1) for s in combinations(names, n)
                if all(rel[x, y] == "#" for x in s for y in s)]
     return {(a, b) for a in subsets for b in subsets if all(rel[x, y] == "->" for x in a for y in b)}

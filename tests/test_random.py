@@ -137,7 +137,8 @@ def test_places_and_replay(spark, seed, block_rows, max_markings, max_bits, on_d
     found = [(tuple(r.in_set), tuple(r.out_set)) for r in place_candidates(fp).collect()]
     assert len(found) == len(set(found)) and set(found) == pairs
     places = maximal_places(fp).cache()
-    assert {(tuple(r.in_set), tuple(r.out_set)) for r in places.collect()} == brute.maximal(pairs)
+    for rows in (places.collect(), maximal_places(fp, grow_limit=0).collect()):
+        assert sorted((tuple(r.in_set), tuple(r.out_set)) for r in rows) == sorted(brute.maximal(pairs))
 
     pre_post = pre_post_places(activity_alphabet(learn), connect_source_sink(places, learn)).cache()
     net = brute.net_of(list(traces.values()))
@@ -155,3 +156,31 @@ def test_places_and_replay(spark, seed, block_rows, max_markings, max_bits, on_d
     expected = {c: brute.accepts(t, net, on_disabled) for c, t in traces.items()}
     assert got == expected
     assert any(expected.values()) and not all(expected.values())
+
+
+def random_footprint(spark, rng, names):
+    rel = {}
+    for i, a in enumerate(names):
+        rel[a, a] = "->" if rng.random() < 0.1 else "#"
+        for b in names[i + 1:]:
+            rel[a, b], rel[b, a] = rng.choice([("#", "#"), ("#", "#"), ("->", "<-"), ("<-", "->"), ("||", "||")])
+    return rel, spark.createDataFrame([(*k, v) for k, v in rel.items()], "a string, b string, relation string")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_cliques_on_random_footprints(spark, seed):
+    names = "abcdefg"
+    rel, fp = random_footprint(spark, random.Random(seed), names)
+    expected = sorted(brute.maximal(brute.candidates_of(names, rel)))
+    assert sorted((tuple(r.in_set), tuple(r.out_set))
+                  for r in maximal_places(fp, grow_limit=0).collect()) == expected
+
+
+def test_wide_choices_do_not_explode(spark):
+    """Thirty alternatives followed by thirty alternatives: 2^60 places, one maximal."""
+    layers = [[f"{c}{i:02}" for i in range(30)] for c in "pq"]
+    rows = [(a, b, "#" if x == y else ("->" if x < y else "<-"))
+            for x in range(2) for y in range(2) for a in layers[x] for b in layers[y]]
+    fp = spark.createDataFrame(rows, "a string, b string, relation string")
+    (place,) = maximal_places(fp, grow_limit=1000).collect()
+    assert (place.in_set, place.out_set) == (layers[0], layers[1])

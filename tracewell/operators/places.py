@@ -4,6 +4,11 @@ A place has input activities A and output activities B: all of A mutually unrela
 B mutually unrelated, every a -> b. Every part of such a pair is such a pair too, so the pairs
 are grown one activity at a time: first A in name order, then B in name order. Each pair is
 reached in exactly one way and needs no deduplication.
+
+There may be exponentially many such pairs but few maximal ones. Where growing gets out of hand,
+the maximal ones are found without the others: activities as inputs and activities as outputs are
+the nodes of a graph that joins what may be in one place, and the maximal places are its maximal
+cliques with nodes of both kinds (Bron and Kerbosch's search with pivots, one level per round).
 """
 
 from __future__ import annotations
@@ -18,6 +23,8 @@ from tracewell.operators.footprint import relation_sets
 
 # Activities added between two written intermediate results.
 STEPS_PER_ROUND = 3
+# Pairs that a round of growing may give before the search for cliques is preferred.
+GROW_LIMIT = 100_000
 
 
 def _loop_free_sets(fp: DataFrame) -> DataFrame:
@@ -52,13 +59,23 @@ def _grow(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         .filter("size(out_set) > 0 OR size(more_out) > 0"))
 
 
-def _all_pairs(fp: DataFrame) -> DataFrame:
-    sets = materialize(_loop_free_sets(fp), "relation-sets")
+def _written_sets(fp: DataFrame) -> DataFrame:
+    return materialize(_loop_free_sets(fp), "relation-sets")
+
+
+def _all_pairs(sets: DataFrame, limit: int | None = None) -> DataFrame | None:
+    """All possible places, with what still fits; None once a round might give more than ``limit`` pairs."""
     seeds = sets.filter("size(followers) > 0").selectExpr(
         "array(activity) AS in_set", "cast(array() AS array<string>) AS out_set",
         "array_remove(unrelated, activity) AS more_in", "followers AS more_out")
-    batches, last = [], seeds
-    while not batches or not last.isEmpty():
+    # At most this many pairs come out of the next round.
+    offspring = " + ".join(
+        "cast(size(more_in) + size(more_out) AS double)" + " * (size(more_in) + size(more_out))" * step
+        for step in range(STEPS_PER_ROUND))
+    batches, last = [seeds], seeds
+    while bound := last.agg(F.expr(f"sum({offspring})")).first()[0]:
+        if limit is not None and bound > limit:
+            return None
         grown = []
         for step in range(STEPS_PER_ROUND):
             last = _grow(last, sets)
@@ -72,13 +89,80 @@ def _all_pairs(fp: DataFrame) -> DataFrame:
 
 def place_candidates(fp: DataFrame) -> DataFrame:
     """``in_set, out_set``: every possible place, maximal or not."""
-    return _all_pairs(fp).select("in_set", "out_set")
-
-
-def maximal_places(fp: DataFrame) -> DataFrame:
-    """``place, in_set, out_set``: the possible places to which no activity can be added."""
-    return with_place_name(
-        _all_pairs(fp).filter((F.size("more_in") == 0) & (F.size("more_out") == 0)))
+    return _all_pairs(_written_sets(fp)).select("in_set", "out_set")
+
+
+def maximal_places(fp: DataFrame, grow_limit: int = GROW_LIMIT) -> DataFrame:
+    """``place, in_set, out_set``: the possible places to which no activity can be added.
+
+    They are picked from all possible places while no round of growing can give more than
+    ``grow_limit`` pairs, and else found by the search for cliques.
+    """
+    sets = _written_sets(fp)
+    pairs = _all_pairs(sets, grow_limit)
+    if pairs is None:
+        return with_place_name(_maximal_cliques(sets))
+    return with_place_name(pairs.filter("size(more_in) = 0 AND size(more_out) = 0"))
+
+
+def _maximal_cliques(sets: DataFrame) -> DataFrame:
+    # Inputs are tagged <, outputs >. A node no node of the other kind goes with is in no place.
+    def tagged(names: str, tag: str) -> str:
+        return f"transform({names}, v -> concat('{tag}', v))"
+
+    def node(tag: str, same: str, other_tag: str, other: str) -> str:
+        return f"""named_struct('node', concat('{tag}', activity), 'near',
+            concat({tagged(f"array_remove({same}, activity)", tag)}, {tagged(other, other_tag)}))"""
+
+    nodes = materialize(
+        sets.selectExpr(f"""inline(concat(
+            if(size(followers) > 0, array({node("<", "unrelated", ">", "followers")}), array()),
+            if(size(preceders) > 0, array({node(">", "unrelated", "<", "preceders")}), array())))"""),
+        "place-nodes")
+    none = "cast(array() AS array<string>)"
+    # chosen: a clique; open: nodes near all of it, to be tried; tried: such nodes tried elsewhere.
+    states = nodes.agg(F.expr("collect_list(node) AS open")).filter("size(open) > 0").selectExpr(
+        f"{none} AS chosen", "open", f"{none} AS tried")
+    found = []
+    while not states.isEmpty():
+        seen = (
+            states.selectExpr("*", "explode(array_union(open, tried)) AS node").join(nodes, "node")
+            .withColumn("reach", F.expr("size(array_intersect(open, near))"))
+            .groupBy("chosen", "open", "tried").agg(
+                # Open nodes near all other open ones are in every clique from here.
+                F.expr("collect_list(struct(node, near)) FILTER ("
+                       "WHERE reach = size(open) - 1 AND array_contains(open, node)) AS sure"),
+                # Some member of a maximal clique is the pivot or not near it.
+                F.expr("max_by(near, reach) AS pivot")))
+        taken = seen.filter("size(sure) > 0").selectExpr(
+            "array_union(chosen, sure.node) AS chosen", "array_except(open, sure.node) AS open",
+            "aggregate(sure.near, tried, (t, n) -> array_intersect(t, n)) AS tried")
+        branches = (
+            seen.filter("size(sure) = 0")
+            .selectExpr("chosen", "open", "tried", "array_except(open, pivot) AS branch")
+            .selectExpr("chosen", "open", "tried", "branch", "posexplode(branch) AS (i, node)")
+            .withColumn("earlier", F.expr("slice(branch, 1, i)"))
+            .join(nodes, "node")
+            .selectExpr(
+                "array_append(chosen, node) AS chosen",
+                "array_intersect(array_except(open, earlier), near) AS open",
+                "array_intersect(array_union(tried, earlier), near) AS tried"))
+        after = materialize(
+            taken.unionByName(branches)
+            .filter("exists(chosen, v -> v LIKE '<%') OR exists(open, v -> v LIKE '<%')")
+            .filter("exists(chosen, v -> v LIKE '>%') OR exists(open, v -> v LIKE '>%')")
+            .filter("size(open) > 0 OR size(tried) = 0")
+            .hint("rebalance"), "cliques")
+        found.append(after.filter("size(open) = 0"))
+        states = after.filter("size(open) > 0")
+
+    def untagged(tag: str) -> str:
+        return f"array_sort(transform(filter(chosen, v -> v LIKE '{tag}%'), v -> substring(v, 2)))"
+
+    if not found:
+        return states.selectExpr("chosen AS in_set", "chosen AS out_set")
+    return reduce(DataFrame.unionByName, found).selectExpr(
+        f"{untagged('<')} AS in_set", f"{untagged('>')} AS out_set")
 
 
 def with_place_name(places: DataFrame) -> DataFrame:
