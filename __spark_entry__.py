@@ -102,7 +102,7 @@ def _xes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
+    return _table(spark, sf_dir, "documents").select(F.explode_outer(F.split("text", "\n")).alias("line"))
 
 
 def _footprint_text_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -132,5 +132,5 @@ def test_sinks(spark, tmp_path, single_file):
 
 
 def test_written_tables_lie_in_the_shared_folder(spark):
-    assert shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3), "three").inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))

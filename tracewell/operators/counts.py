@@ -63,7 +63,7 @@ def successor_counts(log: DataFrame, counting: str = "last_wins") -> DataFrame:
             F.struct(F.col("first").alias("pos"), F.lit(0).alias("closes"), "activity", repeated.alias("repeated")),
             F.struct(F.col("last").alias("pos"), F.lit(1).alias("closes"), "activity", repeated.alias("repeated")))
     outlines = (
-        per_activity.groupBy("case_id").agg(F.array_sort(F.flatten(F.collect_list(markers))).alias("markers"))
+        per_activity.groupBy("case_id").agg(F.sort_array(F.flatten(F.collect_list(markers))).alias("markers"))
         .select(F.transform("markers", lambda m: F.struct(
             m["activity"].alias("activity"), m["closes"].alias("closes"), m["repeated"].alias("repeated")))
             .alias("outline"))

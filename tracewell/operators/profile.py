@@ -37,6 +37,7 @@ def word_count(lines: DataFrame, column: str) -> DataFrame:
     """
     line, trimmed = F.col(column), F.rtrim(column)
     words = F.when((line == "") | (trimmed != ""), F.split(trimmed, " "))
+    # An outer explode keeps the split from being evaluated a second time to filter empty arrays.
     return (
-        lines.select(F.explode(words).alias("word"))
+        lines.select(F.explode_outer(words).alias("word")).filter("word IS NOT NULL")
         .groupBy("word").agg(F.count(F.lit(1)).alias("n")))

@@ -194,7 +194,7 @@ def _replay_in_parallel(long: DataFrame, net: DataFrame) -> DataFrame:
     effects = (
         long.select("case_id", "block", "pos", "activity").join(index, "activity", "left")
         .groupBy("case_id", "block")
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "k"))).alias("events"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "k"))).alias("events"))
         .select("case_id", "block", F.col("events.k").alias("events"),
                 net.select(F.struct("moves", "size")).scalar().alias("net"))
         .select("case_id", "block", "events", "net.*")
@@ -206,7 +206,7 @@ def _replay_in_parallel(long: DataFrame, net: DataFrame) -> DataFrame:
         group = F.lit(0) if width is None else F.col("block") - F.col("block") % F.lit(width)
         effects = (
             effects.groupBy("case_id", group.cast("bigint").alias("block"))
-            .agg(F.array_sort(F.collect_list(F.struct("block", "effect"))).alias("parts"))
+            .agg(F.sort_array(F.collect_list(F.struct("block", "effect"))).alias("parts"))
             .select("case_id", "block", F.col("parts.effect").alias("parts"))
             .select("case_id", "block", F.aggregate(
                 F.slice("parts", 2, F.size("parts")), F.col("parts")[0], _then).alias("effect")))

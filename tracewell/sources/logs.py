@@ -118,5 +118,5 @@ def build_traces(log: DataFrame) -> DataFrame:
     """
     return (
         log.groupBy("case_id", F.coalesce("block", F.lit(0)).alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("pos", "activity"))).alias("events"))
+        .agg(F.sort_array(F.collect_list(F.struct("pos", "activity"))).alias("events"))
         .select("case_id", "part", F.col("events.activity").alias("trace")))
