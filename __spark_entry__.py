@@ -28,6 +28,14 @@ from tracewell.plans import discovery  # noqa: E402
 from tracewell.sources import logs as S  # noqa: E402
 from tracewell.sources import sinks as W  # noqa: E402
 
+try:  # The subpackage and the pipeline may have been taken out; whatever else is missing is an error.
+    import corpus_pipeline
+    from tracewell.llm import queries as llm
+except ModuleNotFoundError as error:
+    if error.name not in {"corpus_pipeline", "tracewell.llm"}:
+        raise
+    corpus_pipeline = llm = None
+
 # Thresholds under which the weak relations of the events log give every kind of edge.
 SENSITIVE = G.Thresholds(dependency=0.5, loop1=0.995, loop2=0.05, long_distance=0.5, relative=0.02)
 SENSITIVE_SQL = {"a": 0.5, "l1": 0.995, "l2": 0.05, "long": 0.5, "rel": 0.02}
@@ -292,6 +300,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     for operator in (G.loops_len2, G.weak_out, G.strong_out, G.weak_in, G.strong_in, G.accepted_out,
                      G.accepted_in, G.long_distance):
         out[operator.__name__] = _of_measures(operator, SENSITIVE)
+    if llm:
+        out |= llm.queries() | {"pipeline": corpus_pipeline.run}
     return out
 
 
@@ -395,4 +405,8 @@ def oracle_sql() -> dict[str, str]:
                        "strong_in": "strong_in", "accepted_out": "accepted_out", "accepted_in": "accepted_in",
                        "long_distance": "long_distance"}.items():
         out[name] = sql(ev, f"SELECT src, dst FROM {step}", [step], SENSITIVE_SQL)
+    if llm:
+        out |= llm.oracle_sql()
+        if corpus_pipeline.ORACLE_SQL:
+            out["pipeline"] = corpus_pipeline.ORACLE_SQL
     return out
