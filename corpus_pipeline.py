@@ -11,8 +11,8 @@ from tracewell.llm.queries import table, word_vocabulary
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, and what they decode to (operator 3)."""
-    path = word_vocabulary()
-    return bpe.decode(bpe.encode(docs.select("doc_id", "text"), path), path).select("doc_id", "ids", "decoded")
+    docs = bpe.encode(docs.select("doc_id", "text"), word_vocabulary(), decoded="decoded")
+    return docs.select("doc_id", "ids", "decoded")
 
 
 STAGES = [

@@ -19,13 +19,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NONE = np.int64(1 << 40)
 #: Chunks of text kept in a task's cache, and characters of short texts looked at in one go.
-CACHE_CHUNKS, SLICE_CHARS = 400_000, 1 << 21
+CACHE_CHUNKS, SLICE_CHARS = 250_000, 1 << 20
 
 
 @dataclass
@@ -198,22 +201,14 @@ class Encoder:
         whole = np.array([c not in self.cache for c in mixed], bool)  # a chunk of a single mark is known by now
         self.add([c for c, w in zip(mixed, whole, strict=True) if w], ids[np.repeat(whole, size)], size[whole])
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. Chunks of a slice of texts are looked up, and new ones merged, together."""
-        out, i = [], 0
-        while i < len(texts):
-            j, chars = i, 0
-            while j < len(texts) and (j == i or chars + len(texts[j]) <= SLICE_CHARS):
-                chars += len(texts[j])
-                j += 1
-            chunks = [self.chunks(t) for t in texts[i:j]]
-            self.learn(set().union(*chunks))
-            of = [self.at(c) for c in chunks]
-            flat = np.concatenate(of)
-            ends = np.cumsum(self.size[flat])[np.cumsum([len(c) for c in of]) - 1]
-            out += np.split(gathered(self.ids, self.begin[flat], self.size[flat]), ends[:-1])
-            i = j
-        return out
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one text after the other, and how many each has."""
+        chunks = [self.chunks(t) for t in texts]
+        self.learn(set().union(*chunks))
+        of = np.concatenate([self.at(c) for c in chunks])
+        text = np.repeat(np.arange(len(texts)), [len(c) for c in chunks])
+        size = np.bincount(text, self.size[of], len(texts)).astype(np.int64)
+        return gathered(self.ids, self.begin[of], self.size[of]), size
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -231,21 +226,52 @@ def shared_model(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(read_model(path))
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
+def slices(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose lengths come to SLICE_CHARS at most, or of one longer row."""
+    start, total = 0, 0
+    for i, n in enumerate(lengths):
+        if i > start and total + n > SLICE_CHARS:
+            yield start, i
+            start, total = i, 0
+        total += n
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Adds the token ids of each whole text (``array<int>``; null and empty texts give an empty array).
 
     Replaces a column named as ``ids`` if there is one; all other columns stay as they are. Strings of special
-    tokens inside a text become those tokens. Repeated rows stay repeated.
+    tokens inside a text become those tokens. Repeated rows stay repeated. ``decoded`` also adds what decode()
+    makes of the ids, in the same pass.
     """
     model = shared_model(df.sparkSession, path)
-
-    @F.pandas_udf("array<int>")
-    def encoded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = encoder_for(path, model.value)
-        for texts in batches:
-            yield pd.Series(encoder.encode_batch(texts.fillna("").tolist()), dtype=object)
-
-    return df.withColumn(ids, encoded(F.col(f"`{text}`")))
+    new = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
+    kept = [c for c in df.columns if c not in new]
+    source = df.select(F.col(f"`{text}`").cast("string").alias("_source"), *(F.col(f"`{c}`") for c in kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, tokens = encoder_for(path, model.value), np.array(model.value.tokens, object)
+        for batch in batches:
+            lengths = pc.fill_null(pc.utf8_length(batch.column(0)), 0).to_pylist()
+            for a, b in slices(lengths):
+                part = batch.slice(a, b - a)
+                flat, size = encoder.encode([x or "" for x in part.column(0).to_pylist()])
+                arrays = [pa.ListArray.from_arrays(np.r_[0, np.cumsum(size)].astype(np.int32), pa.array(flat, pa.int32()))]
+                if decoded:
+                    arrays.append(pa.array(joined(tokens, flat, size), pa.string()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], *arrays], names=[*kept, *new])
+
+    schema = T.StructType([*source.schema.fields[1:]])
+    for name, kind in new.items():
+        schema = schema.add(name, T.ArrayType(T.IntegerType()) if kind == "array<int>" else T.StringType())
+    return source.mapInArrow(run, schema)
+
+
+def joined(tokens: np.ndarray, flat: np.ndarray, size: np.ndarray) -> list[str]:
+    """The tokens of each run of ids, joined by one space."""
+    ends = np.cumsum(size).tolist()
+    return [" ".join(tokens[flat[b - n:b]].tolist()) for b, n in zip(ends, size.tolist(), strict=True)]
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -263,23 +289,3 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
             yield pd.Series(["" if a is None else " ".join(tokens[a].tolist()) for a in arrays], dtype=object)
 
     return df.withColumn(text, decoded(F.col(f"`{ids}`")))
-
-
-def restore(df: DataFrame, path: str, ids: str = "ids", text: str = "restored") -> DataFrame:
-    """Adds readable text: the bytes behind the tokens, a space after each word end, special tokens left out.
-
-    Bytes that form no character become U+FFFD. White space and letter case of the source are gone.
-    """
-    model = shared_model(df.sparkSession, path)
-
-    @F.pandas_udf("string")
-    def restored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        m, byte = model.value, {c: b for b, c in enumerate(byte_letters())}
-        plain = {*m.special.values()}
-        raw = [b"" if i in plain else bytes(byte[c] for c in t.removesuffix("</w>")) + b" " * t.endswith("</w>")
-               for i, t in enumerate(m.tokens)]
-        for arrays in batches:
-            yield pd.Series(["" if a is None else b"".join(raw[i] for i in a).decode(errors="replace").rstrip(" ")
-                             for a in arrays], dtype=object)
-
-    return df.withColumn(text, restored(F.col(f"`{ids}`")))

@@ -23,9 +23,7 @@ def word_vocabulary() -> str:
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
-    path = word_vocabulary()
-    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    docs = bpe.decode(docs.select("doc_id", "ids"), path)
+    docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary(), decoded="decoded")
     return docs.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
