@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe
+from tracewell.llm import bpe, minhash
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,8 +30,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's group of near copies, on three-word shingles and a similarity of 0.85."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe}
+    return {"op3_bpe": op3_bpe, "op9_near_dedup": op9_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
