@@ -5,8 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewell.functions.storage import new_path
-from tracewell.llm import bpe
-from tracewell.llm.queries import table, word_vocabulary
+from tracewell.llm import bpe, decontaminate, minhash, pii, quality
+from tracewell.llm.queries import PSEUDONYM_KEY, table, word_vocabulary
+
+
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject (operator 6)."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, model, score="_score").where("_score >= 0.5").drop("_score")
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group of near copies (operator 9), and all without an id."""
+    gone = minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by the benchmark (operator 10)."""
+    found = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
+    return found.where(~decontaminate.contaminated()).select(docs.columns)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their personal data under pseudonyms (operator 7)."""
+    return pii.pseudonymised(docs, PSEUDONYM_KEY).select(docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,17 +39,22 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("quality", good),
+    ("near_duplicates", distinct),
+    ("decontamination", clean),
+    ("pseudonyms", private),
     ("bpe", encoded),
 ]
 
-#: No stage before the last has an equivalent in SQL: see tests/llm/test_pipeline.py.
+#: SQL can express neither the trained dictionaries of the first stage nor the last: see tests/llm/test_pipeline.py.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that the last stage makes of ``documents``; what the others make is written to the shared folder."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
-    return docs
+        docs = spark.read.schema(docs.schema).parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, minhash, quality
+from tracewell.llm import bpe, decontaminate, minhash, pii, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,15 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+#: The key of the pseudonyms in the queries and the pipeline; a user keeps an own one secret.
+PSEUDONYM_KEY = "example key"
+
+
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its personal data under pseudonyms, and how many values of each kind that were."""
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of near copies, on three-word shingles and a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
@@ -54,7 +63,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op6_quality": op6_quality, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op3_bpe": op3_bpe, "op6_quality": op6_quality, "op7_pii": op7_pii, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
