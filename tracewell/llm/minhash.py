@@ -102,7 +102,7 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, scheme: Scheme, doc: str, text: str) -> DataFrame:
-    """``doc, n, high, low, bands, signature``: set size, digest of the set, band keys and a byte of each minimum."""
+    """``doc, n, high, low, bands, signature``: set size, digest of the set, band keys and the low byte of each minimum."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         multiply, add = scheme.functions()
@@ -121,7 +121,7 @@ def signatures(docs: DataFrame, scheme: Scheme, doc: str, text: str) -> DataFram
                 yield pd.DataFrame({
                     "doc": part["doc"].array, "n": sizes, "high": digests[:, 0].view(np.int64),
                     "low": digests[:, 1].view(np.int64), "bands": list(band_keys(least, scheme.rows)),
-                    "signature": [x.tobytes() for x in (least >> np.uint32(24)).astype(np.uint8)]})
+                    "signature": [x.tobytes() for x in least.astype(np.uint8)]})
 
     return docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).mapInPandas(
         sign, "doc long, n long, high long, low long, bands array<long>, signature binary")
