@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, lz, minhash, pii, quality
+from tracewell.llm import bpe, decontaminate, lz, minhash, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,16 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymised(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document, by pattern and by the Markov models."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = secrets.found(docs, secrets.fit(docs))
+    return spans.select(
+        "doc_id", *(secrets.count("base", k).alias(f"n_{k}") for k in secrets.PATTERNS),
+        F.sha2(secrets.listed("base"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"),
+        secrets.count("spans", "random").alias("n_random"))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's group of near copies, on three-word shingles and a similarity of 0.85."""
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), minhash.Scheme(words=3, percent=85))
@@ -68,7 +78,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op6_quality": op6_quality, "op7_pii": op7_pii, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
