@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 SHARD_WORDS = 50_000
 #: Characters of documents looked at in one go.
 SLICE_CHARS = 1 << 20
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")  # before letters are lowered
 SPLIT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 or 48 <= b <= 57 else 32 for b in range(256))
 SPANS = "array<struct<begin:int,end:int,`from`:int,`to`:int>>"
 
