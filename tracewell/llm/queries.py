@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, lz, minhash, pii, quality, secrets
+from tracewell.llm import bpe, decontaminate, html, lz, minhash, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_lz_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.edited_and_next(table(spark, sf_dir, "documents"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html.extracted(table(spark, sf_dir, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How likely each document is good, learnt from two thirds of the labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,7 +84,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op5_html": op5_html, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
