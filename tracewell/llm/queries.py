@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, decontaminate, html, lz, minhash, pii, quality, secrets
+from tracewell.llm import bpe, chat, decontaminate, html, licenses, lz, minhash, pii, quality, secrets
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,44 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference pairs: each conversation of even id, and the same with the last answer of the next one.
+
+    In the rejected conversation, what follows the last answer of the chosen one is missing. Without a next
+    conversation, or an answer in it, the rejected one ends before that answer.
+    """
+    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
+    odd, answer = F.col("conv_id") % 2 == 1, F.col("role") == "assistant"
+    pair = Window.partitionBy("pair_id")
+    turns = turns.select(
+        "pair_id", "turn", "role", "text", odd.alias("odd"), answer.alias("answer"),
+        F.max(F.when(answer & ~odd, F.col("turn"))).over(pair).alias("last"),
+        F.max(F.when(answer & odd, F.struct("turn", "text"))).over(pair).alias("other"))
+    is_last = F.coalesce(F.col("turn") == F.col("last"), F.lit(False)) & F.col("answer")
+    kept = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")))
+    same = F.array(F.struct(F.lit("rejected").alias("side"), F.col("text").alias("said")))
+    new = F.array(F.struct(F.lit("rejected").alias("side"), F.col("other.text").alias("said")))
+    sides = turns.where(~F.col("odd")).select("pair_id", "turn", "role", F.inline(
+        F.when(is_last & F.col("other").isNotNull(), F.concat(kept, new))
+        .when(F.col("last").isNull() | (F.col("turn") < F.col("last")), F.concat(kept, same)).otherwise(kept)))
+    pairs = chat.preferences(sides, text="said")
+    spans = {f"{s}_mask": F.array_join(F.transform(f"{s}_mask", lambda m: F.concat_ws(
+        ":", m["start"].cast("string"), m["end"].cast("string"))), ",") for s in ("chosen", "rejected")}
+    return pairs.withColumns(spans)
+
+
+#: A document's place in the made-up file tree of the licence query: one to three directories deep.
+DOCUMENT_PATH = """concat(source, '/', CASE WHEN doc_id % 3 > 0 THEN concat(lang, '/') ELSE '' END,
+    CASE WHEN doc_id % 3 > 1 THEN concat(cast(floor(doc_id / 100) AS string), '/') ELSE '' END,
+    cast(doc_id AS string), '.txt')"""
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, seen as a file; whose licence lines are a tenth of its words speaks for others."""
+    docs = table(spark, sf_dir, "documents").select(F.expr(DOCUMENT_PATH).alias("path"), "text")
+    return licenses.licensed(docs, file_share=0.1)
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     docs = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), word_vocabulary(), decoded="decoded")
@@ -84,7 +122,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op5_html": op5_html, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    return {"op1_preferences": op1_preferences, "op2_licenses": op2_licenses, "op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op5_html": op5_html, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
