@@ -3,8 +3,9 @@
 Texts with equal shingle sets form a class, represented by its smallest document. Representatives meet in the
 buckets of their bands. Each bucket's smallest member, its hub, is compared with all others; after the links
 confirmed so have been joined to components, members that a bucket still holds of different components are
-compared with each other in blocks, inside tasks. So no two similar texts of a bucket stay apart, however
-large it is, and pairs are handed on only if their signatures agree. Links are confirmed on full sets.
+compared with each other in blocks, inside tasks. So no two similar texts of a bucket stay in different
+components, however large it is. Signatures must agree before texts are compared; all links are confirmed on
+full sets.
 """
 
 from __future__ import annotations
@@ -80,6 +81,11 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
 def minima(shingles: np.ndarray, multiply: np.ndarray, add: np.ndarray) -> np.ndarray:
     """The smallest value of each hash function over a set that is not empty; in blocks that fit the cache."""
     folded = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -154,7 +160,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, doc: str, text
         "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
         F.col("hub").alias("id"), F.lit(0).alias("role")))
     texts = docs.select(F.col(f"`{doc}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
-    met = texts.join(ends, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
+    # The same join at every size: the pairs grow with the documents.
+    met = texts.join(ends.hint("merge"), "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, of = None, None
@@ -164,17 +171,20 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, doc: str, text
                 if role == 0:
                     at, of = hub, shingle_set(whole, scheme.words)
                     continue
-                other = shingle_set(whole, scheme.words)
-                both = len(np.intersect1d(of, other, assume_unique=True))
-                if 100 * both >= scheme.percent * (len(of) + len(other) - both):
+                if alike(of, shingle_set(whole, scheme.words), scheme.percent):
                     found.append((at, own))
             yield pd.DataFrame(found, columns=["hub", "doc"], dtype=np.int64)
 
     return met.mapInPandas(compare, "hub long, doc long")
 
 
-def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, scheme: Scheme, block: int) -> DataFrame:
-    """Similar pairs ``hub, doc`` among members of a bucket, but its hub, that are of different components."""
+def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: DataFrame, scheme: Scheme, block: int,
+               doc: str, text: str) -> DataFrame:
+    """Links ``hub, doc`` that join components: between members of a bucket, but its hub, of different ones.
+
+    Members meet in blocks. Those whose signatures agree are compared on their full sets, the likeliest first,
+    unless links found in the same two blocks have joined their components by then.
+    """
     members = shared.where("doc != hub").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component"))
     buckets = members.groupBy("key").agg(
@@ -183,27 +193,31 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, scheme:
     # Many bands give the same bucket; one of each will do.
     keys = buckets.where("least < most").groupBy("n", "who", "which").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("n") / block).alias("blocks"))
-    left = members.join(keys, "key").join(signed.select("doc", "signature"), "doc").withColumn(
-        "own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks"))
+    left = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks"))
+    left = materialize(left, "left-over").join(signed.select("doc", "signature"), "doc")
+    texts = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
     # Each member goes to every pair of blocks that its own block is part of.
-    spread = left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    spread = texts.join(left.hint("merge"), "doc").withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc",
-        "component", "signature").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "own")
+        "component", "signature", "text").repartition("key", "low", "high").sortWithinPartitions(
+        "key", "low", "high", "own")
 
-    def compared(group: pd.DataFrame) -> pd.DataFrame:
+    def linked(group: pd.DataFrame) -> pd.DataFrame:
         signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-        own, component, doc = (group[c].to_numpy() for c in ("own", "component", "doc"))
+        own, root, ids = (group[c].to_numpy().copy() for c in ("own", "component", "doc"))
+        sets = [shingle_set(t, scheme.words) for t in group["text"]]
         apart = group["low"].iat[0] != group["high"].iat[0]
         found = []
         for i in range(len(group) - 1):
-            rest = slice(i + 1, None)
-            wanted = component[rest] != component[i]
-            if apart:
-                wanted &= own[rest] != own[i]
-            if (at := np.flatnonzero(wanted) + i + 1).size:
-                at = at[(signs[at] == signs[i]).sum(axis=1) >= scheme.agreeing]
-                found.append(np.column_stack([np.minimum(doc[at], doc[i]), np.maximum(doc[at], doc[i])]))
-        return pd.DataFrame(np.concatenate([np.empty((0, 2), np.int64), *found]), columns=["hub", "doc"])
+            at = np.flatnonzero((root[i + 1:] != root[i]) & (not apart or own[i + 1:] != own[i])) + i + 1
+            agree = (signs[at] == signs[i]).sum(axis=1)
+            order = np.argsort(-agree, kind="stable")
+            for j in at[order[:(agree >= scheme.agreeing).sum()]]:
+                if root[j] != root[i] and alike(sets[i], sets[j], scheme.percent):
+                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                    root[root == root[j]] = root[i]
+        return pd.DataFrame(found, columns=["hub", "doc"], dtype=np.int64)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -214,10 +228,10 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, scheme:
             at = batch[["key", "low", "high"]].to_numpy()
             starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield compared(batch.iloc[a:b])
+                yield linked(batch.iloc[a:b])
             held = batch.iloc[starts[-1]:]
         if held is not None:
-            yield compared(held)
+            yield linked(held)
 
     return spread.mapInPandas(compare, "hub long, doc long").distinct()
 
@@ -243,10 +257,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_
     pairs = _similar(shared.where("doc != hub").select("hub", "doc").distinct(), first, scheme)
     links = materialize(_confirmed(materialize(pairs, "pairs"), docs, scheme, doc, text), "confirmed")
     joined = materialize(components(links, "hub", "doc"), "components")
-    more = materialize(_left_over(shared, joined, first, scheme, block), "pairs")
-    late = _confirmed(more, docs, scheme, doc, text)
-    links = links.unionByName(late)
-    joined = components(links, "hub", "doc")
+    more = _left_over(shared, joined, first, docs, scheme, block, doc, text)
+    joined = components(links.unionByName(more), "hub", "doc")
     of_class = classes.join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(
         "high", "low", F.coalesce("component", "doc").alias("component"))
     out = signed.select("doc", "n", "high", "low").join(of_class, ["high", "low"], "left").select(
