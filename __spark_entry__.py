@@ -96,17 +96,31 @@ def _tsv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.read_tsv_log(spark, path).select("case_id", "pos", "activity")
 
 
-def _xes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _xes_log(spark: SparkSession, sf_dir: str, name) -> DataFrame:
+    """The lifecycle log, written as XES with the given names of traces and read back, with these names."""
     path = new_path(spark, "log-xes")
 
     def named(value):
         return F.array(F.struct(F.lit("concept:name").alias("_key"), value.alias("_value")))
 
     (lifecycle_traces(spark, sf_dir)
-     .select(named(F.col("o_orderkey").cast("string")).alias("string"),
+     .select(named(name).alias("string"),
              F.transform("trace", lambda a: F.struct(named(a).alias("string"))).alias("event"))
      .write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path))
-    return S.read_xes_log(spark, path).select("case_id", "pos", "activity")
+    names = S.read_xes_traces(spark, path).select("case_id", "name")
+    return S.read_xes_log(spark, path).join(names, "case_id")
+
+
+def _xes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _xes_log(spark, sf_dir, F.col("o_orderkey").cast("string"))
+    return log.select(F.col("name").alias("case_id"), "pos", "activity")
+
+
+def _xes_repeated_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cases of each name have each trace, where many traces share a name."""
+    log = _xes_log(spark, sf_dir, F.concat(F.lit("case "), (F.col("o_orderkey") % 10).cast("string")))
+    traces = log.groupBy("case_id", "name").agg(F.array_sort(F.collect_list(F.struct("pos", "activity"))).alias("t"))
+    return traces.groupBy("name", F.array_join("t.activity", ",").alias("trace")).agg(F.count("*").alias("cases"))
 
 
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +239,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "event_log": lambda spark, d: events_log(spark, d).drop("block"),
         "read_tsv_log": _tsv_round_trip,
         "read_xes_log": _xes_round_trip,
+        "read_xes_log_repeated_names": _xes_repeated_names,
         "traces_to_events": lambda spark, d: lifecycle_log_as_read(spark, d).drop("block"),
         "build_traces": _of_log(events_log, S.build_traces),
+        "build_traces_parts": _of_log(events_log, S.build_traces, 50),
         "write_footprint_text": _footprint_text_round_trip,
         "write_bindings": _bindings_round_trip,
         "write_counts": _counts_round_trip,
@@ -315,7 +331,12 @@ def oracle_sql() -> dict[str, str]:
         "read_tsv_log": sql(ev, "SELECT case_id::VARCHAR AS case_id, pos, activity FROM log", ["log"]),
         "read_xes_log": sql(life, "SELECT case_id::VARCHAR AS case_id, pos, activity FROM log", ["log"]),
         "traces_to_events": sql(life, "SELECT * FROM ev", ["ev"]),
-        "build_traces": sql(ev, f"""SELECT case_id, (pos - 1) // {S.BLOCK_ROWS} AS part,
+        "read_xes_log_repeated_names": sql(life, """SELECT name, trace, count(*) AS cases FROM (
+            SELECT 'case ' || case_id % 10 AS name, string_agg(activity, ',' ORDER BY pos) AS trace
+            FROM log GROUP BY case_id) GROUP BY name, trace""", ["log"]),
+        "build_traces": sql(ev, """SELECT case_id, 0::BIGINT AS part, string_agg(activity, ',' ORDER BY pos) AS trace
+            FROM log GROUP BY case_id""", ["log"]),
+        "build_traces_parts": sql(ev, """SELECT case_id, (pos - 1) // 50 AS part,
             string_agg(activity, ',' ORDER BY pos) AS trace FROM log GROUP BY ALL""", ["log"]),
         "write_footprint_text": sql(life, "SELECT line FROM fp_text", ["fp_text"]),
         "write_bindings": sql(conv, "SELECT * FROM bindings", ["bindings"]),

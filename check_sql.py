@@ -73,8 +73,9 @@ STEPS = {
             THEN NOT list_contains(ins, activity) AND list_has_all(unrelated, ins) AND list_has_all(followers, outs)
             ELSE NOT list_contains(outs, activity) AND list_has_all(unrelated, outs) AND list_has_all(preceders, ins)
             END"""),
-    "places": (["cand"], """SELECT 'p(' || array_to_string(ins, ',') || '|' || array_to_string(outs, ',') || ')' AS place,
-            ins, outs FROM cand c
+    "places": (["cand"], r"""SELECT 'p(' || array_to_string(list_transform(ins, lambda v: regexp_replace(v, '([,|\\])', '\\\1', 'g')), ',')
+            || '|' || array_to_string(list_transform(outs, lambda v: regexp_replace(v, '([,|\\])', '\\\1', 'g')), ',')
+            || ')' AS place, ins, outs FROM cand c
         WHERE NOT EXISTS (SELECT 1 FROM cand d WHERE list_has_all(d.ins, c.ins) AND list_has_all(d.outs, c.outs)
             AND len(d.ins) + len(d.outs) > len(c.ins) + len(c.outs))"""),
     "net": (["places", "starts", "ends"], """SELECT place, ins, outs FROM places
@@ -86,16 +87,24 @@ STEPS = {
             coalesce(list(place ORDER BY place) FILTER (kind = 'place_to_event'), []) AS pre,
             coalesce(list(place ORDER BY place) FILTER (kind = 'event_to_place'), []) AS post
         FROM alphabet LEFT JOIN arcs USING (activity) GROUP BY activity"""),
-    "replay": (["log", "pre_post"], """SELECT DISTINCT case_id, 0::BIGINT AS pos, ['In'] AS marking FROM log
+    # Replay knows places by their two sets, not by name: the source is 0, the sink -1.
+    "keyed": (["places", "starts", "ends"], """SELECT row_number() OVER (ORDER BY ins, outs) AS k, ins, outs FROM places
+        UNION ALL SELECT 0, []::VARCHAR[], list(activity) FROM starts
+        UNION ALL SELECT -1, list(activity), []::VARCHAR[] FROM ends"""),
+    "rules": (["keyed", "alphabet"], """SELECT activity,
+            coalesce(list(k) FILTER (list_contains(outs, activity)), []) AS pre,
+            coalesce(list(k) FILTER (list_contains(ins, activity)), []) AS post
+        FROM alphabet LEFT JOIN keyed ON list_contains(outs, activity) OR list_contains(ins, activity) GROUP BY activity"""),
+    "replay": (["log", "rules"], """SELECT DISTINCT case_id, 0::BIGINT AS pos, [0::BIGINT] AS marking FROM log
         UNION ALL
         SELECT r.case_id, l.pos, CASE
-            WHEN r.marking IS NULL OR p.activity IS NULL OR list_contains(r.marking, 'Out') THEN NULL
+            WHEN r.marking IS NULL OR p.activity IS NULL OR list_contains(r.marking, -1) THEN NULL
             WHEN list_has_all(r.marking, p.pre) THEN
                 list_distinct(list_concat(list_filter(r.marking, lambda x: NOT list_contains(p.pre, x)), p.post))
             ELSE {stuck} END
         FROM replay r JOIN log l ON l.case_id = r.case_id AND l.pos = r.pos + 1
-        LEFT JOIN pre_post p ON p.activity = l.activity"""),
-    "verdict": (["replay"], """SELECT case_id, coalesce(arg_max_null(marking, pos) = ['Out'], false) AS accepted
+        LEFT JOIN rules p ON p.activity = l.activity"""),
+    "verdict": (["replay"], """SELECT case_id, coalesce(arg_max_null(marking, pos) = [-1::BIGINT], false) AS accepted
         FROM replay GROUP BY case_id"""),
     # Tallies.
     "per_activity": (["log"], """SELECT case_id, activity, min(pos) AS first, max(pos) AS last, count(*) AS n

@@ -105,7 +105,7 @@ def maximal(pairs):
 
 
 def accepts(trace, net, on_disabled):
-    """``net``: activity -> (pre, post), places as sets of strings."""
+    """``net``: activity -> (pre, post), places as pairs of sets, the source and the sink as their names."""
     marking = {"In"}
     for x in trace:
         if "Out" in marking or x not in net:
@@ -124,8 +124,8 @@ def net_of(traces):
     starts, ends = {t[0] for t in traces}, {t[-1] for t in traces}
     net = {}
     for x in names:
-        pre = {f"p({','.join(a)}|{','.join(b)})" for a, b in places if x in b}
-        post = {f"p({','.join(a)}|{','.join(b)})" for a, b in places if x in a}
+        pre = {p for p in places if x in p[1]}
+        post = {p for p in places if x in p[0]}
         if x in starts:
             pre.add("In")
         if x in ends:

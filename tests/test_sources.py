@@ -7,7 +7,7 @@ from tracewell.operators.counts import activity_trace_count, dependency_counts
 from tracewell.operators.footprint import footprint, footprint_text
 from tracewell.operators.profile import word_count
 from tracewell.plans.discovery import causal_net
-from tracewell.sources.logs import build_traces, log_from_table, read_tsv_log, read_xes_log, traces_to_events
+from tracewell.sources.logs import build_traces, log_from_table, read_tsv_log, read_xes_log, read_xes_traces, traces_to_events
 from tracewell.sources.sinks import write_bindings, write_counts, write_footprint_text
 
 
@@ -41,10 +41,7 @@ def test_tsv_line_order_over_splits(spark, tmp_path):
     try:
         # Cases of about 2,857 events are cut into blocks, so both ways of ordering are used.
         for block_rows in (1 << 18, 1000):
-            parts = build_traces(read_tsv_log(spark, str(tmp_path), block_rows=block_rows)).orderBy("case_id", "part")
-            whole = {}
-            for r in parts.collect():
-                whole.setdefault(r.case_id, []).extend(r.trace)
+            whole = traces_of(read_tsv_log(spark, str(tmp_path), block_rows=block_rows))
             assert whole == {str(k): [f"{i:06}" for i in range(k, 20000, 7)] for k in range(7)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
@@ -56,16 +53,31 @@ XES = """<?xml version="1.0" encoding="UTF-8"?>
  <event><string key="concept:name" value="A ] b"/><date key="time:timestamp" value="2020-01-01T00:00:00Z"/></event>
  <event><string key="org:resource" value="x"/></event>
  <event><string key="org:resource" value="x"/><string key="concept:name" value="B"/></event></trace>
+<trace><string key="concept:name" value="c1"/>
+ <event><string key="concept:name" value="A ] b"/></event><event><string key="concept:name" value="B"/></event></trace>
 <trace><event><string key="concept:name" value="C"/></event></trace>
 </log>"""
 
 
 def test_xes(spark, tmp_path):
-    (tmp_path / "log.xes").write_text(XES)
+    """Every trace is a case of its own, also where names repeat within a file and over files."""
+    for name in ("one.xes", "two.xes"):
+        (tmp_path / name).write_text(XES)
+    read = read_xes_traces(spark, str(tmp_path))
+    names = {r.case_id: r.name for r in read.collect()}
+    assert names == {r.case_id: r.name for r in read.collect()}
     traces = traces_of(read_xes_log(spark, str(tmp_path)))
-    assert traces.pop("c1") == ["A ] b", "B"]
-    (name, trace), = traces.items()
-    assert name.startswith("trace ") and trace == ["C"]
+    assert traces.keys() == names.keys() and len(names) == 6
+    assert sorted((str(names[c]), t) for c, t in traces.items()) == sorted(
+        [("c1", ["A ] b", "B"]), ("c1", ["A ] b", "B"]), ("None", ["C"])] * 2)
+
+
+def test_ties_are_found_on_request(spark):
+    table = spark.createDataFrame([(7, 1, "a"), (7, 1, "b"), (8, 1, "c")], "k long, t int, x string")
+    log_from_table(table, "k", ["t"], "x")
+    with pytest.raises(ValueError, match="2 events of case 7"):
+        log_from_table(table, "k", ["t"], "x", check_ties=True)
+    log_from_table(table, "k", ["t", "x"], "x", check_ties=True)
 
 
 def test_table_and_nulls(spark):

@@ -15,8 +15,8 @@ def few_names(names: DataFrame, limit: int) -> list[str] | None:
 
 
 def array_sql(names: list[str]) -> str:
-    quoted = [n.replace("\\", "\\\\").replace("'", "\\'") for n in names]
-    return f"cast(array({', '.join(f"'{n}'" for n in quoted)}) AS array<string>)"
+    """The names as a constant. Their bytes are written, so that no quoting rule of the parser matters."""
+    return f"cast(array({', '.join(f"X'{n.encode().hex()}'" for n in names)}) AS array<string>)"
 
 
 def bit_sql(names: list[str], value: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.profile import activity_alphabet, sorted_names
+from tracewell.operators.profile import activity_alphabet
 
 COUNTING_MODES = ("last_wins", "presence")
 
@@ -45,17 +45,50 @@ def follow_flags(log: DataFrame, counting: str = "last_wins") -> DataFrame:
         F.bool_or("forward").alias("forward"), F.bool_or("backward").alias("backward"))
 
 
+def log_profile(log: DataFrame, counting: str = "last_wins") -> DataFrame:
+    """``kind, a, b, forward, backward, long``, all that the discovery of a net needs, from one pass over a log.
+
+    Rows of kind ``pair`` are those of follow_flags(); those of kind ``start`` and ``end`` have the first
+    and last activities of cases in ``a`` and ``b``. ``long`` says whether a case with the row is cut into blocks.
+    """
+    def row(kind: str, a, b):
+        return F.struct(F.lit(kind).alias("kind"), a.alias("a"), b.alias("b"))
+
+    own, after = F.col("activity"), F.col("next1")
+    sightings = log.select(
+        "case_id", "pos", (own <= after).alias("up"), F.col("block").isNotNull().alias("long"), F.inline(F.array_compact(F.array(
+            F.when(after.isNotNull(), row("pair", F.least(own, after), F.greatest(own, after)))
+            .otherwise(row("end", own, own)),
+            F.when(F.col("pos") == 1, row("start", own, own))))))
+    keys = ["case_id", "kind", "a", "b", "long"]
+    by_case = oriented_pairs(sightings.withColumn("fwd", F.coalesce("up", F.lit(True))), keys, counting)
+    return by_case.groupBy("kind", "a", "b").agg(
+        F.bool_or("forward").alias("forward"), F.bool_or("backward").alias("backward"), F.bool_or("long").alias("long"))
+
+
+def profile_alphabet(profile: DataFrame) -> DataFrame:
+    return profile.select(F.explode(F.array("a", "b")).alias("activity")).distinct()
+
+
 def footprint(log: DataFrame, counting: str = "last_wins") -> DataFrame:
     """``a, b, relation`` for all ordered pairs of activities. A self-loop is ``->``."""
+    return _matrix(follow_flags(log, counting), activity_alphabet(log))
+
+
+def profile_footprint(profile: DataFrame) -> DataFrame:
+    """The footprint of a log, from its profile."""
+    return _matrix(profile.where("kind = 'pair'"), profile_alphabet(profile))
+
+
+def _matrix(flags: DataFrame, alphabet: DataFrame) -> DataFrame:
     # A pair fills two cells of the matrix, a self-loop only one.
     seen = (
-        follow_flags(log, counting)
-        .selectExpr("a", "b", "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '->' ELSE '<-' END AS there",
+        flags.selectExpr("a", "b", "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '->' ELSE '<-' END AS there",
                     "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '<-' ELSE '->' END AS back")
         .selectExpr("stack(2, a, b, there, if(a = b, NULL, b), a, back) AS (a, b, relation)")
         .filter("a IS NOT NULL"))
-    cells = activity_alphabet(log).select(
-        F.col("activity").alias("a"), sorted_names(log).scalar().alias("names")).select(
+    names = alphabet.agg(F.array_sort(F.collect_list("activity")).alias("names"))
+    cells = alphabet.select(F.col("activity").alias("a"), names.scalar().alias("names")).select(
         "a", F.explode_outer("names").alias("b"))
     return cells.join(seen, ["a", "b"], "left").select(
         "a", "b", F.coalesce("relation", F.lit("#")).alias("relation"))

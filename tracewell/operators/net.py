@@ -27,10 +27,15 @@ def event_places_map(alphabet: DataFrame, places: DataFrame) -> DataFrame:
 
 def connect_source_sink(places: DataFrame, log: DataFrame) -> DataFrame:
     """The places, a source before all start activities and a sink after all end activities."""
+    return with_source_sink(places, start_activities(log), end_activities(log))
+
+
+def with_source_sink(places: DataFrame, starts: DataFrame, ends: DataFrame) -> DataFrame:
+    """Like connect_source_sink(), from one-column tables of the start and end activities."""
     nothing = F.array().cast("array<string>")
-    source = start_activities(log).agg(F.array_sort(F.collect_list("activity")).alias("activities")).select(
+    source = starts.agg(F.array_sort(F.collect_list("activity")).alias("activities")).select(
         F.lit(SOURCE).alias("place"), nothing.alias("in_set"), F.col("activities").alias("out_set"))
-    sink = end_activities(log).agg(F.array_sort(F.collect_list("activity")).alias("activities")).select(
+    sink = ends.agg(F.array_sort(F.collect_list("activity")).alias("activities")).select(
         F.lit(SINK).alias("place"), F.col("activities").alias("in_set"), nothing.alias("out_set"))
     return places.unionByName(source).unionByName(sink)
 

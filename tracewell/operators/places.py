@@ -5,10 +5,10 @@ B mutually unrelated, every a -> b. Every part of such a pair is such a pair too
 are grown one activity at a time: first A in name order, then B in name order. Each pair is
 reached in exactly one way and needs no deduplication.
 
-There may be exponentially many such pairs but few maximal ones. Where growing gets out of hand,
-the maximal ones are found without the others: activities as inputs and activities as outputs are
-the nodes of a graph that joins what may be in one place, and the maximal places are its maximal
-cliques with nodes of both kinds (Bron and Kerbosch's search with pivots, one level per round).
+There may be exponentially many such pairs but few maximal ones, which are found without the others:
+activities as inputs and activities as outputs are the nodes of a graph that joins what may be in one
+place, and the maximal places are its maximal cliques with nodes of both kinds (Bron and Kerbosch's
+search with pivots, one level per round, started at every node in name order).
 """
 
 from __future__ import annotations
@@ -23,8 +23,6 @@ from tracewell.operators.footprint import relation_sets
 
 # Activities added between two written intermediate results.
 STEPS_PER_ROUND = 3
-# Pairs that a round of growing may give before the search for cliques is preferred.
-GROW_LIMIT = 100_000
 
 
 def _loop_free_sets(fp: DataFrame) -> DataFrame:
@@ -63,19 +61,13 @@ def _written_sets(fp: DataFrame) -> DataFrame:
     return materialize(_loop_free_sets(fp), "relation-sets")
 
 
-def _all_pairs(sets: DataFrame, limit: int | None = None) -> DataFrame | None:
-    """All possible places, with what still fits; None once a round might give more than ``limit`` pairs."""
+def _all_pairs(sets: DataFrame) -> DataFrame:
+    """All possible places, with what still fits."""
     seeds = sets.filter("size(followers) > 0").selectExpr(
         "array(activity) AS in_set", "cast(array() AS array<string>) AS out_set",
         "array_remove(unrelated, activity) AS more_in", "followers AS more_out")
-    # At most this many pairs come out of the next round.
-    offspring = " + ".join(
-        "cast(size(more_in) + size(more_out) AS double)" + " * (size(more_in) + size(more_out))" * step
-        for step in range(STEPS_PER_ROUND))
     batches, last = [seeds], seeds
-    while bound := last.agg(F.expr(f"sum({offspring})")).first()[0]:
-        if limit is not None and bound > limit:
-            return None
+    while not last.filter("size(more_in) + size(more_out) > 0").isEmpty():
         grown = []
         for step in range(STEPS_PER_ROUND):
             last = _grow(last, sets)
@@ -92,17 +84,17 @@ def place_candidates(fp: DataFrame) -> DataFrame:
     return _all_pairs(_written_sets(fp)).select("in_set", "out_set")
 
 
-def maximal_places(fp: DataFrame, grow_limit: int = GROW_LIMIT) -> DataFrame:
-    """``place, in_set, out_set``: the possible places to which no activity can be added.
+def maximal_places(fp: DataFrame) -> DataFrame:
+    """``place, in_set, out_set``: the possible places to which no activity can be added."""
+    return with_place_name(_maximal_cliques(_written_sets(fp)))
 
-    They are picked from all possible places while no round of growing can give more than
-    ``grow_limit`` pairs, and else found by the search for cliques.
-    """
-    sets = _written_sets(fp)
-    pairs = _all_pairs(sets, grow_limit)
-    if pairs is None:
-        return with_place_name(_maximal_cliques(sets))
-    return with_place_name(pairs.filter("size(more_in) = 0 AND size(more_out) = 0"))
+
+def _promising(states: DataFrame) -> DataFrame:
+    """States that may lead to a maximal clique with nodes of both kinds."""
+    return (
+        states.filter("exists(chosen, v -> v LIKE '<%') OR exists(open, v -> v LIKE '<%')")
+        .filter("exists(chosen, v -> v LIKE '>%') OR exists(open, v -> v LIKE '>%')")
+        .filter("size(open) > 0 OR size(tried) = 0"))
 
 
 def _maximal_cliques(sets: DataFrame) -> DataFrame:
@@ -119,10 +111,11 @@ def _maximal_cliques(sets: DataFrame) -> DataFrame:
             if(size(followers) > 0, array({node("<", "unrelated", ">", "followers")}), array()),
             if(size(preceders) > 0, array({node(">", "unrelated", "<", "preceders")}), array())))"""),
         "place-nodes")
-    none = "cast(array() AS array<string>)"
-    # chosen: a clique; open: nodes near all of it, to be tried; tried: such nodes tried elsewhere.
-    states = nodes.agg(F.expr("collect_list(node) AS open")).filter("size(open) > 0").selectExpr(
-        f"{none} AS chosen", "open", f"{none} AS tried")
+    # chosen: a clique; open: nodes near all of it, to be tried; tried: such nodes tried elsewhere. A clique is
+    # looked for from its first node in name order, so that no state holds more than a node's neighbours.
+    states = nodes.selectExpr(
+        "array(node) AS chosen", "filter(near, v -> v > node) AS open", "filter(near, v -> v < node) AS tried")
+    states = _promising(states).filter("size(open) > 0")
     found = []
     while not states.isEmpty():
         seen = (
@@ -147,12 +140,7 @@ def _maximal_cliques(sets: DataFrame) -> DataFrame:
                 "array_append(chosen, node) AS chosen",
                 "array_intersect(array_except(open, earlier), near) AS open",
                 "array_intersect(array_union(tried, earlier), near) AS tried"))
-        after = materialize(
-            taken.unionByName(branches)
-            .filter("exists(chosen, v -> v LIKE '<%') OR exists(open, v -> v LIKE '<%')")
-            .filter("exists(chosen, v -> v LIKE '>%') OR exists(open, v -> v LIKE '>%')")
-            .filter("size(open) > 0 OR size(tried) = 0")
-            .hint("rebalance"), "cliques")
+        after = materialize(_promising(taken.unionByName(branches)).hint("rebalance"), "cliques")
         found.append(after.filter("size(open) = 0"))
         states = after.filter("size(open) > 0")
 
@@ -166,7 +154,14 @@ def _maximal_cliques(sets: DataFrame) -> DataFrame:
 
 
 def with_place_name(places: DataFrame) -> DataFrame:
-    """Name each place ``p(inputs|outputs)`` after its sorted sets."""
-    name = F.concat(
-        F.lit("p("), F.array_join("in_set", ","), F.lit("|"), F.array_join("out_set", ","), F.lit(")"))
+    """Name each place ``p(inputs|outputs)`` after its sorted sets.
+
+    Different places have different names: commas, bars and backslashes in names of activities are
+    written with a backslash before them. No such name is that of the source or the sink.
+    """
+    def joined(names: str):
+        return F.array_join(F.transform(names, lambda v: F.regexp_replace(
+            v, F.lit("([,|\\\\])"), F.lit("\\\\$1"))), ",")
+
+    name = F.concat(F.lit("p("), joined("in_set"), F.lit("|"), joined("out_set"), F.lit(")"))
     return places.select(name.alias("place"), "in_set", "out_set")

@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewell.functions.storage import materialize
+
 
 def activity_alphabet(log: DataFrame) -> DataFrame:
     return log.select("activity").distinct()
 
 
-def sorted_names(log: DataFrame) -> DataFrame:
-    """One row: the alphabet as a sorted array."""
-    return activity_alphabet(log).agg(F.array_sort(F.collect_list("activity")).alias("names"))
-
-
 def activity_index(log: DataFrame) -> DataFrame:
-    """``activity, index``: 0-based rank of each name."""
-    return sorted_names(log).select(F.posexplode("names").alias("index", "activity")).select(
-        "activity", F.col("index").cast("bigint").alias("index"))
+    """``activity, index``: 0-based rank of each name.
+
+    The names are sorted in ranges, each numbered in its own task and shifted by the sizes of those before.
+    """
+    names = activity_alphabet(log)
+    ordered = materialize(
+        names.repartitionByRange("activity").sortWithinPartitions("activity")
+        .select("activity", F.monotonically_increasing_id().alias("row_id"))
+        .withColumn("piece", F.shiftright("row_id", 33)), "sorted-names")
+    # One row per range: the running sum over them is the only step in a single task.
+    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.groupBy("piece").agg(F.min("row_id").alias("first_id"), F.count(F.lit(1)).alias("n")).select(
+        "piece", "first_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return ordered.join(starts, "piece").select(
+        "activity", (F.col("row_id") - F.col("first_id") + F.col("before")).alias("index"))
 
 
 def start_activities(log: DataFrame) -> DataFrame:

@@ -29,9 +29,11 @@ FAN_IN = 1024
 
 
 def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "skip",
-                      max_markings: int = MAX_MARKINGS, max_bits: int = MAX_BITS) -> DataFrame:
+                      max_markings: int = MAX_MARKINGS, max_bits: int = MAX_BITS,
+                      has_long: bool | None = None) -> DataFrame:
     """``case_id, accepted``. ``pre_post`` is the table of ``pre_post_places``; an event that
-    cannot fire is skipped, or with ``on_disabled="reject"`` rejects its case."""
+    cannot fire is skipped, or with ``on_disabled="reject"`` rejects its case. ``has_long`` says
+    whether the log has cases cut into blocks; if unknown, the log is asked."""
     if on_disabled not in ("skip", "reject"):
         raise ValueError(f"on_disabled must be 'skip' or 'reject', not {on_disabled!r}")
     pre_post = materialize(pre_post, "pre-post")
@@ -40,7 +42,7 @@ def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "s
     whole = rules.verdict(
         rules.block_events(log.filter("block IS NULL"))
         .selectExpr("case_id", f"{rules.after(rules.start)} AS state"))
-    if long.isEmpty():
+    if not (has_long if has_long is not None else not long.isEmpty()):
         return whole
     steps = _unfold(pre_post, on_disabled, max_markings)
     if steps is None:

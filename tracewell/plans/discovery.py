@@ -7,16 +7,16 @@ the log, so that the stages after it neither read the log again nor guess at siz
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tracewell.functions.storage import materialize
 from tracewell.operators.bindings import binding_counts
 from tracewell.operators.counts import dependency_counts
-from tracewell.operators.footprint import footprint
+from tracewell.operators.footprint import log_profile, profile_alphabet, profile_footprint
 from tracewell.operators.graph import DEFAULTS, Thresholds, dependency_graph
 from tracewell.operators.measures import directed_measures
-from tracewell.operators.net import connect_source_sink, pre_post_places
+from tracewell.operators.net import pre_post_places, with_source_sink
 from tracewell.operators.places import maximal_places
-from tracewell.operators.profile import activity_alphabet
 from tracewell.operators.replay import trace_conformance
 
 
@@ -37,13 +37,28 @@ def causal_net(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "last_w
     return binding_counts(log, discovered_graph(log, t, counting, loop2))
 
 
+def profiled(log: DataFrame, counting: str = "last_wins") -> DataFrame:
+    """The profile of a log, written once: the only pass over the log that discovering a net takes."""
+    return materialize(log_profile(log, counting), "log-profile")
+
+
+def places_of(profile: DataFrame) -> DataFrame:
+    """Maximal places with source and sink, written once, from a written profile."""
+    def ends(kind: str) -> DataFrame:
+        return profile.where(F.col("kind") == kind).select(F.col("a").alias("activity"))
+
+    places = maximal_places(materialize(profile_footprint(profile), "footprint"))
+    return materialize(with_source_sink(places, ends("start"), ends("end")), "net-places")
+
+
 def discovered_places(log: DataFrame, counting: str = "last_wins") -> DataFrame:
     """Maximal places of a log with source and sink, written once."""
-    places = maximal_places(materialize(footprint(log, counting), "footprint"))
-    return materialize(connect_source_sink(places, log), "net-places")
+    return places_of(profiled(log, counting))
 
 
 def replayed(log: DataFrame, counting: str = "last_wins", on_disabled: str = "skip") -> DataFrame:
     """``case_id, accepted``: the log replayed on the net discovered from it."""
-    net_places = discovered_places(log, counting)
-    return trace_conformance(log, pre_post_places(activity_alphabet(log), net_places), on_disabled)
+    profile = profiled(log, counting)
+    rules = pre_post_places(profile_alphabet(profile), places_of(profile))
+    has_long = bool(profile.agg(F.bool_or("long")).first()[0])
+    return trace_conformance(log, rules, on_disabled, has_long=has_long)

@@ -27,13 +27,21 @@ def _required(c: Column, what: str) -> Column:
 
 
 def log_from_table(df: DataFrame, case: ColumnOrName, order_by: Sequence[ColumnOrName], activity: ColumnOrName,
-                   block_rows: int = BLOCK_ROWS, max_case_rows: int | None = None) -> DataFrame:
-    """Event log of a table; ``order_by`` must order the rows of each case without ties."""
+                   block_rows: int = BLOCK_ROWS, max_case_rows: int | None = None,
+                   check_ties: bool = False) -> DataFrame:
+    """Event log of a table; ``order_by`` must order the rows of each case without ties.
+
+    ``check_ties`` makes sure of that, at the price of a grouping by case and order, and fails otherwise.
+    """
     order = [f"order_{i}" for i in range(len(order_by))]
     events = df.select(
         _required(_column(case), "case").alias("case_id"),
         _required(_column(activity).cast("string"), "activity").alias("activity"),
         *[_column(c).alias(name) for c, name in zip(order_by, order)])
+    if check_ties:
+        tied = events.groupBy("case_id", *order).count().filter("count > 1").first()
+        if tied:
+            raise ValueError(f"{tied['count']} events of case {tied['case_id']!r} have the same order")
     return order_events(events, order, block_rows, max_case_rows)
 
 
@@ -73,20 +81,29 @@ def _concept_name(strings: Column) -> Column:
     return F.get(F.filter(strings, lambda s: s["_key"] == "concept:name"), F.lit(0))["_value"]
 
 
-def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One case per ``<trace>``, one event per ``<event>`` that has a ``concept:name``.
+def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
+    """``case_id, name, trace``: one row per ``<trace>``, with the names of its events that have one.
 
-    The case is the trace's own ``concept:name``, which must be unique; traces without one
-    are numbered ``trace 0``, ``trace 1``, ... with gaps.
+    ``name`` is the trace's own ``concept:name``, which may be missing or repeat, within a file or over
+    several. ``case_id`` is its own: file, first byte of the block read, and row in what one task reads;
+    it stays the same as long as the files are read with the same settings.
     """
-    traces = (
+    return (
         spark.read.format("xml").option("rowTag", "trace").schema(_XES_SCHEMA).load(path)
         .select(
-            F.coalesce(_concept_name(F.col("string")),
-                       F.concat(F.lit("trace "), F.monotonically_increasing_id().cast("string"))).alias("case_id"),
+            F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"),
+                        F.monotonically_increasing_id().cast("string")).alias("case_id"),
+            _concept_name(F.col("string")).alias("name"),
             F.filter(F.transform("event", lambda e: _concept_name(e["string"])),
                      lambda name: name.isNotNull()).alias("trace")))
-    return traces_to_events(traces, "case_id", "trace", block_rows)
+
+
+def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One case per ``<trace>``, whatever its name, and one event per ``<event>`` that has a ``concept:name``.
+
+    ``case_id`` is that of read_xes_traces(), which also says the names of the traces.
+    """
+    return traces_to_events(read_xes_traces(spark, path), "case_id", "trace", block_rows)
 
 
 def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
@@ -111,12 +128,14 @@ def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
         .select(LOG_COLUMNS))
 
 
-def build_traces(log: DataFrame) -> DataFrame:
-    """``case_id, part, trace``: the activities of each case in order.
+def build_traces(log: DataFrame, part_rows: int | None = None) -> DataFrame:
+    """``case_id, part, trace``: the activities of each case in order, one row (part 0) per case.
 
-    A case is one row (part 0) unless it is longer than a block; then each block is a part.
+    With ``part_rows`` every case is cut into parts of so many activities, the last one shorter; the
+    blocks that the log itself is cut into play no part.
     """
+    part = F.lit(0).cast("bigint") if part_rows is None else block_of(F.col("pos"), part_rows)
     return (
-        log.groupBy("case_id", F.coalesce("block", F.lit(0)).alias("part"))
+        log.groupBy("case_id", part.alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("pos", "activity"))).alias("events"))
         .select("case_id", "part", F.col("events.activity").alias("trace")))
