@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracewell.llm import bpe, chat, decontaminate, html, licenses, lz, minhash, pii, quality, secrets
+from tracewell.llm.oracles import oracle_sql  # noqa: F401  for whoever adds the queries
 
 
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -129,7 +130,3 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_preferences": op1_preferences, "op2_licenses": op2_licenses, "op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op5_html": op5_html, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
