@@ -18,7 +18,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies (operator 9), and all without an id."""
     gone = minhash.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti")
+    # What goes grows with the documents, so it is never broadcast.
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
