@@ -279,6 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         # Conformance.
         "trace_conformance": _of_log(lifecycle_log, discovery.replayed),
         "trace_conformance_reject": _of_log(lifecycle_log, discovery.replayed, "last_wins", "reject"),
+        "trace_conformance_by_variant": _of_log(lifecycle_log, discovery.replayed, "last_wins", "skip", True),
         "log_fitness": lambda spark, d: C.log_fitness(discovery.replayed(lifecycle_log(spark, d))),
         "log_fitness_conversations": lambda spark, d: C.log_fitness(discovery.replayed(conversations_log(spark, d))),
         # Dependency tallies.
@@ -311,6 +312,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "binding_counts": _binding_counts,
         "causal_net": _of_log(events_log, discovery.causal_net),
         "causal_net_lifecycle": _of_log(lifecycle_log, discovery.causal_net),
+        "causal_net_by_variant": lambda spark, d: _joined(
+            discovery.causal_net(lifecycle_log(spark, d), by_variant=True)),
+        "causal_net_customers_by_variant": lambda spark, d: _joined(
+            discovery.causal_net(customers_log(spark, d), by_variant=True)),
         "causal_net_customers": _of_log(customers_log, discovery.causal_net),
     }
     for operator in (G.loops_len2, G.weak_out, G.strong_out, G.weak_in, G.strong_in, G.accepted_out,
@@ -388,6 +393,7 @@ def oracle_sql() -> dict[str, str]:
             array_to_string(post, ',') AS post FROM pre_post""", ["pre_post"]),
         "trace_conformance": sql(life, "SELECT * FROM verdict", ["verdict"]),
         "trace_conformance_reject": sql(life, "SELECT * FROM verdict", ["verdict"], stuck="NULL"),
+        "trace_conformance_by_variant": sql(life, "SELECT * FROM verdict", ["verdict"]),
         "log_fitness": sql(life, fitness, ["verdict"]),
         "log_fitness_conversations": sql(conv, fitness, ["verdict"]),
         "activity_trace_count": sql(ev, "SELECT * FROM totals", ["totals"]),
@@ -417,6 +423,8 @@ def oracle_sql() -> dict[str, str]:
         "binding_counts": sql(ev, "SELECT * FROM bindings", ["bindings"], SENSITIVE_SQL),
         "causal_net": sql(ev, "SELECT * FROM bindings", ["bindings"]),
         "causal_net_lifecycle": sql(life, "SELECT * FROM bindings", ["bindings"]),
+        "causal_net_by_variant": sql(life, "SELECT * FROM bindings", ["bindings"]),
+        "causal_net_customers_by_variant": sql(cust, "SELECT * FROM bindings", ["bindings"]),
         "causal_net_customers": sql(cust, "SELECT * FROM bindings", ["bindings"]),
     }
     for rel in ("direct", "loop2", "successor"):

@@ -1,5 +1,6 @@
 """The registered queries: every one has check SQL, and a choice of them agrees with it on the test tables."""
 
+import re
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,9 @@ needs_tables = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test tab
 
 
 def test_every_query_has_check_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    """The queries of the llm subpackage, if it is there, have tests of their own."""
+    others = {n for n in entry.queries() if n != "pipeline" and not re.match(r"op\d+_", n)}
+    assert others == {n for n in entry.oracle_sql() if n != "pipeline" and not re.match(r"op\d+_", n)}
 
 
 @needs_tables
@@ -23,7 +26,9 @@ def test_entry(spark):
 
 @needs_tables
 @pytest.mark.parametrize("name", [
-    "read_tsv_log", "read_xes_log", "write_counts", "relation_lookup", "sets_connected", "trace_conformance_reject",
+    "read_tsv_log", "read_xes_log", "read_xes_log_repeated_names", "build_traces", "build_traces_parts", "activity_index",
+    "write_counts", "pre_post_places", "trace_conformance", "trace_conformance_by_variant", "causal_net_by_variant",
+    "causal_net_customers_by_variant", "maximal_places", "relation_lookup", "sets_connected", "trace_conformance_reject",
     "dependency_counts_presence", "dependency_graph_sensitive", "input_bindings"])
 def test_query_against_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")

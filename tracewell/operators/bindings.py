@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.bits import MAX_BITS, bit_sql, few_names, from_bits_sql
 from tracewell.operators.graph import adjacency
+from tracewell.operators.variants import variants
 
 SUCC, PRED = "SUCC", "PRED"
 
@@ -29,12 +30,21 @@ def input_bindings(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -
     return links.selectExpr("case_id", "pos", "activity", decode)
 
 
-def binding_counts(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """``activity, side, binding, n``: number of cases in which the binding occurs."""
+def binding_counts(log: DataFrame, graph: DataFrame, max_bits: int = MAX_BITS, by_variant: bool = False) -> DataFrame:
+    """``activity, side, binding, n``: number of cases in which the binding occurs.
+
+    ``by_variant`` looks at each distinct trace once and counts it as often as it occurs.
+    """
+    number = F.count(F.lit(1))
+    if by_variant:
+        log, cases = variants(log)
+        weights = cases.groupBy(F.col("variant").alias("case_id")).agg(F.count(F.lit(1)).alias("weight"))
+        number = F.sum("weight")
     links, decode = _links(log, graph, [SUCC, PRED], max_bits)
+    found = links.select("case_id", "activity", "side", "linked").distinct()
     return (
-        links.select("case_id", "activity", "side", "linked").distinct()
-        .groupBy("activity", "side", "linked").agg(F.count(F.lit(1)).alias("n"))
+        (found.join(weights, "case_id") if by_variant else found)
+        .groupBy("activity", "side", "linked").agg(number.alias("n"))
         .selectExpr("activity", "side", decode, "n"))
 
 

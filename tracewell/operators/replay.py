@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.bits import MAX_BITS, few_names, to_bits_sql
 from tracewell.functions.storage import materialize
 from tracewell.operators.net import SINK, SOURCE
+from tracewell.operators.variants import variants
 
 # Beyond so many reachable markings long cases are replayed block after block instead.
 MAX_MARKINGS = 4096
@@ -30,10 +31,15 @@ FAN_IN = 1024
 
 def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "skip",
                       max_markings: int = MAX_MARKINGS, max_bits: int = MAX_BITS,
-                      has_long: bool | None = None) -> DataFrame:
+                      has_long: bool | None = None, by_variant: bool = False) -> DataFrame:
     """``case_id, accepted``. ``pre_post`` is the table of ``pre_post_places``; an event that
     cannot fire is skipped, or with ``on_disabled="reject"`` rejects its case. ``has_long`` says
-    whether the log has cases cut into blocks; if unknown, the log is asked."""
+    whether the log has cases cut into blocks; if unknown, the log is asked. ``by_variant`` replays
+    each distinct trace once."""
+    if by_variant:
+        distinct, cases = variants(log)
+        verdicts = trace_conformance(distinct, pre_post, on_disabled, max_markings, max_bits, has_long)
+        return cases.join(verdicts.withColumnRenamed("case_id", "variant"), "variant").select("case_id", "accepted")
     if on_disabled not in ("skip", "reject"):
         raise ValueError(f"on_disabled must be 'skip' or 'reject', not {on_disabled!r}")
     pre_post = materialize(pre_post, "pre-post")
@@ -109,7 +115,7 @@ def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
 
 def _replay_in_turn(long: DataFrame, rules: _Rules) -> DataFrame:
     """One round per block: exact for any net, with as many rounds as the longest case has blocks."""
-    blocks = materialize(rules.block_events(long), "block-events")
+    blocks = materialize(rules.block_events(long), "block-events", partition_by="block")
     last = blocks.agg(F.max("block")).first()[0]
     states = blocks.filter("block = 0").selectExpr("case_id", f"{rules.start} AS state")
     for block in range(last + 1):

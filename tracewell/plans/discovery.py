@@ -32,9 +32,9 @@ def discovered_graph(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "
 
 
 def causal_net(log: DataFrame, t: Thresholds = DEFAULTS, counting: str = "last_wins",
-               loop2: str = "difference") -> DataFrame:
+               loop2: str = "difference", by_variant: bool = False) -> DataFrame:
     """``activity, side, binding, n``: the binding counts of a log."""
-    return binding_counts(log, discovered_graph(log, t, counting, loop2))
+    return binding_counts(log, discovered_graph(log, t, counting, loop2), by_variant=by_variant)
 
 
 def profiled(log: DataFrame, counting: str = "last_wins") -> DataFrame:
@@ -56,9 +56,10 @@ def discovered_places(log: DataFrame, counting: str = "last_wins") -> DataFrame:
     return places_of(profiled(log, counting))
 
 
-def replayed(log: DataFrame, counting: str = "last_wins", on_disabled: str = "skip") -> DataFrame:
+def replayed(log: DataFrame, counting: str = "last_wins", on_disabled: str = "skip",
+             by_variant: bool = False) -> DataFrame:
     """``case_id, accepted``: the log replayed on the net discovered from it."""
     profile = profiled(log, counting)
     rules = pre_post_places(profile_alphabet(profile), places_of(profile))
     has_long = bool(profile.agg(F.bool_or("long")).first()[0])
-    return trace_conformance(log, rules, on_disabled, has_long=has_long)
+    return trace_conformance(log, rules, on_disabled, has_long=has_long, by_variant=by_variant)
