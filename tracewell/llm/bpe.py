@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.common import free_name, others
+
 NONE = np.int64(1 << 40)
 #: Chunks of text kept in a task's cache, and characters of short texts looked at in one go.
 CACHE_CHUNKS, SLICE_CHARS = 250_000, 1 << 20
@@ -247,8 +249,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     """
     model = shared_model(df.sparkSession, path)
     new = {ids: "array<int>"} | ({decoded: "string"} if decoded else {})
-    kept = [c for c in df.columns if c not in new]
-    source = df.select(F.col(f"`{text}`").cast("string").alias("_source"), *(F.col(f"`{c}`") for c in kept))
+    kept = others(df, new)
+    source = df.select(F.col(f"`{text}`").cast("string").alias(free_name(df, "_source")), *(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tokens = encoder_for(path, model.value), np.array(model.value.tokens, object)

@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.common import free_name, others
+
 #: Item words in one automaton. A larger benchmark takes several, one pass of a document's words for each.
 SHARD_WORDS = 50_000
 #: Characters of documents looked at in one go.
@@ -194,14 +196,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str =
     shards = [session.sparkContext.broadcast(a)
               for a in automata(((r[0], r[1]) for r in rows.toLocalIterator()), window, shard_words)]
     new = ("n_words", "spans", "items")
-    kept = [c for c in docs.columns if c not in new]
-    source = docs.select(F.col(f"`{text}`").cast("string").alias("_source"), *(F.col(f"`{c}`") for c in kept),
+    kept, whole = others(docs, new), free_name(docs, "_source")
+    source = docs.select(F.col(f"`{text}`").cast("string").alias(whole), *(F.col(f"`{c}`") for c in kept),
                          F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
     schema = T.StructType([*source.schema.fields, T.StructField("n_words", T.LongType())])
     for shard in shards:
-        source = source.select("_source", *(F.col(f"`{c}`") for c in kept), "spans", "items").mapInArrow(
+        source = source.select(whole, *(F.col(f"`{c}`") for c in kept), "spans", "items").mapInArrow(
             _searching(shard), schema)
-    return source.drop("_source").withColumns({
+    return source.drop(whole).withColumns({
         "spans": _merged(F.coalesce("spans", F.array().cast(SPANS))),
         "items": F.array_sort(F.array_distinct(F.coalesce("items", F.array().cast("array<string>"))))})
 

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.storage import materialize
+from tracewell.llm.common import free_name, others
 
 # Fixed names from the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -190,7 +191,8 @@ def main_text(html: str | None, low: set[str] = frozenset()) -> str:
 
 def host(url: str = "url") -> Column:
     """The host of an address, in lower case; empty if there is none."""
-    return F.coalesce(F.lower(F.regexp_extract(F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
+    return F.coalesce(F.lower(F.regexp_extract(
+        F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -239,10 +241,11 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
     nodes = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
     lows = materialize(nodes.join(counts, "host").where(F.col("pages") >= least_share * F.col("of")).groupBy(
         "host").agg(F.collect_set("path").alias("_low")), "low-branches")
-    kept = [c for c in pages.columns if c != text]
-    source = pages.withColumn("_host", host(url)).join(
-        lows.withColumnRenamed("host", "_host"), "_host", "left").select(
-        "_low", F.col(f"`{html}`").cast("string").alias("_html"), *(F.col(f"`{c}`") for c in kept))
+    kept, site = others(pages, [text]), free_name(pages, "_host")
+    first, second = free_name(pages, "_low"), free_name(pages, "_html")
+    source = pages.withColumn(site, host(url)).join(
+        lows.select(F.col("host").alias(site), F.col("_low").alias(first)), site, "left").select(
+        first, F.col(f"`{html}`").cast("string").alias(second), *(F.col(f"`{c}`") for c in kept))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,5 +255,5 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
                     part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*kept, text])
 
-    schema = source.drop("_low", "_html").schema.add(text, "string")
+    schema = source.drop(first, second).schema.add(text, "string")
     return source.mapInArrow(run, schema)

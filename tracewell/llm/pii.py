@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.common import free_name
+
 ROUNDS = 4  # of two steps each
 OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 MAIL = r"[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -203,13 +205,14 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     wanted = F.coalesce(source.rlike("[0-9@]"), F.lit(False))
     found = F.transform(F.regexp_extract_all(source, F.lit(ANY), F.lit(0)), lambda m: pseudonym(key, m))
     nothing = F.array().cast("array<struct<kind:string,text:string>>")
-    parts = df.withColumn("_found", F.when(wanted, found).otherwise(nothing))
+    name = free_name(df, "_found")
+    parts = df.withColumn(name, F.when(wanted, found).otherwise(nothing))
     between = F.transform(F.split(source, ANY, -1), lambda p, i: F.concat(
-        p, F.coalesce(F.get("_found", i)["text"], F.lit(""))))
+        p, F.coalesce(F.get(name, i)["text"], F.lit(""))))
 
     def count(kind: str) -> Column:
-        return F.size(F.filter("_found", lambda x: x["kind"] == kind)).cast("long")
+        return F.size(F.filter(name, lambda x: x["kind"] == kind)).cast("long")
 
     counts = {f"n_{kind}": count(kind) for kind in PATTERNS}
-    return parts.withColumns(counts | {text: F.when(F.size("_found") > 0, F.array_join(between, "")).otherwise(
-        source)}).drop("_found")
+    return parts.withColumns(counts | {text: F.when(F.size(name) > 0, F.array_join(between, "")).otherwise(
+        source)}).drop(name)
