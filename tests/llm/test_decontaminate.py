@@ -76,7 +76,7 @@ def test_removal(spark):
     found = D.matches(docs, spark.createDataFrame(ITEMS, "item_id long, text string"), window=3)
     left = {r.doc_id: r.text for r in D.without_spans(found, longest=4).collect()}
     assert left[1] == "A b. , over" and left[2] is None and left[3] == "" and left[4] == "nothing here"
-    assert left[5] == DOCS[4][1] and left[6] == "" and left[7] == "a "
+    assert left[5] == DOCS[4][1] and left[6] == "Über\nden fluss" and left[7] == "a "
 
 
 def test_empty_tables(spark):
