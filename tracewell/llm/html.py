@@ -120,10 +120,11 @@ def read(html: str) -> Page:
         if match[1]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    if tag in BLOCKS or stack[depth].named:
+                    if tag in BLOCKS or stack[depth].noise != stack[depth - 1].noise:
                         close(depth)
-                    elif not any(n.tag in BLOCKS for n in stack[depth + 1:]):
+                    elif not any(n.tag in BLOCKS for n in stack[depth + 1:]):  # text goes on in the same block
                         del stack[depth:]
+                        marks.pop(depth, None)
                     break
                 if tag not in BLOCKS and stack[depth].tag in BLOCKS:
                     break
