@@ -85,18 +85,23 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_docs: int
 
     Learnt from at most ``max_docs`` documents with secrets by pattern, whose values are the random samples, and
     ``max_docs`` of all documents, whose words of four characters or more, but such values, are the ordinary
-    ones. Both choices depend on hashes of ids alone. The pair counts, whose number is that of pairs of the
+    ones; rows without an id are not among them. Both choices depend on hashes of ids alone. The pair counts, whose number is that of pairs of the
     alphabet at most, go to the driver. Half the probability of a random string is spread evenly, as few samples
     can't show every pair; ordinary pairs never seen count as a tenth.
     """
     body = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
-    order = (F.xxhash64("_doc"), F.col("_doc"))
+
+    def sample(rows: DataFrame) -> DataFrame:
+        # Ids alone are sorted; at most max_docs of them are then looked up.
+        ids = rows.select("_doc").orderBy(F.xxhash64("_doc"), "_doc").limit(max_docs)
+        return body.join(F.broadcast(ids), "_doc", "left_semi")
+
     with_secret = body.where(F.col("_text").rlike(PATTERNS["assign"]) | F.col("_text").rlike("[0-9a-f]{24}"))
-    values = with_secret.orderBy(*order).limit(max_docs).select(F.explode(F.concat(
+    values = sample(with_secret).select(F.explode(F.concat(
         F.transform(F.regexp_extract_all("_text", F.lit(PATTERNS["assign"]), F.lit(0)), _value),
         F.regexp_extract_all("_text", F.lit("[0-9a-f]{24,}"), F.lit(0)))).alias("token")).where(
         F.length("token") >= LEAST["assign"])
-    words = body.orderBy(*order).limit(max_docs).select(F.explode(F.regexp_extract_all(
+    words = sample(body).select(F.explode(F.regexp_extract_all(
         "_text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token")).where(
         ~F.col("token").rlike("[0-9a-f]{24}|AKIA[A-Z0-9]{16}"))
     random, ordinary = ({r[0]: r[1] for r in _pairs(t).collect()} for t in (values, words))
