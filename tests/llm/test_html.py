@@ -27,6 +27,27 @@ def test_main_text(source, text):
     assert html.main_text(source) == text
 
 
+@pytest.mark.parametrize("source,text", [
+    ("<body class='single has-sidebar'><article><p>a</p></article><div class='sidebar'>s</div></body>", "a"),
+    ("<article class='hentry comments-open'><header class='entry-header'><h1>T</h1></header><p>a</p></article>", "T\na"),
+    ("<article><div class='post-header'><h1>T</h1></div><p>a</p><footer>f</footer></article>", "T\na"),
+    ("<body><form id='aspnet'><nav>m</nav><p>long text</p><div class='ad'>x</div></form><p>b</p></body>", "long text\nb"),
+    ("<div class='with-sidebar'><article>a</article><div class='related'><article>teaser, longer</article></div></div>", "a"),
+    ("<div class='search-results'><article>1</article><article>2</article></div><p>x</p>", "1\n2"),
+    ("<main><h1>T</h1><div class='no-sidebar'><article>abc</article></div><p>x</p></main>", "T\nabc\nx"),
+    ("<main><p>long text</p><div class='related'><article>teaser</article></div></main>", "long text"),
+    ("<article>post</article><div class='comments-area'><article>a long comment</article></div>", "post"),
+    ("<div>post</div><div id='comments' class='x'><p>a long comment</p></div>", "post"),
+    ("<div id='comments'><article>a comment</article></div>", "a comment"),
+    ("<main><form><p>all of it</p></form></main><div class='menu'>a very long menu of many words</div>", "all of it"),
+    ("<article><p>a<svg width='1'/>b</p><svg><text>no</text></svg><p>c</p></article>", "ab\nc"),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mspace width='1'/><mn>1</mn></math> holds<math/>.</p>", "so x=1 holds."),
+    ("<head><meta charset=x><title>t</title><body><p>a</p>", "a"),
+])
+def test_names_do_not_hide_the_page(source, text):
+    assert html.main_text(source) == text
+
+
 def pages():
     def page(i, notice="Please agree.", body=None):
         return (f"<body><section class='info'>{notice}</section><div class='text'><p>{body or f'Story {i} of many words.'}</p>"

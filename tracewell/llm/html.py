@@ -4,7 +4,7 @@ The pages of a host are merged into one tree of styles: a node is a path of elem
 ids. A node's importance comes from two entropies over the pages that have it: of the elements it consists of
 (presentation) and of its text (content). A menu or a notice that is the same on page after page has little of
 both. Branches of low importance are removed from each page, besides those whose element or name says what
-they are; the article's own paragraphs are never removed for being common.
+they are, unless they hold the article; the article's own paragraphs are never removed for being common.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from tracewell.llm.common import free_name, others
 
 # Fixed names from the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title noscript template iframe svg math object select".split())
+RAW = set("script style textarea title noscript template iframe svg annotation annotation-xml object select".split())
+FOREIGN = {"svg", "math"}  # what ends with a slash here is empty
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section "
              "summary table tbody td tfoot th thead title tr ul".split())
@@ -40,6 +41,10 @@ NOISE_NAME = re.compile(
     r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|"
     r"popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|"
     r"toolbar|widget)(?:$|[^a-z])")
+#: Classes and ids of what readers wrote, which may well be longer than the article.
+TALK = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|\s)")
+HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
+WHOLE = set("html body article main".split())  # never noise for their names
 CONTAINERS = BLOCKS - set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot html body head title hr pre".split())
 MAIN = {"article", "main"}
 TOKEN = re.compile(
@@ -49,7 +54,11 @@ ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s
 
 @dataclass
 class Node:
-    """An open element. ``path`` is its style path, ``main`` whether it is or is in an article or main part."""
+    """An open element. ``path`` is its style path, ``main`` whether it is or is in an article or main part.
+
+    ``noise`` says that its tag or one above is noise; ``weak`` and ``part`` are the innermost weak element and
+    main part it is or is in, or -1, and ``article`` whether it is or is in an article.
+    """
 
     tag: str
     path: str
@@ -57,6 +66,9 @@ class Node:
     main: bool
     named: bool
     first: int  # index of its first block
+    weak: int = -1
+    part: int = -1
+    article: bool = False
     children: list[str] = field(default_factory=list)
 
 
@@ -81,10 +93,71 @@ class Page:
     branches: list[Branch] = field(default_factory=list)
 
 
+@dataclass
+class Weak:
+    """An element that is noise by its name or as a form, unless the page says otherwise; ``up`` is the one above."""
+
+    up: int
+    talk: bool  # it is or is in what readers wrote
+
+
+@dataclass
+class Part:
+    """An article or main part that may be the page's own; ``up`` is the one it is in."""
+
+    up: int
+    weak: int
+
+
+def dead(weak: list[Weak], parts: list[Part], blocks: list[tuple[int, int, int]]) -> list[bool]:
+    """Of each weak element whether it is noise; ``blocks`` are size, weak element and part of those that may stay.
+
+    Those around the page's own article aren't: if no article is outside all of them, the ones around the
+    articles that are in the fewest. Nor are those that hold more than half of the text of these articles, or of
+    the page if it has none; what readers wrote only if nothing else is there. A main part with more text outside
+    its articles than inside counts as one itself.
+    """
+    own, whole, depth = [0] * len(parts), [0] * len(parts), []
+    for size, _, part in blocks:
+        if part >= 0:
+            own[part] += size
+    for i in range(len(parts) - 1, -1, -1):
+        whole[i] += own[i]
+        if parts[i].up >= 0:
+            whole[parts[i].up] += whole[i]
+    for w in weak:
+        depth.append(1 + (depth[w.up] if w.up >= 0 else 0))
+    over = [depth[p.weak] if p.weak >= 0 else 0 for p in parts]
+    chosen = [i for i in range(len(parts)) if 2 * own[i] > whole[i]]
+    alive = [False] * len(weak)
+    least = min((over[i] for i in chosen), default=0)
+    for i in chosen:
+        at = parts[i].weak if over[i] == least else -1
+        while at >= 0 and not alive[at]:
+            alive[at], at = True, weak[at].up
+    core = [p.weak < 0 or alive[p.weak] for p in parts]
+    held = [(size, at) for size, at, part in blocks if part >= 0 and core[part]] or [(size, at) for size, at, _ in blocks]
+    total, inside = sum(size for size, _ in held), [0] * len(weak)
+    for size, at in held:
+        if at >= 0:
+            inside[at] += size
+    for i in range(len(weak) - 1, -1, -1):
+        if weak[i].up >= 0:
+            inside[weak[i].up] += inside[i]
+        alive[i] |= 2 * inside[i] > total and (not weak[i].talk or inside[i] == total)
+    out: list[bool] = []
+    for w, lives in zip(weak, alive, strict=True):
+        out.append(not lives or (w.up >= 0 and out[w.up]))
+    return out
+
+
 def read(html: str) -> Page:
     """The page that a browser would more or less see: implied ends are supplied, stray ends ignored."""
     page, buffer = Page(), []
     stack = [Node("", "", False, False, False, 0)]
+    weak: list[Weak] = []
+    parts: list[Part] = []
+    places: list[tuple[int, int]] = []  # of each block its weak element and part
 
     def flush() -> None:
         text = " ".join(unescape("".join(buffer)).split()) if buffer else ""
@@ -93,17 +166,20 @@ def read(html: str) -> Page:
             page.blocks.append(text)
             page.noise.append(stack[-1].noise)
             page.main.append(stack[-1].main)
+            places.append((stack[-1].weak, stack[-1].part))
 
     def close(depth: int) -> None:
         flush()
         while len(stack) > depth:
             node = stack.pop()
-            holds = marks.pop(len(stack), 0) > 0 or node.tag in MAIN
+            inner = marks.pop(len(stack), set()) | ({node.weak} if node.tag in MAIN else set())
             if node.tag in CONTAINERS or node.named:
                 page.branches.append(
-                    Branch(node.path, node.first, len(page.blocks), " ".join(node.children), holds))
+                    Branch(node.path, node.first, len(page.blocks), " ".join(node.children), bool(inner)))
+                held.append(inner)
 
-    marks: dict[int, int] = {}  # articles seen inside an open element, by its depth
+    marks: dict[int, set[int]] = {}  # weak elements of the articles seen inside an open element, by its depth
+    held: list[set[int]] = []  # the same of each branch
     at, size = 0, len(html)
     while at < size:
         match = TOKEN.search(html, at)
@@ -120,7 +196,8 @@ def read(html: str) -> Page:
         if match[1]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
-                    if tag in BLOCKS or stack[depth].noise != stack[depth - 1].noise:
+                    above = stack[depth - 1]
+                    if tag in BLOCKS or (stack[depth].noise, stack[depth].weak) != (above.noise, above.weak):
                         close(depth)
                     elif not any(n.tag in BLOCKS for n in stack[depth + 1:]):  # text goes on in the same block
                         del stack[depth:]
@@ -132,6 +209,12 @@ def read(html: str) -> Page:
         if tag == "br":
             buffer.append(" ")
             continue
+        if tag in FOREIGN and match[3].endswith("/"):
+            continue
+        if tag in ("mtr", "mtd"):
+            buffer.append(" ")
+        if stack[-1].tag == "head" and tag not in HEAD:
+            close(len(stack) - 1)
         if tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
             at = end.end() if end else size
@@ -161,14 +244,30 @@ def read(html: str) -> Page:
             style += "." + ".".join(re.sub(r"\d+", "9", names).split())
         above.children.append(style)
         inside = above.main or tag in MAIN or "main" in names.split()
-        noise = above.noise or tag in NOISE or bool(names and NOISE_NAME.search(names))
+        said = names.replace("header", "") if above.article else names
+        noise = above.noise or (tag in NOISE and tag != "form" and not (tag == "header" and above.article))
+        within, part = above.weak, above.part
+        if tag == "form" or (tag not in WHOLE and said and NOISE_NAME.search(said)):
+            talk = bool(TALK.search(names)) or (within >= 0 and weak[within].talk)
+            weak.append(Weak(within, talk))
+            within = len(weak) - 1
+        elif inside and (tag in MAIN or "main" in names.split()) and not above.article and not noise:
+            if within < 0 or not weak[within].talk:
+                parts.append(Part(part, within))
+                part = len(parts) - 1
         if tag in MAIN and not noise:
             for depth in range(1, len(stack)):
-                marks[depth] = marks.get(depth, 0) + 1
-        if names and tag not in BLOCKS and noise != above.noise:
+                marks.setdefault(depth, set()).add(within)
+        if names and tag not in BLOCKS and (noise, within) != (above.noise, above.weak):
             flush()  # an inline part with a name of its own ends the block
-        stack.append(Node(tag, f"{above.path}>{style}", noise, inside, bool(names), len(page.blocks)))
+        stack.append(Node(tag, f"{above.path}>{style}", noise, inside, bool(names), len(page.blocks), within, part,
+                          above.article or tag == "article"))
     close(1)
+    if weak:
+        gone = dead(weak, parts, [(len(b), *at) for b, n, at in zip(page.blocks, page.noise, places, strict=True) if not n])
+        for branch, inner in zip(page.branches, held, strict=True):
+            branch.holds = any(at < 0 or not gone[at] for at in inner)
+        page.noise = [n or (at >= 0 and gone[at]) for n, (at, _) in zip(page.noise, places, strict=True)]
     return page
 
 
