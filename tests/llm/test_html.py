@@ -73,6 +73,29 @@ def test_style_tree_removes_what_repeats(spark):
     assert [r.text for r in repeated.collect()] == [texts[20].replace("Story 20", "Story 3")] * 2
 
 
+def test_article_stays_whole(spark):
+    def article(i, end):
+        return f"<article><h1>T{i}</h1><p>One of the two.</p><p class='lead'>And {i}.</p><ul><li>a<li>b</ul>{end}</article>"
+
+    def plain(i, times):
+        return f"<div class='note'>Agree to it.</div><div class='text'><p>Text {i} of the page, and more.</p></div><i>{i}</i>", times
+
+    rows = [("https://a.example.org", article(0, ""))] * 3
+    rows += [("https://b.example.org", article(i, "<section>x</section><div class='y'>y</div>")) for i in range(4)]
+    rows += [("https://c.example.org", html_) for html_, times in (plain(1, 9), plain(2, 1)) for _ in range(times)]
+    got = html.extracted(spark.createDataFrame(rows, "url string, html string"))
+    want = [("T0\nOne of the two.\nAnd 0.\na\nb")] * 3
+    want += [f"T{i}\nOne of the two.\nAnd {i}.\na\nb\nx\ny" for i in range(4)]
+    # Two distinct pages, one of them copied nine times, say too little of what repeats.
+    want += [f"Agree to it.\nText {i} of the page, and more.\n{i}" for i in [1] * 9 + [2]]
+    assert sorted(r.text for r in got.collect()) == sorted(want)
+
+
+def test_half_of_what_is_left():
+    page = "<div class='a'>first</div><div class='b'>other</div><div class='c'>third</div>"
+    assert html.main_text(page, {">div.a", ">div.b", ">div.c"}) == "other\nthird"
+
+
 def test_entropies(spark):
     df = spark.createDataFrame(pages(), "page_id long, url string, html string")
     tree = {(r.host, r.path): r for r in html.style_tree(df).collect()}

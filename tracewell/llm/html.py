@@ -10,6 +10,7 @@ they are, unless they hold the article; the article's own paragraphs are never r
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -74,13 +75,17 @@ class Node:
 
 @dataclass
 class Branch:
-    """A closed container: its blocks are ``[first, last)``; ``holds`` says whether an article is inside."""
+    """A closed container: its blocks are ``[first, last)``; ``holds`` says whether an article is inside.
+
+    ``main`` says whether it is or is in an article or main part.
+    """
 
     path: str
     first: int
     last: int
     children: str
     holds: bool
+    main: bool
 
 
 @dataclass
@@ -175,7 +180,7 @@ def read(html: str) -> Page:
             inner = marks.pop(len(stack), set()) | ({node.weak} if node.tag in MAIN else set())
             if node.tag in CONTAINERS or node.named:
                 page.branches.append(
-                    Branch(node.path, node.first, len(page.blocks), " ".join(node.children), bool(inner)))
+                    Branch(node.path, node.first, len(page.blocks), " ".join(node.children), bool(inner), node.main))
                 held.append(inner)
 
     marks: dict[int, set[int]] = {}  # weak elements of the articles seen inside an open element, by its depth
@@ -271,21 +276,31 @@ def read(html: str) -> Page:
     return page
 
 
+def kept(page: Page) -> list[bool]:
+    """Of each block whether it is in the page's article or, without one, not noise."""
+    keep = [not n for n in page.noise]
+    if any(k and m for k, m in zip(keep, page.main, strict=True)):
+        keep = [k and m for k, m in zip(keep, page.main, strict=True)]
+    return keep
+
+
 def main_text(html: str | None, low: set[str] = frozenset()) -> str:
     """The blocks of a page's article, joined by line ends; ``low`` are paths of unimportant branches.
 
     A page without an article or main part gives all that is not noise. A branch stays, however unimportant
-    its path, if it holds the article or half of the page's text.
+    its path, if it holds the article, is in it, or has half of the text that is left when its end is reached.
     """
     page = read(html or "")
-    keep = [not n for n in page.noise]
-    if any(k and m for k, m in zip(keep, page.main, strict=True)):
-        keep = [k and m for k, m in zip(keep, page.main, strict=True)]
+    keep = kept(page)
     sizes = [len(b) * k for b, k in zip(page.blocks, keep, strict=True)]
+    left = sum(sizes)
     for branch in page.branches:
-        if branch.path in low and not branch.holds:
-            if 2 * sum(sizes[branch.first:branch.last]) < sum(sizes):
-                keep[branch.first:branch.last] = [False] * (branch.last - branch.first)
+        if branch.path in low and not branch.holds and not branch.main:
+            own = sum(sizes[branch.first:branch.last])
+            if 2 * own < left:
+                left -= own
+                for i in range(branch.first, branch.last):
+                    keep[i], sizes[i] = False, 0
     return "\n".join(b for b, k in zip(page.blocks, keep, strict=True) if k)
 
 
@@ -295,28 +310,41 @@ def host(url: str = "url") -> Column:
         F.col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)), F.lit(""))
 
 
-def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, path, pages, presentation, content, importance`` of each style node that is a container.
+def style_nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host, page, path, children, text, n``: how often each distinct page has a style node of these hashes.
 
-    ``presentation`` and ``content`` are entropies over the occurrences of a node, in units of the highest that
-    so many occurrences can have: 0 if all are alike, 1 if all differ, and 1 for a single one. ``importance``
-    weighs content twice. Texts and element lists enter as hashes.
+    ``page`` is a hash of the whole page, so that equal pages of a host are one.
     """
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for site, source in zip(batch["host"], batch["html"], strict=True):
-                page = read(source or "")
+            for site, key, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
+                page, seen = read(source or ""), Counter()
                 for b in page.branches:
                     if not b.holds:
                         text = "\n".join(page.blocks[b.first:b.last])
-                        out.append((site, b.path, xxhash.xxh3_64_intdigest(b.children) >> 1,
-                                    xxhash.xxh3_64_intdigest(text) >> 1))
-            yield pd.DataFrame(out, columns=["host", "path", "children", "text"])
+                        seen[b.path, xxhash.xxh3_64_intdigest(b.children) >> 1, xxhash.xxh3_64_intdigest(text) >> 1] += 1
+                out += [(site, key, *node, n) for node, n in seen.items()]
+            yield pd.DataFrame(out, columns=["host", "page", "path", "children", "text", "n"])
+
+    found = pages.select(host(url).alias("host"), F.xxhash64(F.col(f"`{html}`").cast("string")).alias("page"), F.col(
+        f"`{html}`").cast("string").alias("html")).mapInPandas(
+        nodes, "host string, page long, path string, children long, text long, n long")
+    return materialize(found.groupBy("host", "page", "path", "children", "text").agg(F.max("n").alias("n")), "style-nodes")
+
+
+def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``host, path, pages, presentation, content, importance`` of each style node that is a container.
+
+    ``presentation`` and ``content`` are entropies over the occurrences of a node, in units of the highest that
+    so many occurrences can have: 0 if all are alike, 1 if all differ, and 1 for a single one. ``importance``
+    weighs content twice. Texts and element lists enter as hashes, and equal pages of a host once.
+    """
+    return _tree(style_nodes(pages, url, html))
+
 
-    found = pages.select(host(url).alias("host"), F.col(html).alias("html")).mapInPandas(
-        nodes, "host string, path string, children long, text long")
-    counted = materialize(found.groupBy("host", "path", "children", "text").count(), "style-nodes")
+def _tree(nodes: DataFrame) -> DataFrame:
+    counted = nodes.groupBy("host", "path", "children", "text").agg(F.sum("n").alias("count"))
 
     def entropy(of: str) -> DataFrame:
         each = counted.groupBy("host", "path", of).agg(F.sum("count").alias("n"))
@@ -341,11 +369,11 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
     nodes = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
     lows = materialize(nodes.join(counts, "host").where(F.col("pages") >= least_share * F.col("of")).groupBy(
         "host").agg(F.collect_set("path").alias("_low")), "low-branches")
-    kept, site = others(pages, [text]), free_name(pages, "_host")
+    columns, site = others(pages, [text]), free_name(pages, "_host")
     first, second = free_name(pages, "_low"), free_name(pages, "_html")
     source = pages.withColumn(site, host(url)).join(
         lows.select(F.col("host").alias(site), F.col("_low").alias(first)), site, "left").select(
-        first, F.col(f"`{html}`").cast("string").alias(second), *(F.col(f"`{c}`") for c in kept))
+        first, F.col(f"`{html}`").cast("string").alias(second), *(F.col(f"`{c}`") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -353,7 +381,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
                 part = batch.slice(start, 256)
                 texts = [main_text(h, set(low or ())) for low, h in zip(
                     part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*kept, text])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(texts, pa.string())], names=[*columns, text])
 
     schema = source.drop(first, second).schema.add(text, "string")
     return source.mapInArrow(run, schema)
