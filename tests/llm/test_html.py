@@ -91,6 +91,15 @@ def test_article_stays_whole(spark):
     assert sorted(r.text for r in got.collect()) == sorted(want)
 
 
+def test_templates_of_a_large_host(spark):
+    def page(i, notice):
+        return f"<body>{notice}<div class='text'><p>Text {i} of the page, and more.</p></div></body>"
+
+    rows = [(i, "https://a.example.org", page(i, "<div class='x7'>Agree to it.</div>" * (i < 3))) for i in range(60)]
+    got = html.extracted(spark.createDataFrame(rows, "_page int, url string, html string"))
+    assert {r["_page"]: r.text for r in got.collect()} == {i: f"Text {i} of the page, and more." for i in range(60)}
+
+
 def test_half_of_what_is_left():
     page = "<div class='a'>first</div><div class='b'>other</div><div class='c'>third</div>"
     assert html.main_text(page, {">div.a", ">div.b", ">div.c"}) == "other\nthird"

@@ -311,26 +311,31 @@ def host(url: str = "url") -> Column:
 
 
 def style_nodes(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``host, page, path, children, text, n``: how often each distinct page has a style node of these hashes.
+    """``host, page, path, children, text, n, open``: how often each distinct page has a style node of these hashes.
 
-    ``page`` is a hash of the whole page, so that equal pages of a host are one.
+    ``page`` is a hash of the whole page, so that equal pages of a host are one; ``open`` says whether the node
+    has text of the page that would go with it.
     """
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for site, key, source in zip(batch["host"], batch["page"], batch["html"], strict=True):
-                page, seen = read(source or ""), Counter()
+                page, seen, may_go = read(source or ""), Counter(), set()
+                keep = kept(page)
                 for b in page.branches:
                     if not b.holds:
+                        if not b.main and any(keep[b.first:b.last]):
+                            may_go.add(b.path)
                         text = "\n".join(page.blocks[b.first:b.last])
                         seen[b.path, xxhash.xxh3_64_intdigest(b.children) >> 1, xxhash.xxh3_64_intdigest(text) >> 1] += 1
-                out += [(site, key, *node, n) for node, n in seen.items()]
-            yield pd.DataFrame(out, columns=["host", "page", "path", "children", "text", "n"])
+                out += [(site, key, *node, n, node[0] in may_go) for node, n in seen.items()]
+            yield pd.DataFrame(out, columns=["host", "page", "path", "children", "text", "n", "open"])
 
     found = pages.select(host(url).alias("host"), F.xxhash64(F.col(f"`{html}`").cast("string")).alias("page"), F.col(
         f"`{html}`").cast("string").alias("html")).mapInPandas(
-        nodes, "host string, page long, path string, children long, text long, n long")
-    return materialize(found.groupBy("host", "page", "path", "children", "text").agg(F.max("n").alias("n")), "style-nodes")
+        nodes, "host string, page long, path string, children long, text long, n long, open boolean")
+    return materialize(found.groupBy("host", "page", "path", "children", "text").agg(
+        F.max("n").alias("n"), F.max("open").alias("open")), "style-nodes")
 
 
 def style_tree(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
@@ -358,22 +363,22 @@ def _tree(nodes: DataFrame) -> DataFrame:
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str = "text", least_pages: int = 3,
-              least_share: float = 0.1, low: float = 0.2) -> DataFrame:
+              low: float = 0.2) -> DataFrame:
     """``pages`` with the main text of each whole page, which replaces a column named ``text``.
 
-    Style nodes on at least ``least_pages`` pages and a share ``least_share`` of a host's pages are removed if
-    their importance is below ``low``; the share bounds how many there can be for a host. A null or empty page
+    Style nodes that occur at least ``least_pages`` times, on equal pages once, are removed if their importance is
+    below ``low``, however many pages their host has: each page is joined with those of its own that are low. A null or empty page
     has an empty text; equal pages of a host have equal texts; pages without a host form one site.
     """
-    counts = pages.groupBy(host(url).alias("host")).agg(F.count("*").alias("of"))
-    nodes = style_tree(pages, url, html).where((F.col("pages") >= least_pages) & (F.col("importance") < low))
-    lows = materialize(nodes.join(counts, "host").where(F.col("pages") >= least_share * F.col("of")).groupBy(
-        "host").agg(F.collect_set("path").alias("_low")), "low-branches")
-    columns, site = others(pages, [text]), free_name(pages, "_host")
+    nodes = style_nodes(pages, url, html)
+    poor = _tree(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < low)).select("host", "path")
+    lows = materialize(nodes.where("open").select("host", "page", "path").join(poor, ["host", "path"]).groupBy(
+        "host", "page").agg(F.collect_set("path").alias("_low")), "low-branches")
+    columns, site, key = others(pages, [text]), free_name(pages, "_host"), free_name(pages, "_page")
     first, second = free_name(pages, "_low"), free_name(pages, "_html")
-    source = pages.withColumn(site, host(url)).join(
-        lows.select(F.col("host").alias(site), F.col("_low").alias(first)), site, "left").select(
-        first, F.col(f"`{html}`").cast("string").alias(second), *(F.col(f"`{c}`") for c in columns))
+    source = pages.withColumns({site: host(url), key: F.xxhash64(F.col(f"`{html}`").cast("string"))}).join(
+        lows.select(F.col("host").alias(site), F.col("page").alias(key), F.col("_low").alias(first)), [site, key],
+        "left").select(first, F.col(f"`{html}`").cast("string").alias(second), *(F.col(f"`{c}`") for c in columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
