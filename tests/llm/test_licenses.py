@@ -59,3 +59,28 @@ def test_against_plain(spark):
         assert got.columns == ["path", "license", "cosine", "origin", "directory"]
         assert sorted(map(tuple, got.collect()), key=repr) == plain(FILES, 0.6, share)
     assert L.licensed(df.limit(0)).collect() == []
+
+
+def test_headers_and_texts(spark):
+    import textwrap
+
+    body = lambda name, start: next(t for n, t in L.BODIES if n == name and t.startswith(start))
+    wrap = lambda text, by: "\n".join(by + row for row in textwrap.wrap(text, 70))
+    code = "\n\n" + "x = call(y)\n" * 400
+    gpl2, gpl3, agpl = (body(n, "This program") for n in ("GPL-2.0", "GPL-3.0", "AGPL-3.0"))
+    bsd3, bsd2 = (body(n, "Redistribution") for n in ("BSD-3-Clause", "BSD-2-Clause"))
+    files = [
+        ("a/x.py", "#!/usr/bin/python\n# Copyright 2020 A. Person\n#\n" + wrap(gpl2, "# ") + code, "GPL-2.0"),
+        ("a/y.c", "/* Copyright 2020 A. Person\n" + wrap(gpl3, " * ") + "\n */" + code, "GPL-3.0"),
+        ("a/z.js", wrap(agpl, "// ") + code, "AGPL-3.0"),
+        ("b/LICENSE", "Copyright (c) 2020, A. Person\nAll rights reserved.\n\n" + wrap(bsd3, ""), "BSD-3-Clause"), ("b/c/d", "x", "BSD-3-Clause"),
+        ("c/LICENSE", "Copyright (c) 2020, A. Person\n\n" + wrap(bsd2, ""), "BSD-2-Clause"),
+        ("d/LICENSE.txt", "Copyright (c) 2020 A. Person\n\n" + wrap(body("MIT", "Permission"), ""), "MIT"),
+        ("e/x", "code\nThis work is licensed under the GNU General Public License, version 2.\n", "GPL-2.0"),
+        ("e/y", "code\nThis work is licensed under the GNU Affero General Public License, version 3.\n", "AGPL-3.0"),
+        ("e/z", "code\nLicensed under CC BY-SA 4.0.\n", "CC-BY-SA-4.0"), ("f/x", "# This is no licence at all.\n" + code, None),
+        ("g/COPYING", "GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991\n\nCopyright (C) 1989, 1991 Free Software Foundation, Inc.\n"
+         "Everyone is permitted to copy and distribute verbatim copies\nof this license document, but changing it is not allowed.\n"
+         + "The terms of the work and its copies. " * 300, "GPL-2.0")]
+    got = L.licensed(spark.createDataFrame([f[:2] for f in files], "path string, text string"))
+    assert {r.path: r.license for r in got.collect()} == {p: name for p, _, name in files}

@@ -1,7 +1,8 @@
 """Licences of files, as DataFrame operations: own headers and licence files by TF-IDF, the rest by directory.
 
 Lines that mention licensing are compared with templates by the cosine of their sparse TF-IDF vectors, over
-the collection of distinct such lines. A file that is a licence file speaks for its directory and all below;
+the collection of distinct such lines; where no line says it, the leading comment or paragraph of a file and the
+whole text of a licence file are compared with headers and texts of licences. A file that is a licence file speaks for its directory and all below;
 a file without a licence of its own inherits from the nearest ancestor that has one.
 """
 
@@ -29,7 +30,84 @@ TEMPLATES = [
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
 ]
+
+def _gnu(name: str, version: str) -> str:
+    return (f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {name} as "
+            f"published by the Free Software Foundation, either version {version} of the License, or (at your option) any "
+            "later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+            "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU "
+            f"{name} for more details. You should have received a copy of the GNU {name} along with this program. If not, "
+            "see https://www.gnu.org/licenses/.")
+
+
+_LIABLE = ("IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+           "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; "
+           "LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN "
+           "CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
+           "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_BSD = ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+        "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of "
+        "conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, "
+        "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+        "distribution. ")
+_AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
+          "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
+          "DISCLAIMED. ")
+_GNU = [("GPL", "General Public License", ("2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")),
+        ("AGPL", "Affero General Public License", ("3.0",))]
+_CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+       ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+       ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+#: Headers, texts and beginnings of texts, for what no single line says, and licences near those above.
+BODIES = [
+    *((f"{k}-{v}", text) for k, name, versions in _GNU for v in versions for text in (
+        _gnu(name, v.removesuffix(".0")), f"This work is licensed under the GNU {name}, version {v.removesuffix('.0')}.",
+        f"SPDX-License-Identifier: {k}-{v}", f"GNU {name} Version {v.removesuffix('.0')}",
+        f"GNU {name} Version {v.removesuffix('.0')} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy "
+        "and distribute verbatim copies of this license document, but changing it is not allowed.")),
+    *((f"CC-{k}-4.0", text) for k, name in _CC for text in (
+        f"This work is licensed under a Creative Commons {name} 4.0 International License.", f"Licensed under CC {k} 4.0.",
+        f"Creative Commons {name} 4.0 International Public License")),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+     "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless "
+     "required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" "
+     "BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific "
+     "language governing permissions and limitations under the License."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, "
+     "REPRODUCTION, AND DISTRIBUTION 1. Definitions."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
+     "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
+    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", _BSD + _AS_IS + _LIABLE), ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+     "or promote products derived from this software without specific prior written permission. " + _AS_IS + _LIABLE),
+    ("MIT", "MIT License"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+     "documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the "
+     "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and "
+     "this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "
+     "\"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
+     "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS "
+     "BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+     "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+     "granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS "
+     "PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF "
+     "MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL "
+     "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+     "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+]
 MENTION = "(?i)licen[cs]"
+GRANT = r"(?i)licen[cs]|permission\W+is\W+hereby|redistribution\W+and\W+use|permission\W+to\W+use"
+#: How lines of leading comments begin.
+COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--)"
+HEADS = (8, 16, 40, 60)  # words of the beginnings of licence files, which are titles of long texts
+VERSION = (r"(?:version |v |gpl-?v?|(?:by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives|apache|mpl)[ -])"
+           r"([0-9](?:[.][0-9])?)")
+KINDS = {"affero": "affero|agpl", "lesser": "lesser|library|lgpl", "nc": "noncommercial|nc", "sa": "sharealike|sa",
+         "nd": "noderivatives|nd"}
 WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
 
@@ -38,16 +116,29 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
+def _told(text: str) -> tuple[Column, Column]:
+    """The versions and the kinds of licence, in the order of ``KINDS``, that a text names."""
+    said = F.array_join(_words(text), " ")
+    versions = F.transform(F.regexp_extract_all(said, F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, "[.]0$", ""))
+    return F.array_distinct(versions), F.array(*(said.rlike(rf"\b(?:{k})(?:\b|(?=v?[0-9]))") for k in KINDS.values()))
+
+
 def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """``line, license, cosine``: the nearest template of each distinct ``line``; equal ones by name.
 
     Weights are a term's count times ln(N / n) + 1, n of the N lines and templates having the term. A line that
-    shares no term with any template has no row.
+    shares no term with any template has no row. A template whose licence has a version or a kind, such as
+    Affero or NonCommercial, must agree with the line on these.
     """
-    texts = lines.sparkSession.createDataFrame(
-        [(i, name, text) for i, (name, text) in enumerate(templates)], "id int, license string, text string")
     own = lines.select("line").where(F.col("line").isNotNull()).distinct()
-    terms = materialize(own.select("line", F.explode(_words("line")).alias("term")).groupBy("line", "term").agg(
+    return _nearest(own.withColumn("said", F.col("line")), templates)
+
+
+def _nearest(own: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
+    """The same for distinct ``line``, which stands for the text ``said``."""
+    texts = own.sparkSession.createDataFrame(
+        [(i, name, text) for i, (name, text) in enumerate(templates)], "id int, license string, text string")
+    terms = materialize(own.select("line", F.explode(_words("said")).alias("term")).groupBy("line", "term").agg(
         F.count("*").alias("tf")), "terms")
     wanted = texts.select("id", "license", F.explode(_words("text")).alias("term")).groupBy("id", "license", "term").agg(
         F.count("*").alias("tf"))
@@ -61,16 +152,42 @@ def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     dots = weighted.join(model, "term").groupBy("line", "id", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
     near = dots.join(sizes, "id").join(norms, "line").select(
         "line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine"))
+    versions, kinds = _told("license")
+    names = texts.select("license").distinct().select("license", versions.alias("v"), kinds.alias("k"))
+    versions, kinds = _told("said")
+    near = near.join(names, "license").join(own.select("line", versions.alias("vs"), kinds.alias("ks")), "line").where(
+        ((F.size("v") == 0) & ~F.array_contains("k", True)) | (
+            (F.size(F.array_except("v", "vs")) == 0) & (F.col("k") == F.col("ks"))))
     best = near.groupBy("line").agg(F.min(F.struct(-F.col("cosine"), F.col("license"))).alias("b"))
     return best.select("line", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"))
 
 
+def _blocks(body: DataFrame) -> DataFrame:
+    """``path, words, line, said, n``: leading comments or paragraphs, and texts and beginnings of licence files."""
+    rows = F.split("text", "\r?\n|\r")
+    code = F.array_position(F.transform(rows, lambda r: r.rlike(COMMENT)), False)
+    inside = F.regexp_extract("text", r"(?s)\A(?:#![^\n]*\n)?\s*(?:<[?]\w*\s*)?(?:/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\")", 0)
+    leading = F.array_join(F.when(code == 0, rows).otherwise(F.slice(rows, 1, F.greatest(code - 1, F.lit(0)).cast("int"))), "\n")
+    first = F.element_at(F.split(F.ltrim("text"), r"\r?\n[ \t]*\r?\n", 2), 1)
+    header = F.when(inside != "", inside).when(leading.rlike(r"\w"), leading).otherwise(first)
+    named = F.regexp_extract("path", "([^/]*)$", 1).rlike(NAMES)
+    words = _words("text")
+    said = F.when(named, F.array(
+        F.col("text"), *(F.array_join(F.slice(words, 1, n), " ") for n in HEADS))).otherwise(F.array(header))
+    return body.where(F.col("path").isNotNull() & F.col("text").rlike(GRANT)).select(
+        "path", F.size(words).alias("words"), F.explode(said).alias("said")).where(F.col("said").rlike(GRANT)).select(
+        "path", "words", F.sha2("said", 256).alias("line"), "said", F.size(_words("said")).alias("n"))
+
+
 def licensed(files: DataFrame, path: str = "path", text: str = "text", threshold: float = 0.6,
-             file_share: float = 0.5, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+             file_share: float = 0.5, templates: list[tuple[str, str]] = TEMPLATES,
+             bodies: list[tuple[str, str]] = BODIES) -> DataFrame:
     """``path, license, cosine, origin, directory`` for every file.
 
     A file's own licence is that of its line nearest to a template, from ``threshold`` on (equal ones by name of
-    the licence); ``origin`` is then ``own``. A file is a licence file if it has one and is named as such or such
+    the licence); ``origin`` is then ``own``. Without such a line it is that of its leading comment, or else paragraph,
+    its other lines on licensing or, if it is named as a licence file, its text or beginning, whichever is
+    nearest to one of ``bodies``. A file is a licence file if it has one and is named as such or such
     lines make up ``file_share`` of its words; a directory's licence is that of its nearest-matching licence
     file, equal ones by name. Other files inherit from the nearest ancestor directory with a licence, their
     own directory first: ``origin`` is ``inherited`` and ``directory`` where from. Without any all are null.
@@ -85,12 +202,19 @@ def licensed(files: DataFrame, path: str = "path", text: str = "text", threshold
         F.explode(F.split("text", "\r?\n|\r")).alias("line")).where(F.col("line").rlike(MENTION))
     lines = materialize(lines, "lines")
     best = line_licences(lines, templates).where(F.col("cosine") >= threshold)
-    hits = lines.where("path IS NOT NULL").join(best, "line").select(
-        "path", "words", "license", "cosine", F.size(_words("line")).alias("n"))
+    lines = lines.where("path IS NOT NULL")
+    hits = lines.join(best, "line").select(
+        "path", "words", "license", "cosine", F.size(_words("line")).alias("n"), F.lit(0).alias("rank"))
+    blocks = materialize(_blocks(body).unionByName(lines.join(best, "line", "left_anti").select(
+        "path", "words", F.sha2("line", 256).alias("line"), F.col("line").alias("said"), F.size(_words("line")).alias("n"))).join(
+        hits.select("path").distinct(), "path", "left_anti"), "blocks")
+    texts = blocks.groupBy("line").agg(F.max("said").alias("said"))
+    hits = hits.unionByName(blocks.join(_nearest(texts, bodies).where(F.col("cosine") >= threshold), "line").select(
+        "path", "words", "license", "cosine", "n", F.lit(1).alias("rank")))
     own = materialize(hits.groupBy("path").agg(
-        F.min(F.struct(-F.col("cosine"), F.col("license"))).alias("b"), F.sum("n").alias("n"),
-        F.max("words").alias("words")).select(
-        "path", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"),
+        F.min(F.struct("rank", (-F.col("cosine")).alias("far"), "license")).alias("b"),
+        F.coalesce(F.sum(F.when(F.col("rank") == 0, F.col("n"))), F.max("n")).alias("n"), F.max("words").alias("words")).select(
+        "path", F.col("b.license").alias("license"), (-F.col("b.far")).alias("cosine"),
         (F.col("n") >= file_share * F.col("words")).alias("whole")), "own-licences")
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     name = F.regexp_extract("path", "([^/]*)$", 1)
