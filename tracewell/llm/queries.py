@@ -8,7 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewell.llm import bpe, chat, decontaminate, html, licenses, lz, minhash, pii, quality, secrets
+from tracewell.llm import (
+    bpe, chat, decontaminate, html, infill, licenses, lz, manifest, minhash, pii, quality, secrets, sharding)
 from tracewell.llm.oracles import oracle_sql  # noqa: F401  for whoever adds the queries
 
 
@@ -128,5 +129,41 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a fill-in-middle example, and the text that comes back from it, as digests."""
+    docs = infill.fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(), 256).alias("restored_sha256"))
+
+
+#: Shards of the sharding query.
+SHARDS = 16
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard of every document, by its id, its place there, and the shard it goes to when there is one more."""
+    rows = sharding.assigned(
+        table(spark, sf_dir, "documents"), sharding.even(SHARDS), sharding.even(SHARDS + 1))
+    return rows.withColumn("law", F.lit("key"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a leaf of a Merkle tree by language, and whether its witness proves it after tampering.
+
+    Tampering adds 1 to the n_chars of every document whose id has a checksum that 7 divides.
+    """
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    leaf, other = (manifest.leaf_digest(F.col("doc_id"), F.col("source"), F.col("lang"), n, F.col("text"))
+                   for n in (F.col("n_chars"), tampered))
+    built = manifest.built(docs, F.col("lang"), F.col("doc_id"), leaf, other)
+    return manifest.proven(built, "doc_id").drop("other", "witness")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_preferences": op1_preferences, "op2_licenses": op2_licenses, "op3_bpe": op3_bpe, "op4_lz_fingerprints": op4_lz_fingerprints, "op5_html": op5_html, "op6_quality": op6_quality, "op7_pii": op7_pii, "op8_secrets": op8_secrets, "op9_near_dedup": op9_near_dedup, "op10_decontaminate": op10_decontaminate}
+    operators = (
+        op1_preferences, op2_licenses, op3_bpe, op4_lz_fingerprints, op5_html, op6_quality, op7_pii, op8_secrets,
+        op9_near_dedup, op10_decontaminate, op11_infill, op12_shards, op13_manifest)
+    return {f.__name__: f for f in operators}
