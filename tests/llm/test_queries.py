@@ -15,7 +15,7 @@ pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="no test table
 
 def test_all_are_registered():
     names = entry.queries().keys()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
     assert "pipeline" in names and Q.oracle_sql().keys() <= entry.oracle_sql().keys() & names
 
 

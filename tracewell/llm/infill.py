@@ -144,9 +144,10 @@ class Text:
 
 def _check(markers: Sequence[str]) -> None:
     """Markers must be told from the text around them wherever they stand."""
-    crossing = any(a.endswith(b[:n]) for a in markers for b in markers for n in range(1, min(len(a), len(b)) + (a != b)))
+    crossing = any(
+        a != b and b in a or any(a.endswith(b[:n]) for n in range(1, min(len(a), len(b)))) for a in markers for b in markers)
     if len(markers) != 3 or len(set(markers)) < 3 or not all(markers) or crossing:
-        raise ValueError("three different markers are needed, none of which begins as one ends")
+        raise ValueError("three different markers are needed, none of which holds another or begins as one ends")
     if any(len(m.encode()) > LEAST for m in markers):
         raise ValueError(f"a marker may have {LEAST} bytes at most")
 

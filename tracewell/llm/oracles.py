@@ -114,6 +114,82 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM d LEFT JOIN counts USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
+INFILL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+draws AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT % (length(t) + 1) AS x,
+    ('0x' || h[9:16])::BIGINT % (length(t) + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4
+    FROM d),
+forms AS (SELECT doc_id, t, n, least(x, y) AS a, greatest(x, y) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+        WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM draws),
+parts AS (SELECT *, left(t, a::BIGINT) AS p, substring(t, a + 1, b - a) AS m, substring(t, b + 1) AS s FROM forms)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+    CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(t) AS restored_sha256 FROM parts"""
+
+#: The remainder table of the checksum, as ``remainders.r``, and the checksum of a text with it.
+CRC_TABLE = """remainders AS MATERIALIZED (SELECT list(r ORDER BY i) AS r FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS r FROM range(256) t(i)))"""
+
+
+def crc32(text: str) -> str:
+    """Needs ``remainders`` among the tables."""
+    return f"""xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda a, b: xor(a >> 8, r[(xor(a, b) & 255) + 1])), 4294967295)"""
+
+
+SHARDS = f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS key, octet_length(encode(coalesce(text, ''))) + 1 AS size,
+    {crc32("coalesce(text, '')")} AS text_crc32 FROM documents, remainders),
+trees AS (SELECT n, s, s % 4 AS region, s // 4 % 2 AS rack FROM (SELECT unnest([16, 17]) AS n), range(17) t(s) WHERE s < n),
+paths AS (SELECT n, s, '/r' || region AS p1, '/r' || region || '/k' || rack AS p2,
+    '/r' || region || '/k' || rack || '/s' || s AS p3 FROM trees),
+nodes AS (SELECT DISTINCT n, unnest([p1, p2, p3]) AS path, unnest(['', p1, p2]) AS above FROM paths),
+draws AS (SELECT doc_id, key, path, -ln((('0x' || sha256(path || ':' || key)[1:13])::BIGINT + 0.5::DOUBLE) / (1::BIGINT << 52)) AS draw
+    FROM (SELECT DISTINCT doc_id, key FROM d), (SELECT DISTINCT path FROM nodes)),
+best AS (SELECT key, n, above, arg_min(path, draw) AS path FROM draws JOIN nodes USING (path) GROUP BY key, n, above),
+placed AS (SELECT a.key, a.n, paths.s FROM best a JOIN best b ON b.key = a.key AND b.n = a.n AND b.above = a.path
+    JOIN best c ON c.key = a.key AND c.n = a.n AND c.above = b.path JOIN paths ON paths.n = a.n AND p3 = c.path WHERE a.above = '')
+SELECT doc_id, size, text_crc32, 'key' AS law, x.s::INTEGER AS shard,
+    row_number() OVER (PARTITION BY x.s ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, y.s::INTEGER AS grown_shard
+FROM d JOIN placed x ON x.key = d.key AND x.n = 16 JOIN placed y ON y.key = d.key AND y.n = 17"""
+
+_FIELD = "coalesce(octet_length(encode({0}::VARCHAR)) || ':' || {0}, '-')"
+_LEAF = "sha256({} || {} || {} || {{}} || {})".format(*(_FIELD.format(c) for c in ("doc_id", "source", "lang", "text")))
+_TAMPERED = _FIELD.format("(n_chars + CASE WHEN crc % 7 = 0 THEN 1 ELSE 0 END)")
+#: Levels of (team, pos, node): pairs are hashed until one node of the team is left; ``sizes`` has what a team begins with.
+_LEVEL = """SELECT team, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), any_value(ceil(size / 2)::BIGINT)
+    FROM {0} WHERE size > 1 GROUP BY team, level, pos // 2"""
+#: A leaf's way up: the node it is under, the siblings so far and what the other leaf folds to.
+_CLIMB = """SELECT c.leaf_at, c.team, c.level + 1, c.pos // 2, c.siblings || coalesce(s.node, ''),
+        sha256(CASE WHEN s.pos < c.pos THEN s.node || c.fold ELSE c.fold || coalesce(s.node, '') END)
+    FROM {1} c JOIN {0} own ON own.team = c.team AND own.level = c.level AND own.pos = c.pos AND own.size > 1
+    LEFT JOIN {0} s ON s.team = c.team AND s.level = c.level AND s.pos = xor(c.pos, 1)"""
+MANIFEST = f"""WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT *, CASE WHEN doc_id IS NULL THEN 1 ELSE {crc32("doc_id::VARCHAR")} END AS crc FROM documents, remainders),
+leaves AS (SELECT doc_id, coalesce('=' || lang, '') AS team, leaf, other, count(*) OVER (PARTITION BY lang) AS size,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS pos FROM (
+        SELECT doc_id, lang, {_LEAF.format(_FIELD.format("n_chars"))} AS leaf, {_LEAF.format(_TAMPERED)} AS other FROM d)),
+tree(team, level, pos, node, size) AS (SELECT team, 0, pos, leaf, size FROM leaves UNION ALL {_LEVEL.format("tree")}),
+subroots AS (SELECT team, node, row_number() OVER (ORDER BY encode(team)) - 1 AS pos, count(*) OVER () AS size
+    FROM tree WHERE size = 1),
+top(team, level, pos, node, size) AS (SELECT '', 0, pos, node, size FROM subroots UNION ALL {_LEVEL.format("top")}),
+climb(leaf_at, team, level, pos, siblings, fold) AS (SELECT pos, team, 0, pos, '', other FROM leaves
+    UNION ALL {_CLIMB.format("tree", "climb")}),
+arrived AS (SELECT leaf_at, team, siblings, fold FROM climb QUALIFY row_number() OVER (
+    PARTITION BY team, leaf_at ORDER BY level DESC) = 1),
+rise(leaf_at, team, level, pos, siblings, fold) AS (
+    SELECT a.team || ' ' || a.leaf_at, '', 0, s.pos, a.siblings, a.fold FROM arrived a JOIN subroots s ON s.team = a.team
+    UNION ALL {_CLIMB.format("top", "rise")}),
+risen AS (SELECT leaf_at, siblings, fold FROM rise QUALIFY row_number() OVER (PARTITION BY leaf_at ORDER BY level DESC) = 1)
+SELECT l.doc_id, l.leaf, s.node AS subroot, t.node AS root, sha256(r.siblings) AS proof_sha256, r.fold AS folded_root,
+    r.fold = t.node AS verified
+FROM leaves l JOIN subroots s ON s.team = l.team JOIN risen r ON r.leaf_at = l.team || ' ' || l.pos
+    JOIN top t ON t.size = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {"op1_preferences": PREFERENCES, "op2_licenses": LICENSES, "op9_near_dedup": NEAR_DEDUP,
-            "op10_decontaminate": DECONTAMINATE}
+            "op10_decontaminate": DECONTAMINATE, "op11_infill": INFILL, "op12_shards": SHARDS, "op13_manifest": MANIFEST}
