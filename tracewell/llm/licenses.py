@@ -1,34 +1,53 @@
-"""Licences of files, as DataFrame operations: own headers and licence files by TF-IDF, the rest by directory.
+"""Licences of files, as DataFrame operations: own lines, headers and licence files by TF-IDF, the rest by directory.
 
-Lines that mention licensing are compared with templates by the cosine of their sparse TF-IDF vectors, over
-the collection of distinct such lines; where no line says it, the leading comment or paragraph of a file and the
-whole text of a licence file are compared with headers and texts of licences. A file that is a licence file speaks for its directory and all below;
-a file without a licence of its own inherits from the nearest ancestor that has one.
+Lines that mention licensing, the leading comment or paragraph of a file and the paragraphs of licence files are compared
+with templates by the cosine of their sparse TF-IDF vectors. A template counts only for a text that names
+its licence, version and kind, and a licence only if no other one comes near. SPDX identifiers are read as such. A file that is
+a licence file speaks for its directory and all below; a file without a licence of its own inherits from the nearest ancestor
+that has one.
+
+Weights come from the templates alone, so what a text is found to be depends on that text, not on its corpus.
 """
 
 from __future__ import annotations
 
+import math
+import re
+from collections import Counter
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.storage import materialize
 
+
+class Template(NamedTuple):
+    """A licence's phrase, header or text. ``names`` is a pattern that must occur, ``barred`` one that must not."""
+
+    license: str
+    text: str
+    names: str
+    barred: str = ""
+
+
 # Fixed phrases: how files usually name their licence.
-TEMPLATES = [
+_LINES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("BSD-3-Clause", "Released under the BSD License."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "Released under CC0 1.0 Universal."),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License, version 2.0."),
+    ("EUPL-1.2", "Licensed under the European Union Public License, version 1.2."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
     ("ISC", "Released under the ISC License."),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
 def _gnu(name: str, version: str) -> str:
@@ -53,16 +72,17 @@ _BSD = ("Redistribution and use in source and binary forms, with or without modi
 _AS_IS = ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, "
           "INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE "
           "DISCLAIMED. ")
-_GNU = [("GPL", "General Public License", ("2.0", "3.0")), ("LGPL", "Lesser General Public License", ("2.1", "3.0")),
-        ("AGPL", "Affero General Public License", ("3.0",))]
+_GNU = [("GPL", "General Public License", {"2.0": "June 1991", "3.0": "29 June 2007"}),
+        ("LGPL", "Lesser General Public License", {"2.1": "February 1999", "3.0": "29 June 2007"}),
+        ("AGPL", "Affero General Public License", {"3.0": "19 November 2007"})]
 _CC = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
        ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
        ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
-#: Headers, texts and beginnings of texts, for what no single line says, and licences near those above.
-BODIES = [
-    *((f"{k}-{v}", text) for k, name, versions in _GNU for v in versions for text in (
+# Headers, texts and titles, and licences near those above.
+_BODIES = [
+    *((f"{k}-{v}", text) for k, name, versions in _GNU for v, date in versions.items() for text in (
         _gnu(name, v.removesuffix(".0")), f"This work is licensed under the GNU {name}, version {v.removesuffix('.0')}.",
-        f"SPDX-License-Identifier: {k}-{v}", f"GNU {name} Version {v.removesuffix('.0')}",
+        f"GNU {name} Version {v.removesuffix('.0')}", f"GNU {name} Version {v.removesuffix('.0')}, {date}",
         f"GNU {name} Version {v.removesuffix('.0')} Copyright (C) Free Software Foundation, Inc. Everyone is permitted to copy "
         "and distribute verbatim copies of this license document, but changing it is not allowed.")),
     *((f"CC-{k}-4.0", text) for k, name in _CC for text in (
@@ -78,7 +98,7 @@ BODIES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was "
      "not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
     ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions"),
-    ("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-2-Clause", _BSD + _AS_IS + _LIABLE), ("BSD-3-Clause", "BSD 3-Clause License"),
     ("BSD-3-Clause", _BSD + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
      "or promote products derived from this software without specific prior written permission. " + _AS_IS + _LIABLE),
@@ -99,118 +119,183 @@ BODIES = [
      "DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
      "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
 ]
+# What a text must say, in small letters and without punctuation, to be of a licence; bodies of texts have own ones.
+_NAMES = {
+    "Apache": r"\bapache\b", "BSD": r"\bbsd\b", "CC0": r"\bcc0\b|\bcc zero\b", "CC": r"\bcreative commons\b|\bcc[ -]by\b",
+    "EPL": r"\beclipse public\b|\bepl\b", "EUPL": r"\beuropean union public\b|\beupl\b",
+    "GPL": r"\bgnu general public\b|\bgpl", "LGPL": r"\bgnu (?:lesser|library) general public\b|\blgpl",
+    "AGPL": r"\bgnu affero\b|\bagpl", "ISC": r"\bisc\b", "MIT": r"\bmit\b", "MPL": r"\bmozilla\b|\bmpl\b",
+    "Unlicense": r"\bunlicense\b|\bunencumbered software\b"}
+_BODY_NAMES = [
+    ("BSD-2-Clause", "Redistribution", "redistribution and use", "neither the name"),
+    ("BSD-3-Clause", "Redistribution", "redistribution and use .*neither the name", ""),
+    ("BSD-2-Clause", "BSD 2", "2-clause|simplified bsd", ""), ("BSD-3-Clause", "BSD 3", "3-clause|new bsd|revised bsd", ""),
+    ("BSD-3-Clause", "", r"\bbsd\b", "[24]-clause|simplified bsd"), ("MIT", "Permission", "permission is hereby granted", ""),
+    ("ISC", "Permission", "permission to use", "")]
+
+
+def template(license: str, text: str) -> Template:
+    for name, start, names, barred in _BODY_NAMES:
+        if license == name and text.startswith(start):
+            return Template(license, text, names, barred)
+    return Template(license, text, _NAMES[license if license in _NAMES else license.split("-")[0]])
+
+
+TEMPLATES = [template(*t) for t in dict.fromkeys(_LINES + _BODIES)]
 MENTION = "(?i)licen[cs]"
-GRANT = r"(?i)licen[cs]|permission\W+is\W+hereby|redistribution\W+and\W+use|permission\W+to\W+use"
+GRANT = (r"(?i)licen[cs]|permission\W+is\W+hereby|redistribution\W+and\W+use|permission\W+to\W+use|"
+         r"free\W+and\W+unencumbered|\bcc0\b|creative\W+commons")
+SPDX = (r"(?i)SPDX-License-Identifier:\s*([(]*[a-z0-9][a-z0-9.+-]*[)]*(?:[ \t]+(?:AND|OR|WITH)[ \t]+"
+        r"[(]*[a-z0-9][a-z0-9.+-]*[)]*)*)")
+#: What one identifier says beside the licence.
+LATER = "^([^ ]+?)(?:-only|-or-later|[+])$"
+NEGATED = r"\b(?:not|never|no longer|isn t|aren t) (?:[a-z]+ ){0,2}(?:licen[cs]ed|released|governed|covered|available)\b"
 #: How lines of leading comments begin.
 COMMENT = r"^\s*(?:$|#|//|/\*|\*|--|;|%|<!--)"
-HEADS = (8, 16, 40, 60)  # words of the beginnings of licence files, which are titles of long texts
-VERSION = (r"(?:version |v |gpl-?v?|(?:by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives|apache|mpl)[ -])"
+VERSION = (r"(?:version |v |gpl-?v?|(?:by|nc|sa|nd|attribution|noncommercial|sharealike|noderivatives|apache|mpl|epl|eupl|cc0)[ -])"
            r"([0-9](?:[.][0-9])?)")
-KINDS = {"affero": "affero|agpl", "lesser": "lesser|library|lgpl", "nc": "noncommercial|nc", "sa": "sharealike|sa",
-         "nd": "noderivatives|nd"}
+#: Kinds of licences within a family, all of which a text must have like the licence.
+KINDS = {"GNU": {"affero": "affero|agpl", "lesser": "lesser|library|lgpl"},
+         "CC": {"nc": "noncommercial|nc", "sa": "sharealike|sa", "nd": "noderivatives|nd"}}
 WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
 NAMES = r"(?i)^(licen[cs]e|copying|unlicense)([.-][^/]*)?$"
+PARAGRAPH = r"(?:\r?\n|\r)[ \t]*(?:\r?\n|\r)"
+
+
+def words_of(text: str) -> list[str]:
+    return re.findall(WORD, text.lower())
+
+
+def kind_pattern(kind: str) -> str:
+    return rf"\b(?:{kind})(?:v?[0-9.]+)?\b"
+
+
+def demands(license: str) -> tuple[list[str], list[tuple[str, bool]]]:
+    """The versions that a text of a licence must name, and patterns that it must have or not."""
+    said = license.lower()
+    versions = [re.sub("[.]0$", "", v) for v in re.findall("-([0-9.]+)$", said)]
+    family = "GNU" if "gpl" in said else "CC" if said.startswith("cc-") else None
+    return versions, [(kind_pattern(k), bool(re.search(kind_pattern(k), said)))
+                                   for k in KINDS.get(family, {}).values()]
+
+
+def weights(templates: list[Template]) -> tuple[dict[str, float], float]:
+    """ln(N / n) + 1 of each term in n of the N templates, and that of a term in none, which counts as in one."""
+    number = Counter(w for t in templates for w in set(words_of(t.text)))
+    return {w: math.log(len(templates) / n) + 1 for w, n in number.items()}, math.log(len(templates)) + 1
 
 
 def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
-def _told(text: str) -> tuple[Column, Column]:
-    """The versions and the kinds of licence, in the order of ``KINDS``, that a text names."""
-    said = F.array_join(_words(text), " ")
-    versions = F.transform(F.regexp_extract_all(said, F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, "[.]0$", ""))
-    return F.array_distinct(versions), F.array(*(said.rlike(rf"\b(?:{k})(?:\b|(?=v?[0-9]))") for k in KINDS.values()))
+def _admitted(templates: list[Template]) -> Column:
+    """Numbers of the templates whose demands the text ``said``, with versions ``vs``, meets."""
+    def meets(t: Template) -> Column:
+        versions, kinds = demands(t.license)
+        out = F.col("said").rlike(t.names)
+        if t.barred:
+            out &= ~F.col("said").rlike(t.barred)
+        for v in versions:
+            out &= F.array_contains("vs", v)
+        for pattern, has in kinds:
+            out &= F.col("said").rlike(pattern) == has
+        return out
+
+    return F.array_compact(F.array(*(F.when(meets(t), F.lit(i)) for i, t in enumerate(templates))))
+
+
+def nearest(texts: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = 0.6, margin: float = 0.02) -> DataFrame:
+    """``key, license, cosine``: what each text of ``key, text`` is, where it is one licence.
+
+    That is the licence of the nearest template that admits the text, from a cosine of ``threshold`` on and if no template of another
+    licence is as near or less than ``margin`` farther. Equal keys must have equal texts. Null and empty texts give no row.
+    """
+    spark = texts.sparkSession
+    idf, unseen = weights(templates)
+    vectors: dict[str, list[tuple[int, float]]] = {}
+    for i, t in enumerate(templates):
+        tf = Counter(words_of(t.text))
+        size = math.sqrt(sum((n * idf[w]) ** 2 for w, n in tf.items()))
+        for w, n in tf.items():
+            vectors.setdefault(w, []).append((i, n * idf[w] / size))
+    # The size of this table is that of the templates.
+    model = F.broadcast(spark.createDataFrame(
+        [(w, idf[w], v) for w, v in vectors.items()], "term string, idf double, vector array<struct<id: int, v: double>>"))
+    # All of it stays where the texts of a key are: one shuffle.
+    own = texts.groupBy("key").agg(F.max("text").alias("text")).select("key", _words("text").alias("words")).select(
+        "key", "words", F.array_join("words", " ").alias("said"))
+    own = own.withColumn("vs", F.transform(
+        F.regexp_extract_all("said", F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, "[.]0$", "")))
+    terms = own.select("key", _admitted(templates).alias("fit"), "words").where(F.size("fit") > 0).select(
+        "key", "fit", F.explode("words").alias("term")).groupBy("key", "fit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    weighted = terms.join(model, "term", "left").select(
+        "key", "fit", "vector", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
+    parts = weighted.groupBy("key").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.flatten(F.collect_list(F.expr(
+            "transform(filter(vector, x -> array_contains(fit, x.id)), x -> struct(x.id AS id, x.v * w AS part))"))).alias("parts"))
+    dots = parts.select("key", "norm", F.inline("parts")).groupBy("key", "norm", "id").agg(F.sum("part").alias("dot"))
+    name = F.get(F.array(*(F.lit(t.license) for t in templates)), F.col("id"))
+    best = dots.groupBy("key", name.alias("license")).agg(F.max(F.round(F.col("dot") / F.col("norm"), 6)).alias("cosine"))
+    return best.groupBy("key").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), "license"))).alias("b")).select(
+        "key", F.col("b")[0]["license"].alias("license"), (-F.col("b")[0]["far"]).alias("cosine"),
+        (F.get("b", F.lit(1))["far"] - F.col("b")[0]["far"]).alias("gap")).where(
+        (F.col("cosine") >= threshold) & (F.coalesce("gap", F.lit(1.0)) >= margin)).drop("gap")
 
 
-def line_licences(lines: DataFrame, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``line, license, cosine``: the nearest template of each distinct ``line``; equal ones by name.
+def claims(files: DataFrame) -> DataFrame:
+    """``path, words, rank, said``: what each of ``path, text`` says of its licence, in one pass over the texts.
 
-    Weights are a term's count times ln(N / n) + 1, n of the N lines and templates having the term. A line that
-    shares no term with any template has no row. A template whose licence has a version or a kind, such as
-    Affero or NonCommercial, must agree with the line on these.
+    Rank 0 are lines that mention licensing without denying it, rank 1 the leading comment or else paragraph, and the whole text,
+    all paragraphs and all pairs of neighbouring ones of files named as licence files. ``words`` counts those of the file.
     """
-    own = lines.select("line").where(F.col("line").isNotNull()).distinct()
-    return _nearest(own.withColumn("said", F.col("line")), templates)
-
-
-def _nearest(own: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
-    """The same for distinct ``line``, which stands for the text ``said``."""
-    texts = own.sparkSession.createDataFrame(
-        [(i, name, text) for i, (name, text) in enumerate(templates)], "id int, license string, text string")
-    terms = materialize(own.select("line", F.explode(_words("said")).alias("term")).groupBy("line", "term").agg(
-        F.count("*").alias("tf")), "terms")
-    wanted = texts.select("id", "license", F.explode(_words("text")).alias("term")).groupBy("id", "license", "term").agg(
-        F.count("*").alias("tf"))
-    total = own.count() + len(templates)
-    idf = terms.select("term").unionByName(wanted.select("term")).groupBy("term").agg(
-        (F.log(F.lit(float(total)) / F.count("*")) + 1).alias("idf"))
-    weighted = terms.join(idf, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    model = wanted.join(idf, "term").select("id", "license", "term", (F.col("tf") * F.col("idf")).alias("v"))
-    norms = weighted.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    sizes = model.groupBy("id").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("size"))
-    dots = weighted.join(model, "term").groupBy("line", "id", "license").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
-    near = dots.join(sizes, "id").join(norms, "line").select(
-        "line", "license", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 6).alias("cosine"))
-    versions, kinds = _told("license")
-    names = texts.select("license").distinct().select("license", versions.alias("v"), kinds.alias("k"))
-    versions, kinds = _told("said")
-    near = near.join(names, "license").join(own.select("line", versions.alias("vs"), kinds.alias("ks")), "line").where(
-        ((F.size("v") == 0) & ~F.array_contains("k", True)) | (
-            (F.size(F.array_except("v", "vs")) == 0) & (F.col("k") == F.col("ks"))))
-    best = near.groupBy("line").agg(F.min(F.struct(-F.col("cosine"), F.col("license"))).alias("b"))
-    return best.select("line", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"))
-
-
-def _blocks(body: DataFrame) -> DataFrame:
-    """``path, words, line, said, n``: leading comments or paragraphs, and texts and beginnings of licence files."""
     rows = F.split("text", "\r?\n|\r")
     code = F.array_position(F.transform(rows, lambda r: r.rlike(COMMENT)), False)
     inside = F.regexp_extract("text", r"(?s)\A(?:#![^\n]*\n)?\s*(?:<[?]\w*\s*)?(?:/\*(.*?)\*/|<!--(.*?)-->|\"\"\"(.*?)\"\"\")", 0)
     leading = F.array_join(F.when(code == 0, rows).otherwise(F.slice(rows, 1, F.greatest(code - 1, F.lit(0)).cast("int"))), "\n")
-    first = F.element_at(F.split(F.ltrim("text"), r"\r?\n[ \t]*\r?\n", 2), 1)
+    paragraphs = F.split("text", PARAGRAPH)
+    first = F.element_at(F.split(F.ltrim("text"), PARAGRAPH, 2), 1)
     header = F.when(inside != "", inside).when(leading.rlike(r"\w"), leading).otherwise(first)
+    pairs = F.zip_with(F.slice(paragraphs, 1, F.size(paragraphs) - 1), F.slice(paragraphs, 2, F.size(paragraphs)),
+                       lambda a, b: F.concat_ws("\n", a, b))
     named = F.regexp_extract("path", "([^/]*)$", 1).rlike(NAMES)
-    words = _words("text")
-    said = F.when(named, F.array(
-        F.col("text"), *(F.array_join(F.slice(words, 1, n), " ") for n in HEADS))).otherwise(F.array(header))
-    return body.where(F.col("path").isNotNull() & F.col("text").rlike(GRANT)).select(
-        "path", F.size(words).alias("words"), F.explode(said).alias("said")).where(F.col("said").rlike(GRANT)).select(
-        "path", "words", F.sha2("said", 256).alias("line"), "said", F.size(_words("said")).alias("n"))
+    denied = (lambda r: F.array_join(F.regexp_extract_all(F.lower(r), F.lit(WORD), F.lit(0)), " ").rlike(NEGATED))
+    lines = F.filter(rows, lambda r: r.rlike(MENTION) & ~denied(r))
+    blocks = F.when(named, F.concat(F.array(F.col("text")), paragraphs, pairs)).otherwise(F.array(header))
+    found = files.where(F.col("path").isNotNull() & F.col("text").rlike(GRANT)).select(
+        "path", F.size(_words("text")).alias("words"), F.explode(F.concat(
+            F.transform(lines, lambda r: F.struct(F.lit(0).alias("rank"), r.alias("said"))),
+            F.transform(F.array_distinct(F.filter(blocks, lambda b: b.rlike(GRANT))),
+                        lambda b: F.struct(F.lit(1).alias("rank"), b.alias("said"))))).alias("c"))
+    return found.select("path", "words", "c.rank", "c.said")
 
 
-def licensed(files: DataFrame, path: str = "path", text: str = "text", threshold: float = 0.6,
-             file_share: float = 0.5, templates: list[tuple[str, str]] = TEMPLATES,
-             bodies: list[tuple[str, str]] = BODIES) -> DataFrame:
+def licensed(files: DataFrame, path: str = "path", text: str = "text", threshold: float = 0.6, margin: float = 0.02,
+             file_share: float = 0.5, templates: list[Template] = TEMPLATES) -> DataFrame:
     """``path, license, cosine, origin, directory`` for every file.
 
-    A file's own licence is that of its line nearest to a template, from ``threshold`` on (equal ones by name of
-    the licence); ``origin`` is then ``own``. Without such a line it is that of its leading comment, or else paragraph,
-    its other lines on licensing or, if it is named as a licence file, its text or beginning, whichever is
-    nearest to one of ``bodies``. A file is a licence file if it has one and is named as such or such
-    lines make up ``file_share`` of its words; a directory's licence is that of its nearest-matching licence
-    file, equal ones by name. Other files inherit from the nearest ancestor directory with a licence, their
+    A file's own licence is that of its line nearest to a template (equal ones by name of the licence), by the rules of ``nearest``;
+    a line with an SPDX identifier says its licence as written, without ``-only``, ``-or-later`` or ``+`` if it is one, at a cosine
+    of 1. Without such a line it is that of its leading comment or paragraph or, if it is named as a licence file, of
+    its text or a paragraph, whichever is nearest. ``origin`` is then ``own``. A file is a licence file if it has a
+    licence and is named as one or such lines make up ``file_share`` of its words; a directory's licence is that of its
+    nearest-matching licence file, equal ones by name. Other files inherit from the nearest ancestor directory with a licence, their
     own directory first: ``origin`` is ``inherited`` and ``directory`` where from. Without any all are null.
 
     Null and empty texts have no licence of their own, a null path is in no directory and inherits nothing.
-    Files of equal path are one file for their own licence, and each row gets a result row. Other columns
-    play no part.
+    Files of equal path are one file for their own licence, and each row gets a result row; an empty table gives none. A
+    very long text is read by the words of its lines on licensing and of its header, that of a licence file as a whole.
+    Other columns play no part.
     """
-    body = files.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    lines = body.where(F.col("text").rlike(MENTION)).select(
-        "path", F.size(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))).alias("words"),
-        F.explode(F.split("text", "\r?\n|\r")).alias("line")).where(F.col("line").rlike(MENTION))
-    lines = materialize(lines, "lines")
-    best = line_licences(lines, templates).where(F.col("cosine") >= threshold)
-    lines = lines.where("path IS NOT NULL")
-    hits = lines.join(best, "line").select(
-        "path", "words", "license", "cosine", F.size(_words("line")).alias("n"), F.lit(0).alias("rank"))
-    blocks = materialize(_blocks(body).unionByName(lines.join(best, "line", "left_anti").select(
-        "path", "words", F.sha2("line", 256).alias("line"), F.col("line").alias("said"), F.size(_words("line")).alias("n"))).join(
-        hits.select("path").distinct(), "path", "left_anti"), "blocks")
-    texts = blocks.groupBy("line").agg(F.max("said").alias("said"))
-    hits = hits.unionByName(blocks.join(_nearest(texts, bodies).where(F.col("cosine") >= threshold), "line").select(
-        "path", "words", "license", "cosine", "n", F.lit(1).alias("rank")))
+    body = files.select(F.col(f"`{path}`").cast("string").alias("path"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    said = claims(body).select(
+        "path", "words", "rank", "said", F.sha2("said", 256).alias("key"), F.size(_words("said")).alias("n"),
+        F.when(F.col("rank") == 0, F.nullif(F.regexp_extract("said", SPDX, 1), F.lit(""))).alias("spdx"))
+    said = materialize(said, "claims")
+    best = materialize(nearest(said.where("spdx IS NULL").select("key", F.col("said").alias("text")), templates, threshold, margin), "nearest")
+    hits = said.join(best, "key", "left").select(
+        "path", "words", "rank", "n", F.coalesce(F.regexp_replace("spdx", LATER, "$1"), "license").alias("license"),
+        F.when(F.col("spdx").isNotNull(), F.lit(1.0)).otherwise(F.col("cosine")).alias("cosine")).where("license IS NOT NULL")
     own = materialize(hits.groupBy("path").agg(
         F.min(F.struct("rank", (-F.col("cosine")).alias("far"), "license")).alias("b"),
         F.coalesce(F.sum(F.when(F.col("rank") == 0, F.col("n"))), F.max("n")).alias("n"), F.max("words").alias("words")).select(
@@ -219,19 +304,18 @@ def licensed(files: DataFrame, path: str = "path", text: str = "text", threshold
     folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     spoken = own.where(F.col("whole") | name.rlike(NAMES)).select(
-        folder.alias("directory"), F.struct(-F.col("cosine"), F.col("license")).alias("b"))
-    licences = spoken.groupBy("directory").agg(F.min("b").alias("b")).select(
-        "directory", F.col("b.license").alias("license"), (-F.col("b.col1")).alias("cosine"))
+        folder.alias("directory"), F.struct((-F.col("cosine")).alias("far"), "license").alias("b"))
+    licences = materialize(spoken.groupBy("directory").agg(F.min("b").alias("b")).select(
+        "directory", F.col("b.license").alias("license"), (-F.col("b.far")).alias("cosine")), "directory-licences")
     # Directories, not files, look for their ancestors, so a full directory counts once.
     parts = F.split("folder", "/", -1)
     ancestors = body.where("path IS NOT NULL").select(folder.alias("folder")).distinct().select(
-        "folder", F.explode(F.concat(F.array(F.lit("")), F.transform(
-            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/")))).alias("directory")
-    ).distinct()
-    nearest = ancestors.join(licences, "directory").groupBy("folder").agg(F.max(F.struct(
-        F.length("directory"), F.col("directory"), F.col("license"), F.col("cosine"))).alias("b"))
+        "folder", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), F.transform(
+            F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))).alias("directory"))
+    inherited = materialize(ancestors.join(licences, "directory").groupBy("folder").agg(F.max(F.struct(
+        F.length("directory"), F.col("directory"), F.col("license"), F.col("cosine"))).alias("b")), "inherited")
     rows = body.select("path", folder.alias("folder")).join(own.drop("whole"), "path", "left").join(
-        nearest, "folder", "left")
+        inherited, "folder", "left")
     mine = F.col("license").isNotNull()
     return rows.select(
         F.col("path").alias(path), F.coalesce("license", "b.license").alias("license"),

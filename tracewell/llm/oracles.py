@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracewell.llm.licenses import TEMPLATES
+from tracewell.llm import licenses
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -43,34 +43,63 @@ SELECT pair_id, any_value(n)::INTEGER AS n_prompt_turns,
         FILTER (side = 'rejected' AND rn > n AND role = 'assistant'), '') AS rejected_mask
 FROM placed GROUP BY pair_id"""
 
-WORD = "[a-z0-9][a-z0-9.+-]*[a-z0-9]|[a-z0-9]"
+def listed(values: list[str]) -> str:
+    return f"[{', '.join(map(quoted, values))}]::VARCHAR[]"
+
+
+def _template(i: int, t: licenses.Template) -> str:
+    versions, kinds = licenses.demands(t.license)
+    have, lack = ([p for p, has in kinds if has is wanted] for wanted in (True, False))
+    return (f"({i}, {quoted(t.license)}, {quoted(t.text)}, {quoted(t.names)}, {listed([t.barred] * bool(t.barred) + lack)}, "
+            f"{listed(have)}, {listed(versions)})")
+
+
+WORD = licenses.WORD
+_COUNT = "len(regexp_extract_all(lower({0}), '" + WORD + "'))"
+_JOINED = "array_to_string(regexp_extract_all(lower({0}), '" + WORD + "'), ' ')"
+#: The texts of the test tables have no comments; a header is a first paragraph, the file names are no licence files'.
 LICENSES = f"""WITH RECURSIVE files AS (SELECT source || '/' || CASE WHEN doc_id % 3 > 0 THEN lang || '/' ELSE '' END
         || CASE WHEN doc_id % 3 > 1 THEN (doc_id // 100) || '/' ELSE '' END || doc_id || '.txt' AS path,
     coalesce(text, '') AS text FROM documents),
-templates AS (SELECT * FROM (VALUES {", ".join(f"({i}, {quoted(n)}, {quoted(t)})" for i, (n, t) in enumerate(TEMPLATES))})
-    v(id, license, text)),
-lines AS (SELECT path, len(regexp_extract_all(lower(text), '{WORD}')) AS words, line FROM (
-        SELECT path, text, unnest(string_split_regex(text, '\r?\n|\r')) AS line FROM files)
-    WHERE regexp_matches(line, '(?i)licen[cs]')),
-bags AS (SELECT 'line' AS kind, line AS name, '' AS license, word, count(*) AS tf FROM (
-        SELECT line, unnest(regexp_extract_all(lower(line), '{WORD}')) AS word FROM (SELECT DISTINCT line FROM lines))
-        GROUP BY line, word
-    UNION ALL SELECT 'template', id::VARCHAR, license, word, count(*) FROM (
-        SELECT id, license, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM templates)
-        GROUP BY id, license, word),
-total AS (SELECT (SELECT count(DISTINCT line) FROM lines) + (SELECT count(*) FROM templates) AS n),
-weights AS (SELECT *, tf * (ln(n::DOUBLE / count(*) OVER (PARTITION BY word)) + 1) AS w FROM bags, total),
+templates AS (SELECT * FROM (VALUES {", ".join(_template(i, t) for i, t in enumerate(licenses.TEMPLATES))})
+    v(id, license, text, names, lacks, has, versions)),
+speech AS (SELECT path, {_COUNT.format("text")} AS words, text FROM files WHERE regexp_matches(text, {quoted(licenses.GRANT)})),
+claims AS (SELECT path, words, 0 AS rank, said FROM (
+        SELECT path, words, unnest(string_split_regex(text, '\r?\n|\r')) AS said FROM speech)
+        WHERE regexp_matches(said, {quoted(licenses.MENTION)}) AND NOT regexp_matches({_JOINED.format("said")}, {quoted(licenses.NEGATED)})
+    UNION ALL SELECT path, words, 1, said FROM (
+        SELECT path, words, string_split_regex(ltrim(text), {quoted(licenses.PARAGRAPH)})[1] AS said FROM speech)
+        WHERE regexp_matches(said, {quoted(licenses.GRANT)})),
+own_texts AS (SELECT said, words, list_transform(regexp_extract_all(words, {quoted(licenses.VERSION)}, 1),
+        lambda v: regexp_replace(v, '[.]0$', '')) AS told
+    FROM (SELECT DISTINCT said, {_JOINED.format("said")} AS words FROM claims WHERE NOT regexp_matches(said, {quoted(licenses.SPDX)}))),
+admitted AS (SELECT said, id FROM own_texts, templates WHERE regexp_matches(words, names) AND list_has_all(told, versions)
+    AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(lacks) AS p) WHERE regexp_matches(words, p))
+    AND NOT EXISTS (SELECT 1 FROM (SELECT unnest(has) AS p) WHERE NOT regexp_matches(words, p))),
+bags AS (SELECT 'text' AS kind, said AS name, word, count(*) AS tf FROM (
+        SELECT said, unnest(regexp_extract_all(lower(said), '{WORD}')) AS word FROM own_texts) GROUP BY said, word
+    UNION ALL SELECT 'template', id::VARCHAR, word, count(*) FROM (
+        SELECT id, unnest(regexp_extract_all(lower(text), '{WORD}')) AS word FROM templates) GROUP BY id, word),
+idf AS (SELECT word, ln((SELECT count(*) FROM templates)::DOUBLE / count(*)) + 1 AS idf FROM bags WHERE kind = 'template' GROUP BY word),
+weights AS (SELECT kind, name, bags.word, tf * coalesce(idf, ln((SELECT count(*) FROM templates)::DOUBLE) + 1) AS w
+    FROM bags LEFT JOIN idf ON idf.word = bags.word),
 norms AS (SELECT kind, name, sqrt(sum(w * w)) AS norm FROM weights GROUP BY kind, name),
-near AS (SELECT l.name AS line, t.license, round(sum(l.w * t.w) / (any_value(a.norm) * any_value(b.norm)), 6) AS cosine
-    FROM weights l JOIN weights t ON l.kind = 'line' AND t.kind = 'template' AND l.word = t.word
-    JOIN norms a ON a.kind = 'line' AND a.name = l.name JOIN norms b ON b.kind = 'template' AND b.name = t.name
-    GROUP BY l.name, t.name, t.license),
-best AS (SELECT line, license, cosine FROM near QUALIFY row_number() OVER (
-    PARTITION BY line ORDER BY cosine DESC, license) = 1),
-hits AS (SELECT path, words, license, cosine, len(regexp_extract_all(lower(line), '{WORD}')) AS n
-    FROM lines JOIN best USING (line) WHERE cosine >= 0.6),
-own AS (SELECT path, license, cosine, sum(n) OVER (PARTITION BY path) >= 0.1 * words AS speaks FROM hits
-    QUALIFY row_number() OVER (PARTITION BY path ORDER BY cosine DESC, license) = 1),
+near AS (SELECT ad.said, ad.id, round(sum(l.w * t.w) / (any_value(a.norm) * any_value(b.norm)), 6) AS cosine
+    FROM admitted ad JOIN weights l ON l.kind = 'text' AND l.name = ad.said
+    JOIN weights t ON t.kind = 'template' AND t.name = ad.id::VARCHAR AND l.word = t.word
+    JOIN norms a ON a.kind = 'text' AND a.name = l.name JOIN norms b ON b.kind = 'template' AND b.name = t.name
+    GROUP BY ad.said, ad.id),
+ranked AS (SELECT said, license, cosine, lead(cosine) OVER (PARTITION BY said ORDER BY cosine DESC, license) AS second,
+    row_number() OVER (PARTITION BY said ORDER BY cosine DESC, license) AS place
+    FROM (SELECT said, license, max(cosine) AS cosine FROM near JOIN templates USING (id) GROUP BY said, license)),
+best AS (SELECT said, license, cosine FROM ranked WHERE place = 1 AND cosine >= 0.6 AND coalesce(cosine - second, 1) >= 0.02),
+hits AS (SELECT path, words, rank, {_COUNT.format("said")} AS n, coalesce(b.license, regexp_replace(
+        regexp_extract(said, {quoted(licenses.SPDX)}, 1), {quoted(licenses.LATER)}, '\1')) AS license, coalesce(b.cosine, 1) AS cosine
+    FROM claims LEFT JOIN best b USING (said)
+    WHERE b.license IS NOT NULL OR rank = 0 AND regexp_matches(said, {quoted(licenses.SPDX)})),
+own AS (SELECT path, license, cosine, coalesce(sum(n) FILTER (rank = 0) OVER (PARTITION BY path), max(n) OVER (PARTITION BY path))
+        >= 0.1 * words AS speaks FROM hits
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY rank, cosine DESC, license) = 1),
 speaking AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, license, cosine FROM own WHERE speaks
     QUALIFY row_number() OVER (PARTITION BY regexp_extract(path, '^(.*)/[^/]*$', 1) ORDER BY cosine DESC, license) = 1),
 up AS (SELECT DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1) AS folder, regexp_extract(path, '^(.*)/[^/]*$', 1) AS above
