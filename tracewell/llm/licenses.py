@@ -189,20 +189,28 @@ def _words(text: str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text)), F.lit(WORD), F.lit(0))
 
 
+def _patterns(templates: list[Template]) -> list[str]:
+    """All patterns that templates ask for or bar, each once."""
+    return sorted({p for t in templates for p in (t.names, t.barred, *(k for k, _ in demands(t.license)[1])) if p})
+
+
 def _admitted(templates: list[Template]) -> Column:
-    """Numbers of the templates whose demands the text ``said``, with versions ``vs``, meets."""
-    def meets(t: Template) -> Column:
+    """Numbers of the templates whose demands a text meets that names the versions ``vs`` and has the patterns ``flags``."""
+    at = {p: i for i, p in enumerate(_patterns(templates))}
+
+    def rule(i: int, t: Template) -> Column:
         versions, kinds = demands(t.license)
-        out = F.col("said").rlike(t.names)
-        if t.barred:
-            out &= ~F.col("said").rlike(t.barred)
-        for v in versions:
-            out &= F.array_contains("vs", v)
-        for pattern, has in kinds:
-            out &= F.col("said").rlike(pattern) == has
-        return out
+        have = [at[t.names], *(at[p] for p, has in kinds if has)]
+        lack = ([at[t.barred]] if t.barred else []) + [at[p] for p, has in kinds if not has]
+        constant = (lambda values, kind: F.array(*map(F.lit, values)).cast(f"array<{kind}>"))
+        return F.struct(F.lit(i).alias("id"), constant(have, "int").alias("have"), constant(lack, "int").alias("lack"),
+                        constant(versions, "string").alias("versions"))
+
+    def meets(r: Column) -> Column:
+        return (F.forall(r["have"], lambda k: F.get("flags", k)) & ~F.exists(r["lack"], lambda k: F.get("flags", k))
+                & (F.size(F.array_except(r["versions"], F.col("vs"))) == 0))
 
-    return F.array_compact(F.array(*(F.when(meets(t), F.lit(i)) for i, t in enumerate(templates))))
+    return F.filter(F.array(*(rule(i, t) for i, t in enumerate(templates))), meets)["id"]
 
 
 def nearest(texts: DataFrame, templates: list[Template] = TEMPLATES, threshold: float = 0.6, margin: float = 0.02) -> DataFrame:
@@ -222,13 +230,15 @@ def nearest(texts: DataFrame, templates: list[Template] = TEMPLATES, threshold:
     # The size of this table is that of the templates.
     model = F.broadcast(spark.createDataFrame(
         [(w, idf[w], v) for w, v in vectors.items()], "term string, idf double, vector array<struct<id: int, v: double>>"))
-    # All of it stays where the texts of a key are: one shuffle.
     own = texts.groupBy("key").agg(F.max("text").alias("text")).select("key", _words("text").alias("words")).select(
         "key", "words", F.array_join("words", " ").alias("said"))
-    own = own.withColumn("vs", F.transform(
-        F.regexp_extract_all("said", F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, "[.]0$", "")))
-    terms = own.select("key", _admitted(templates).alias("fit"), "words").where(F.size("fit") > 0).select(
-        "key", "fit", F.explode("words").alias("term")).groupBy("key", "fit", "term").agg(F.count(F.lit(1)).alias("tf"))
+    own = own.select(
+        "key", "words", F.array(*(F.col("said").rlike(p) for p in _patterns(templates))).alias("flags"), F.transform(
+            F.regexp_extract_all("said", F.lit(VERSION), F.lit(1)), lambda v: F.regexp_replace(v, "[.]0$", "")).alias("vs"))
+    # Written, so that no rule of a template looks for the patterns again.
+    own = materialize(own, "texts").select("key", _admitted(templates).alias("fit"), "words").where(F.size("fit") > 0)
+    terms = own.select("key", "fit", F.explode("words").alias("term")).groupBy("key", "fit", "term").agg(
+        F.count(F.lit(1)).alias("tf"))
     weighted = terms.join(model, "term", "left").select(
         "key", "fit", "vector", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("w"))
     parts = weighted.groupBy("key").agg(
