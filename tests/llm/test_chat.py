@@ -50,3 +50,41 @@ def test_against_plain(spark):
                          [tuple(m) for m in r.rejected_mask]) for r in got.collect()}
     assert found == plain(rows)
     assert chat.preferences(df.limit(0)).collect() == []
+
+
+def test_every_conversation_against_the_next(spark):
+    rng = random.Random(8)
+    rows = [(c, t, rng.choice(["user", "assistant"]), rng.choice(["a", "b", "é", None])) for c in rng.sample(range(1000), 30)
+            for t in range(rng.randint(1, 6))]
+    rows += [(2000, 0, "user", "no answer"), (2001, 0, None, None), (2002, 0, "assistant", "only"), (2002, 0, "assistant", "only"),
+             (None, 0, "assistant", "no id"), (5000, None, "assistant", "no turn")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn int, role string, text string, side string, place int")
+    talks = {}
+    for c, t, role, text in rows:
+        if c is not None and t is not None:
+            talks.setdefault(c, []).append((t, role, text))
+    ids, expected = sorted(talks), []
+    for i, c in enumerate(ids):
+        best = lambda talk: max(((t, text or "") for t, role, text in talk if role == "assistant"), default=None)
+        own, other = best(talks[c]), best(talks[ids[(i + 1) % len(ids)]])
+        expected += [(c, "chosen", *x) for x in talks[c]]
+        expected += [(c, "rejected", *x) for x in talks[c] if own is None or x[0] < own[0]]
+        if own and other:
+            expected += [(c, "rejected", t, role, other[1]) for t, role, _ in talks[c] if t == own[0] and role == "assistant"]
+    got = chat.against_next(df).select("pair_id", "side", "turn", "role", "text")
+    clean = lambda found: sorted((tuple(r[:3]) + (r[3] or "", r[4] or "") for r in found), key=repr)
+    assert clean(got.collect()) == clean(expected)
+    assert {r.pair_id for r in chat.preferences(got).collect()} == set(ids)
+    one = chat.preferences(chat.against_next(df.where("conv_id = 2002"))).first()
+    assert one.chosen == one.rejected == "" and one.n_prompt_turns == 2
+    assert chat.against_next(df.limit(0)).collect() == []
+
+
+def test_very_long_turns(spark):
+    long = "é𝔘 " * 300_000
+    df = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long + "x"), (2, 0, "assistant", long)],
+                               "conv_id long, turn int, role string, text string")
+    got = {r.pair_id: r for r in chat.preferences(chat.against_next(df)).collect()}
+    start = len("<|im_start|>assistant\n")
+    assert got[1].n_prompt_turns == 1 and [tuple(m) for m in got[1].chosen_mask] == [(start, start + len(long) + 1 + len("<|im_end|>"))]
+    assert [tuple(m) for m in got[1].rejected_mask] == [(start, start + len(long) + len("<|im_end|>"))]

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.functions.storage import materialize
+from tracewell.llm.common import ranked
+
 # Fixed markers of the chat format.
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
@@ -68,3 +71,36 @@ def preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", tur
         pair, F.col("_n").alias("n_prompt_turns"), _rendered(F.slice("_c", F.lit(1), F.col("_n"))).alias("prompt"),
         *(_rendered(t).alias(name) for name, t in rest.items()),
         *(_mask(t, trained).alias(f"{name}_mask") for name, t in rest.items()))
+
+
+def against_next(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role",
+                 text: str = "text", answers: str = "assistant") -> DataFrame:
+    """``pair_id, side, turn, role, text`` for ``preferences``: every conversation with the last answer of the next one.
+
+    Each conversation is a chosen side. Its rejected side ends before its last turn of the role ``answers`` and goes on with
+    the last one of the conversation of the next id, that of the last with the first's. Where one of the two has no answer, nothing takes
+    its place; a conversation alone is its own next. Turns without an id or a turn count for nothing, nulls in role and text stay, repeated
+    turns stay repeated, of equal last turns that of the greatest text answers. Other columns play no part.
+
+    Conversations meet as one row each, numbered by id in ranges; turns are then joined with those by id.
+    """
+    said = turns.select(F.col(f"`{conversation}`").alias("pair_id"), F.col(f"`{turn}`").cast("long").alias("turn"),
+                        F.col(f"`{role}`").alias("role"), F.col(f"`{text}`").alias("text")).dropna(subset=["pair_id", "turn"])
+    is_answer = F.coalesce(F.col("role") == answers, F.lit(False))
+    last = materialize(said.groupBy("pair_id").agg(
+        F.max(F.when(is_answer, F.struct("turn", "text"))).alias("answer")), "last-answers")
+    places = materialize(ranked(last, [], ["pair_id"], "place"), "conversations")
+    count = max(places.count(), 1)
+    after = places.select(((F.col("place") + (count - 1)) % count).alias("place"), F.col("answer").alias("other"))
+    pairs = places.join(after, "place").select("pair_id", F.col("answer.turn").alias("last"), "other")
+    both = said.join(pairs, "pair_id")
+    is_last = F.coalesce(F.col("turn") == F.col("last"), F.lit(False)) & is_answer
+
+    def side(name: str, words: str) -> Column:
+        return F.array(F.struct(F.lit(name).alias("side"), F.col(words).alias("said")))
+
+    before = F.col("last").isNull() | (F.col("turn") < F.col("last"))
+    return both.select("pair_id", "turn", "role", F.inline(
+        F.when(before, F.concat(side("chosen", "text"), side("rejected", "text")))
+        .when(is_last & F.col("other").isNotNull(), F.concat(side("chosen", "text"), side("rejected", "other.text")))
+        .otherwise(side("chosen", "text")))).withColumnRenamed("said", "text")

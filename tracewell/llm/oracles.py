@@ -15,16 +15,18 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-PREFERENCES = """WITH t AS (SELECT conv_id // 2 AS pair_id, conv_id % 2 AS odd, turn, role, text FROM conversations),
-last AS (SELECT pair_id, max(turn) FILTER (odd = 0) AS even_last,
-        arg_max(text, turn) FILTER (odd = 1) AS other, count(*) FILTER (odd = 1) AS others
-    FROM t WHERE role = 'assistant' GROUP BY pair_id),
+PREFERENCES = """WITH t AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations),
+answers AS (SELECT pair_id, max(turn) FILTER (role = 'assistant') AS own_last,
+        {'said': arg_max(text, turn) FILTER (role = 'assistant'), 'n': count(*) FILTER (role = 'assistant')} AS answer
+    FROM t GROUP BY pair_id),
+last AS (SELECT pair_id, own_last, coalesce(lead(answer) OVER (ORDER BY pair_id), first_value(answer) OVER (ORDER BY pair_id)) AS other
+    FROM answers),
 sides AS (
-    SELECT pair_id, 'chosen' AS side, turn, role, text FROM t WHERE odd = 0
-    UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM t LEFT JOIN last USING (pair_id)
-        WHERE odd = 0 AND (even_last IS NULL OR turn < even_last)
-    UNION ALL SELECT pair_id, 'rejected', even_last, 'assistant', other FROM last
-        WHERE even_last IS NOT NULL AND others > 0),
+    SELECT pair_id, 'chosen' AS side, turn, role, text FROM t
+    UNION ALL SELECT pair_id, 'rejected', turn, role, text FROM t JOIN last USING (pair_id)
+        WHERE own_last IS NULL OR turn < own_last
+    UNION ALL SELECT pair_id, 'rejected', own_last, 'assistant', other.said FROM last
+        WHERE own_last IS NOT NULL AND other.n > 0),
 numbered AS (SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn, role, text) AS rn FROM sides),
 prefix AS (SELECT pair_id, coalesce(min(rn) FILTER (NOT same) - 1, max(rn)) AS n FROM (
         SELECT pair_id, rn, count(*) = 2 AND min(role) = max(role) AND min(text) = max(text) AS same

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.llm import (
@@ -30,26 +30,8 @@ def word_vocabulary() -> str:
 
 
 def op1_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Preference pairs: each conversation of even id, and the same with the last answer of the next one.
-
-    In the rejected conversation, what follows the last answer of the chosen one is missing. Without a next
-    conversation, or an answer in it, the rejected one ends before that answer.
-    """
-    turns = table(spark, sf_dir, "conversations").withColumn("pair_id", F.floor(F.col("conv_id") / 2))
-    odd, answer = F.col("conv_id") % 2 == 1, F.col("role") == "assistant"
-    pair = Window.partitionBy("pair_id")
-    turns = turns.select(
-        "pair_id", "turn", "role", "text", odd.alias("odd"), answer.alias("answer"),
-        F.max(F.when(answer & ~odd, F.col("turn"))).over(pair).alias("last"),
-        F.max(F.when(answer & odd, F.struct("turn", "text"))).over(pair).alias("other"))
-    is_last = F.coalesce(F.col("turn") == F.col("last"), F.lit(False)) & F.col("answer")
-    kept = F.array(F.struct(F.lit("chosen").alias("side"), F.col("text").alias("said")))
-    same = F.array(F.struct(F.lit("rejected").alias("side"), F.col("text").alias("said")))
-    new = F.array(F.struct(F.lit("rejected").alias("side"), F.col("other.text").alias("said")))
-    sides = turns.where(~F.col("odd")).select("pair_id", "turn", "role", F.inline(
-        F.when(is_last & F.col("other").isNotNull(), F.concat(kept, new))
-        .when(F.col("last").isNull() | (F.col("turn") < F.col("last")), F.concat(kept, same)).otherwise(kept)))
-    pairs = chat.preferences(sides, text="said")
+    """Preference pairs: every conversation, and the same with the last answer of the next one."""
+    pairs = chat.preferences(chat.against_next(table(spark, sf_dir, "conversations")))
     spans = {f"{s}_mask": F.array_join(F.transform(f"{s}_mask", lambda m: F.concat_ws(
         ":", m["start"].cast("string"), m["end"].cast("string"))), ",") for s in ("chosen", "rejected")}
     return pairs.withColumns(spans)
