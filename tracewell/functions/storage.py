@@ -61,3 +61,12 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     path = new_path(df.sparkSession, name)
     (df.write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def append(df: DataFrame, path: str) -> DataFrame:
+    """Add the rows of ``df`` to the table written at ``path``, if there is one, and give all that it holds by now.
+
+    Each call writes its own rows only. ``df`` may read what is there already.
+    """
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,13 +13,12 @@ which marking it turns every marking into, and these tables are chained in a tre
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.bits import MAX_BITS, few_names, to_bits_sql
-from tracewell.functions.storage import materialize
+from tracewell.functions.storage import append, materialize, new_path
 from tracewell.operators.net import SINK, SOURCE
 from tracewell.operators.variants import variants
 
@@ -27,6 +26,8 @@ from tracewell.operators.variants import variants
 MAX_MARKINGS = 4096
 # Blocks chained per step of the tree.
 FAN_IN = 1024
+# Events after which a block first merges markings that have become the same.
+FIRST_MERGE = 64
 
 
 def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "skip",
@@ -35,7 +36,7 @@ def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "s
     """``case_id, accepted``. ``pre_post`` is the table of ``pre_post_places``; an event that
     cannot fire is skipped, or with ``on_disabled="reject"`` rejects its case. ``has_long`` says
     whether the log has cases cut into blocks; if unknown, the log is asked. ``by_variant`` replays
-    each distinct trace once."""
+    each distinct trace once, in the blocks that its smallest case has in ``log``."""
     if by_variant:
         distinct, cases = variants(log)
         verdicts = trace_conformance(distinct, pre_post, on_disabled, max_markings, max_bits, has_long)
@@ -138,37 +139,41 @@ def _unfold(pre_post: DataFrame, on_disabled: str, max_markings: int) -> DataFra
     """
     spark = pre_post.sparkSession
     needs = pre_post.select("activity", F.explode("pre").alias("place"))
-    # (marking, activity, next) for every activity that can fire, breadth first.
-    level = seen = spark.createDataFrame([([SOURCE],)], "marking array<string>")
-    fired = []
+    # (marking, activity, next) for every activity that can fire, breadth first. What is known is only added to: a level
+    # and its moves are written once, and the next one starts from that level alone.
+    level = spark.createDataFrame([([SOURCE],)], "marking array<string>")
+    markings, changes = new_path(spark, "markings"), new_path(spark, "moves")
+    seen, count = append(level, markings), 1
+    free = pre_post.filter(F.size("pre") == 0)
+    fired = None
     while not level.isEmpty():
         open_markings = level.filter(~F.array_contains("marking", SINK))
         met = (
             open_markings.select("marking", F.explode("marking").alias("place")).join(needs, "place")
             .groupBy("marking", "activity").agg(F.count(F.lit(1)).alias("met"))
             .join(pre_post, "activity").filter(F.col("met") == F.size("pre")))
-        free = pre_post.filter(F.size("pre") == 0)
         always = open_markings.withColumn("one", F.lit(1)).join(free.withColumn("one", F.lit(1)), "one")
         moves = materialize(
             met.select("marking", "activity", "pre", "post")
             .unionByName(always.select("marking", "activity", "pre", "post"))
             .select("marking", "activity", _fire(F.col("marking"), F.col("pre"), F.col("post")).alias("next")),
-            "moves")
-        fired.append(moves)
+            "level-moves")
+        fired = append(moves, changes)
         level = materialize(
-            moves.select(F.col("next").alias("marking")).distinct().join(seen, "marking", "left_anti"), "markings")
-        seen = materialize(seen.unionByName(level), "markings-seen")
-        if seen.count() > max_markings:
+            moves.select(F.col("next").alias("marking")).distinct().join(seen, "marking", "left_anti"), "level")
+        count += level.count()
+        if count > max_markings:
             return None
+        seen = append(level, markings)
 
     numbered = seen.agg(F.array_sort(F.collect_list("marking")).alias("markings")).select(
         F.posexplode("markings").alias("i", "marking")).select(
         (F.col("i") + 1).alias("id"), "marking")
     numbered = materialize(numbered, "numbered-markings")
-    size = numbered.count()
+    size = count
     ids = numbered.toDF("next_id", "next")
     changes = (
-        reduce(DataFrame.unionByName, fired).join(numbered, "marking").join(ids, "next")
+        fired.join(numbered, "marking").join(ids, "next")
         .groupBy("activity").agg(F.map_from_entries(F.collect_list(F.struct("id", "next_id"))).alias("to")))
     closed = numbered.agg(F.collect_set(F.when(F.array_contains("marking", SINK), F.col("id"))).alias("closed"))
     stay = (lambda i: i) if on_disabled == "skip" else (lambda i: F.lit(0))
@@ -195,10 +200,42 @@ def _then(first: Column, second: Column) -> Column:
     return F.transform(first, lambda i: F.get(second, i))
 
 
+def _let(value: Column, use) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _block_effect(events: Column, moves: Column, size: Column) -> Column:
+    """What a block turns every marking into. ``events`` are activities by number, null if unknown.
+
+    Markings that have come to the same one stay together, so only the images of classes of them are moved on: an event
+    costs as many steps as there are different images. Classes are merged after 64 events and then whenever the events
+    so far have doubled.
+    """
+    number = F.size(events)
+    # Segments [0, 64), [64, 128), [128, 256) and so on, as (begin, length).
+    doublings = F.greatest(F.ceil(F.log2(F.greatest(number, F.lit(1)) / FIRST_MERGE)), F.lit(0)).cast("int")
+    whole = (lambda s: F.call_function("shiftleft", F.lit(FIRST_MERGE // 2), s))
+    segments = F.transform(F.sequence(F.lit(0), doublings), lambda s: F.struct(
+        F.when(s == 0, F.lit(0)).otherwise(whole(s)).alias("before"), F.greatest(whole(s), F.lit(FIRST_MERGE)).alias("length")))
+
+    def moved(images: Column, segment: Column) -> Column:
+        return F.aggregate(F.slice(events, segment["before"] + 1, segment["length"]), images, lambda now, k: F.when(
+            k.isNull(), F.transform(now, lambda i: F.lit(0))).otherwise(_then(now, F.get(moves, k))))
+
+    def merged(classes: Column, images: Column) -> Column:
+        return _let(F.array_distinct(images), lambda distinct: _let(
+            F.transform(images, lambda i: (F.array_position(distinct, i) - 1).cast("int")), lambda place: F.struct(
+                _then(classes, place).alias("classes"), distinct.alias("images"))))
+
+    every = F.sequence(F.lit(0), size)
+    last = F.aggregate(segments, F.struct(every.alias("classes"), every.alias("images")), lambda state, segment: _let(
+        moved(state["images"], segment), lambda images: merged(state["classes"], images)))
+    return _let(last, lambda state: _then(state["classes"], state["images"]))
+
+
 def _replay_in_parallel(long: DataFrame, net: DataFrame) -> DataFrame:
     index = net.select(F.posexplode("activities").alias("k", "activity"))
-    rejects = F.transform(F.sequence(F.lit(0), F.col("size")), lambda i: F.lit(0))
-    unchanged = F.sequence(F.lit(0), F.col("size"))
     effects = (
         long.select("case_id", "block", "pos", "activity").join(index, "activity", "left")
         .groupBy("case_id", "block")
@@ -206,9 +243,7 @@ def _replay_in_parallel(long: DataFrame, net: DataFrame) -> DataFrame:
         .select("case_id", "block", F.col("events.k").alias("events"),
                 net.select(F.struct("moves", "size")).scalar().alias("net"))
         .select("case_id", "block", "events", "net.*")
-        .select("case_id", "block", F.aggregate(
-            "events", unchanged,
-            lambda now, k: F.when(k.isNull(), rejects).otherwise(_then(now, F.get("moves", k)))).alias("effect")))
+        .select("case_id", "block", _block_effect(F.col("events"), F.col("moves"), F.col("size")).alias("effect")))
     # Three steps of FAN_IN chain a billion blocks; the fourth is the whole case.
     for width in (FAN_IN, FAN_IN ** 2, FAN_IN ** 3, None):
         group = F.lit(0) if width is None else F.col("block") - F.col("block") % F.lit(width)
