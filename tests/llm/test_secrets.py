@@ -1,6 +1,9 @@
 """Secret scans against Python's regular expressions, and the Markov models on made-up tokens."""
 
+import math
+import random
 import re
+import time
 
 import pytest
 
@@ -50,3 +53,63 @@ def test_empty_and_untrained(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     ratios = S.fit(empty)
     assert ratios == pytest.approx([0] * len(ratios)) and S.found(empty, ratios).collect() == []
+
+
+def plain_ratios(texts):
+    """The same models, counted one character at a time."""
+    alphabet, counts = S.ALPHABET, ({}, {})
+    for text in texts:
+        random = [m[2] for m in PATTERNS["assign"].finditer(text)] + re.findall("[0-9a-f]{24,}", text)
+        words = [w for w in re.findall("[A-Za-z0-9+/_=-]{4,}", text) if not re.search("[0-9a-f]{24}|AKIA[A-Z0-9]{16}", w)]
+        for kind, tokens in enumerate(([v for v in random if len(v) >= 6], words)):
+            for t in tokens:
+                for pair in zip(t.lower(), t.lower()[1:]):
+                    counts[kind][pair] = counts[kind].get(pair, 0) + 1
+    out = {}
+    for a in alphabet:
+        total = [sum(c.get((a, b), 0) for b in alphabet) for c in counts]
+        for b in alphabet:
+            likely = 0.5 / len(alphabet) + 0.5 * (counts[0].get((a, b), 0) / total[0] if total[0] else 1 / len(alphabet))
+            out[a, b] = math.log(likely) - math.log((counts[1].get((a, b), 0) + 0.1) / (total[1] + 0.1 * len(alphabet)))
+    return out
+
+
+def test_markov_spans_against_plain(spark):
+    rng = random.Random(12)
+    words = ["customer", "address_line", "ordinary", "identifier", "https", "value"]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    texts = []
+    for _ in range(60):
+        parts = [rng.choice(words) for _ in range(20)] + ["_".join(rng.choices(words, k=4))]
+        parts.insert(rng.randrange(20), "".join(rng.choices(letters, k=rng.choice([19, 20, 24, 40, 90]))))
+        parts.insert(3, f"token = {rng.randbytes(rng.choice([8, 16])).hex()}")
+        texts.append("\u00e9 ".join(parts))
+    df = spark.createDataFrame([(i, t, "b") for i, t in enumerate(texts)] + [(99, None, "b"), (100, "", "b")], "id long, text string, token string")
+    table = plain_ratios(texts)
+    ratios = S.fit(df)
+    assert ratios == pytest.approx([table[a, b] for a in S.ALPHABET for b in S.ALPHABET], abs=1e-9)
+    found = {r.id: r.s for r in S.found(df, ratios).select("id", S.listed("spans").alias("s")).collect()}
+    some = 0
+    for i, text in enumerate(texts):
+        expected = [x for x in brute(text).split(",") if x]
+        rest = text
+        for x in expected:
+            a, b = map(int, x.split(":")[1:])
+            rest = rest[:a] + " " * (b - a) + rest[b:]
+        for m in re.finditer(S.TOKEN, rest):
+            t = m[0].lower()
+            if sum(float(f"{table[p]:.5f}") for p in zip(t, t[1:])) >= 20:
+                expected.append(f"random:{m.start()}:{m.end()}")
+                some += 1
+        assert found[i] == ",".join(sorted(expected, key=lambda x: (int(x.split(":")[1]), S.KINDS.index(x.split(":")[0]))))
+    assert some > 5 and found[99] == found[100] == ""
+
+
+def test_very_long_tokens(spark):
+    rng = random.Random(2)
+    blob = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=1_000_000))
+    df = spark.createDataFrame([(1, "plain words and " + blob + " end"), (2, "a" * 1_000_000)], "doc_id long, text string")
+    began = time.time()
+    ratios = S.fit(df.union(spark.createDataFrame([(3, "token = " + rng.randbytes(200).hex())], df.schema)))
+    rows = {r.doc_id: r.s for r in S.found(df, [r + 1 for r in ratios]).select("doc_id", S.listed("spans").alias("s")).collect()}
+    assert rows[1] == f"random:16:{16 + len(blob)}" and time.time() - began < 120

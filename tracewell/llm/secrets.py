@@ -72,39 +72,40 @@ def pattern_spans(text: Column, kind: str) -> Column:
     return _spans(text, kind, pattern, _wanted(kind))
 
 
-def _pairs(tokens: DataFrame) -> DataFrame:
-    """How often each character follows each other one in ``token``."""
-    chars = F.lower("token")
-    return tokens.select(F.explode(F.transform(
-        F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substr(chars, i, F.lit(2)))).alias("pair")).groupBy(
-        "pair").count()
+def _chars(token: Column) -> Column:
+    return F.filter(F.split(F.lower(token), "", -1), lambda c: c != "")
 
 
-def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_docs: int = 2000) -> list[float]:
+def _pairs(token: Column) -> Column:
+    """Each character of a token with the one after it."""
+    return _once(_chars(token), lambda c: F.zip_with(
+        F.slice(c, 1, F.greatest(F.size(c) - 1, F.lit(0))), F.slice(c, 2, F.size(c)), lambda x, y: F.concat(x, y)))
+
+
+def fit(docs: DataFrame, text: str = "text") -> list[float]:
     """The log-likelihood ratios of each pair of characters: random against ordinary.
 
-    Learnt from at most ``max_docs`` documents with secrets by pattern, whose values are the random samples, and
-    ``max_docs`` of all documents, whose words of four characters or more, but such values, are the ordinary
-    ones; rows without an id are not among them. Both choices depend on hashes of ids alone. The pair counts, whose number is that of pairs of the
-    alphabet at most, go to the driver. Half the probability of a random string is spread evenly, as few samples
-    can't show every pair; ordinary pairs never seen count as a tenth.
+    Learnt from all documents: what the patterns find labels the random samples, and the words of four characters or more
+    without such digits or access keys are the ordinary ones. Equal tokens are counted before they are taken apart, and
+    only the counts of pairs, at most twice those of the alphabet, go to the driver. Half the probability of a random string is spread evenly, as few samples
+    can't show every pair; ordinary pairs never seen count as a tenth. Null and empty texts teach nothing; without any token all
+    ratios are 0. A token of any length is taken apart in one pass.
     """
-    body = docs.select(F.col(doc).alias("_doc"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
-
-    def sample(rows: DataFrame) -> DataFrame:
-        # Ids alone are sorted; at most max_docs of them are then looked up.
-        ids = rows.select("_doc").orderBy(F.xxhash64("_doc"), "_doc").limit(max_docs)
-        return body.join(F.broadcast(ids), "_doc", "left_semi")
-
-    with_secret = body.where(F.col("_text").rlike(PATTERNS["assign"]) | F.col("_text").rlike("[0-9a-f]{24}"))
-    values = sample(with_secret).select(F.explode(F.concat(
-        F.transform(F.regexp_extract_all("_text", F.lit(PATTERNS["assign"]), F.lit(0)), _value),
-        F.regexp_extract_all("_text", F.lit("[0-9a-f]{24,}"), F.lit(0)))).alias("token")).where(
-        F.length("token") >= LEAST["assign"])
-    words = sample(body).select(F.explode(F.regexp_extract_all(
-        "_text", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token")).where(
-        ~F.col("token").rlike("[0-9a-f]{24}|AKIA[A-Z0-9]{16}"))
-    random, ordinary = ({r[0]: r[1] for r in _pairs(t).collect()} for t in (values, words))
+    body = F.col(f"`{text}`").cast("string")
+    values = F.filter(F.concat(
+        F.transform(F.regexp_extract_all(body, F.lit(PATTERNS["assign"]), F.lit(0)), _value),
+        F.regexp_extract_all(body, F.lit("[0-9a-f]{24,}"), F.lit(0))), lambda v: F.length(v) >= LEAST["assign"])
+    words = F.filter(F.regexp_extract_all(body, F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0)),
+                     lambda w: ~w.rlike("[0-9a-f]{24}|AKIA[A-Z0-9]{16}"))
+
+    def labelled(tokens: Column, random: bool) -> Column:
+        return F.transform(tokens, lambda t: F.struct(F.lit(random).alias("random"), t.alias("token")))
+
+    tokens = docs.where(F.length(body) > 0).select(F.inline(F.concat(labelled(values, True), labelled(words, False))))
+    pairs = tokens.groupBy("random", "token").agg(F.count(F.lit(1)).alias("n")).select(
+        "random", "n", F.explode(_pairs(F.col("token"))).alias("pair")).groupBy("random", "pair").agg(F.sum("n").alias("n"))
+    counts = {(r["random"], r["pair"]): r["n"] for r in pairs.where(F.col("pair").rlike(f"^[{ALPHABET}]{{2}}$")).collect()}
+    random, ordinary = ({pair: n for (kind, pair), n in counts.items() if kind is which} for which in (True, False))
     n, out = len(ALPHABET), []
     for a in ALPHABET:
         seen, known = (sum(c.get(a + b, 0) for b in ALPHABET) for c in (random, ordinary))
@@ -117,11 +118,10 @@ def fit(docs: DataFrame, doc: str = "doc_id", text: str = "text", max_docs: int
 def ratio(token: Column, ratios: list[float]) -> Column:
     """The log-likelihood ratio of a token, all of whose characters must be in the alphabet."""
     table = F.split(F.lit(",".join(f"{r:.5f}" for r in ratios)), ",").cast("array<double>")  # folded to a constant
-    places = F.transform(F.sequence(F.lit(1), F.length(token)), lambda i: F.position(
-        F.substr(F.lower(token), i, F.lit(1)), F.lit(ALPHABET)) - 1)
+    places = F.transform(_chars(token), lambda c: F.position(c, F.lit(ALPHABET)) - 1)
     return _once(places, lambda p: F.aggregate(
-        F.sequence(F.lit(1), F.size(p) - 1), F.lit(0.0).cast("double"),
-        lambda total, i: total + F.get(table, F.get(p, i - 1) * len(ALPHABET) + F.get(p, i))))
+        F.zip_with(F.slice(p, 1, F.size(p) - 1), F.slice(p, 2, F.size(p) - 1), lambda a, b: a * len(ALPHABET) + b),
+        F.lit(0.0).cast("double"), lambda total, k: total + F.get(table, k)))
 
 
 def _without(text: Column, pattern: str, wanted: Callable[[Column], Column]) -> Column:
@@ -140,8 +140,8 @@ def found(docs: DataFrame, ratios: list[float], text: str = "text", threshold: f
 
     Spans are structs ``start, kind, end`` in code points, end exclusive, in that order; ``kind`` is an index
     in KINDS. Random-looking are tokens of 20 characters or more whose log-likelihood ratio is ``threshold`` or
-    more and that stand outside all spans by pattern. Null and empty texts have no spans; columns named
-    ``base`` and ``spans`` are replaced, all others stay.
+    more and that stand outside all spans by pattern. Null and empty texts have no spans, an empty table gives no rows; columns named
+    ``base`` and ``spans`` are replaced, all others and repeated rows stay. A token is looked through once, however long.
     """
     source = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
     base = docs.withColumn("base", F.array_sort(F.concat(*(pattern_spans(source, k) for k in PATTERNS))))
