@@ -2,6 +2,7 @@
 
 import html as H
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -125,3 +126,39 @@ def test_tables(spark):
     sources = {r.page_id: r.html for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
     got = op5_html(spark, SF_DIR).collect()
     assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (plain(s), len(plain(s))) for i, s in sources.items()}
+
+
+@pytest.mark.parametrize("source,text", [
+    ("<article><p class='related-work'>kept</p><div class='search-theory'>too</div><p id='share-of-votes'>yes</p></article>", "kept\ntoo\nyes"),
+    ("<article><p>a</p><div class='related-posts'>r</div><div class='ads'>x</div><ul class='share buttons'><li>s</ul></article>", "a"),
+    ("<article><p>a</p><p hidden>h</p><div style='color:red; display: none'>n</div><p data-hidden=1>d</p></article>", "a\nd"),
+    ("<article><p title='<p>'>a<br/>b</p><img alt=\"x > y\">c <a href='u>d</article>", "a b\nc <a href='u>d"),
+])
+def test_names_inside_the_article(source, text):
+    assert html.main_text(source) == text
+
+
+@pytest.mark.parametrize("source,size", [
+    ("<a " * 350_000, 1_049_999), ("<a '\"<b \"' " * 100_000, 1_099_999), ("<" * 1_000_000, 1_000_000), ("<a <b " * 200_000 + "'", 1_200_001),
+    ("<div>" * 100_000 + "x" + "</div>" * 100_000, 1), ("<div class=abcdef1>" * 100_000 + "y", 1), ("<b>" * 50_000 + "<li>" * 50_000 + "z", 1),
+    ("<main>" * 30_000 + "q", 1), ("<!--" * 300_000, 0), ("<p>" + "word " * 400_000, 1_999_999)])
+def test_very_long_and_deep_pages(source, size):
+    began = time.time()
+    assert len(html.main_text(source)) == size and time.time() - began < 30
+
+
+def test_style_tree_alone(spark):
+    """Pages without articles and telling names: only what repeats on a host tells its boilerplate."""
+    rows, expected = [], {}
+    for site in range(3):
+        for i in range(6):
+            body = [f"Story {site} {i} {w} of its own with some more words" for w in ("begins", "goes on", "ends")]
+            rows.append((10 * site + i, f"https://h{site}.org/{i}", "".join([
+                f"<div class=q{site}><p>All pages</p><p>Contact {site}</p></div>", "<div class=w>", *(f"<p>{b}</p>" for b in body), "</div>",
+                "<section><div class=z><p>Printed on paper</p></div></section>"])))
+            expected[10 * site + i] = "\n".join(body)
+    rows += [(50, "https://lone.org/", "<div class=z><p>Printed on paper</p></div>")]
+    expected[50] = "Printed on paper"
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in got.collect()} == expected
+    assert html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").limit(0)).collect() == []

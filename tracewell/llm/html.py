@@ -37,25 +37,34 @@ SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td",
 HOLDERS = set("ul ol dl table body article section div".split())  # an implied end does not reach beyond these
 #: What the elements' names, roles, classes and ids say about them.
 NOISE = set("head nav header footer aside form menu button dialog search".split())
-NOISE_NAME = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|consent|cookies?|disqus|"
+_NOISE_WORDS = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|commentlist|complementary|contentinfo|consent|cookies?|disqus|"
     r"footer|gdpr|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|"
     r"popup|promo\w*|related|replies|reply|respond|search|share|sharing|sidebar|social|sponsor\w*|subscribe|"
-    r"toolbar|widget)(?:$|[^a-z])")
+    r"toolbar|widget)")
+NOISE_NAME = re.compile(rf"(?:^|[^a-z]){_NOISE_WORDS}(?:$|[^a-z])")
+#: Inside an article a class or id must say nothing else: a paragraph may well be on related-work.
+_PART_WORDS = r"(?:area|articles?|bar|block|box|buttons?|container|form|item|links?|list|panel|posts?|section|signup|slot|wrapper)"
+NOISE_TOKEN = re.compile(rf"(?:^|\s)(?:{_PART_WORDS}[-_]+)*{_NOISE_WORDS}(?:[-_]+(?:{_NOISE_WORDS}|{_PART_WORDS}))*(?:$|\s)")
 #: Classes and ids of what readers wrote, which may well be longer than the article.
 TALK = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|reply|respond)(?:$|\s)")
 HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 WHOLE = set("html body article main".split())  # never noise for their names
 CONTAINERS = BLOCKS - set("p h1 h2 h3 h4 h5 h6 li dt dd td th tr tbody thead tfoot html body head title hr pre".split())
 MAIN = {"article", "main"}
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S)
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+SPECIAL = re.compile("[>\"']")
+#: More open elements than this are not nested: the innermost one ends where the next begins.
+MAX_DEPTH = 512
+#: A style path of more characters than this is known by its hash.
+PATH_CHARS = 256
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|\bstyle\s*=\s*(?:\"[^\"]*|'[^']*|[^\s\"']*)display\s*:\s*none", re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 @dataclass
 class Node:
-    """An open element. ``path`` is its style path, ``main`` whether it is or is in an article or main part.
+    """An open element. ``path`` is its style path, of which a long beginning is a hash, ``main`` whether it is or is in an article or main part.
 
     ``noise`` says that its tag or one above is noise; ``weak`` and ``part`` are the innermost weak element and
     main part it is or is in, or -1, and ``article`` whether it is or is in an article.
@@ -156,6 +165,54 @@ def dead(weak: list[Weak], parts: list[Part], blocks: list[tuple[int, int, int]]
     return out
 
 
+class Tags:
+    """Where the tags of a text end. Each quote and bracket is followed once, however many tags are left open."""
+
+    def __init__(self, html: str):
+        self.html, self.known = html, {-1: -1}
+        self.seen, self.next = 0, -1  # the first bracket or quote from ``seen`` on is at ``next``
+        self.last = html.rfind(">")
+
+    def _special(self, at: int) -> int:
+        found = SPECIAL.search(self.html, at)
+        return found.start() if found else -1
+
+    def end(self, at: int) -> int:
+        """The end of the tag whose attributes begin at ``at``, outside quotes; -1 if it has none."""
+        if not self.seen <= at <= self.next:
+            if self.next < 0 < self.seen <= at:
+                return -1
+            self.seen, self.next = at, self._special(at)
+        p, way = self.next, []
+        while p not in self.known:
+            way.append(p)
+            if self.html[p] == ">":
+                self.known[p] = p + 1
+                break
+            close = self.html.find(self.html[p], p + 1)
+            p = self._special(close + 1) if close >= 0 else -1
+        out = self.known[way[-1]] if way and way[-1] in self.known else self.known[p]
+        for q in way:
+            self.known[q] = out
+        return out
+
+    def token(self, at: int) -> tuple[int, int, bool, str | None, str] | None:
+        """Start and end of the next piece of markup from ``at`` on, whether it is an end tag, its name and attributes."""
+        html = self.html
+        while (start := html.find("<", at)) >= 0:
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 4)
+                return start, end + 3 if end >= 0 else len(html), False, None, ""
+            closing = html.startswith("/", start + 1)
+            name = NAME.match(html, start + 1 + closing)
+            if name and (end := self.end(name.end())) >= 0:
+                return start, end, closing, name[0], html[name.end():end - 1]
+            if html[start + 1:start + 2] in ("!", "?", "/") and self.last > start + 1:
+                return start, html.find(">", start + 2) + 1, False, None, ""
+            at = start + 1
+        return None
+
+
 def read(html: str) -> Page:
     """The page that a browser would more or less see: implied ends are supplied, stray ends ignored."""
     page, buffer = Page(), []
@@ -185,20 +242,20 @@ def read(html: str) -> Page:
 
     marks: dict[int, set[int]] = {}  # weak elements of the articles seen inside an open element, by its depth
     held: list[set[int]] = []  # the same of each branch
-    at, size = 0, len(html)
+    at, size, tags = 0, len(html), Tags(html)
     while at < size:
-        match = TOKEN.search(html, at)
-        if match is None:
+        token = tags.token(at)
+        if token is None:
             buffer.append(html[at:])
             break
-        if match.start() > at:
-            buffer.append(html[at:match.start()])
-        at = match.end()
-        tag = match[2]
+        start, end, closing, tag, attributes = token
+        if start > at:
+            buffer.append(html[at:start])
+        at = end
         if tag is None:
             continue
         tag = tag.lower()
-        if match[1]:
+        if closing:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].tag == tag:
                     above = stack[depth - 1]
@@ -214,7 +271,7 @@ def read(html: str) -> Page:
         if tag == "br":
             buffer.append(" ")
             continue
-        if tag in FOREIGN and match[3].endswith("/"):
+        if tag in FOREIGN and attributes.endswith("/"):
             continue
         if tag in ("mtr", "mtd"):
             buffer.append(" ")
@@ -243,16 +300,20 @@ def read(html: str) -> Page:
             flush()
         if tag in VOID:
             continue
+        if len(stack) > MAX_DEPTH:
+            close(len(stack) - 1)
         above, style = stack[-1], tag
-        names = " ".join(x or y or z for _, x, y, z in ATTRIBUTE.findall(match[3])).lower() if match[3] else ""
+        names = " ".join(x or y or z for _, x, y, z in ATTRIBUTE.findall(attributes)).lower() if attributes else ""
         if names:
             style += "." + ".".join(re.sub(r"\d+", "9", names).split())
         above.children.append(style)
         inside = above.main or tag in MAIN or "main" in names.split()
         said = names.replace("header", "") if above.article else names
-        noise = above.noise or (tag in NOISE and tag != "form" and not (tag == "header" and above.article))
+        hidden = bool(attributes) and tag not in WHOLE and bool(HIDDEN.search(attributes))
+        noise = above.noise or hidden or (tag in NOISE and tag != "form" and not (tag == "header" and above.article))
         within, part = above.weak, above.part
-        if tag == "form" or (tag not in WHOLE and said and NOISE_NAME.search(said)):
+        if tag == "form" or (
+                tag not in WHOLE and said and (NOISE_TOKEN if above.article else NOISE_NAME).search(said)):
             talk = bool(TALK.search(names)) or (within >= 0 and weak[within].talk)
             weak.append(Weak(within, talk))
             within = len(weak) - 1
@@ -265,7 +326,10 @@ def read(html: str) -> Page:
                 marks.setdefault(depth, set()).add(within)
         if names and tag not in BLOCKS and (noise, within) != (above.noise, above.weak):
             flush()  # an inline part with a name of its own ends the block
-        stack.append(Node(tag, f"{above.path}>{style}", noise, inside, bool(names), len(page.blocks), within, part,
+        path = f"{above.path}>{style}"
+        if len(path) > PATH_CHARS:
+            path = "#" + xxhash.xxh3_64_hexdigest(path)
+        stack.append(Node(tag, path, noise, inside, bool(names), len(page.blocks), within, part,
                           above.article or tag == "article"))
     close(1)
     if weak:
@@ -368,7 +432,8 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html", text: str
 
     Style nodes that occur at least ``least_pages`` times, on equal pages once, are removed if their importance is
     below ``low``, however many pages their host has: each page is joined with those of its own that are low. A null or empty page
-    has an empty text; equal pages of a host have equal texts; pages without a host form one site.
+    has an empty text; equal pages of a host have equal texts; pages without a host form one site; an empty table gives no rows.
+    Markup that is left open and elements nested beyond ``MAX_DEPTH`` are read in one pass, however long the page.
     """
     nodes = style_nodes(pages, url, html)
     poor = _tree(nodes).where((F.col("pages") >= least_pages) & (F.col("importance") < low)).select("host", "path")
