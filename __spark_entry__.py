@@ -107,8 +107,7 @@ def _xes_log(spark: SparkSession, sf_dir: str, name) -> DataFrame:
      .select(named(name).alias("string"),
              F.transform("trace", lambda a: F.struct(named(a).alias("string"))).alias("event"))
      .write.format("xml").option("rootTag", "log").option("rowTag", "trace").save(path))
-    names = S.read_xes_traces(spark, path).select("case_id", "name")
-    return S.read_xes_log(spark, path).join(names, "case_id")
+    return S.read_xes_log(spark, path, with_name=True)
 
 
 def _xes_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

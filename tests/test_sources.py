@@ -146,3 +146,27 @@ def test_sinks(spark, tmp_path, single_file):
 def test_written_tables_lie_in_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert materialize(spark.range(3), "three").inputFiles()[0].removeprefix("file://").startswith(shared_dir(spark))
+
+
+def test_xes_cases_stay_the_same_however_files_are_split(spark, tmp_path):
+    for name, count in (("a", 300), ("b", 1), ("c", 120)):
+        traces = "".join(
+            f'<trace><string key="concept:name" value="{name}{i}"/>' + "".join(
+                f'<event><string key="concept:name" value="{"xyz"[(i + k) % 3]}"/></event>' for k in range(i % 4)) + "</trace>\n"
+            for i in range(count))
+        (tmp_path / f"{name}.xes").write_text(f"<log>\n{traces}</log>")
+    found = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "7000", "1500"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = read_xes_traces(spark, str(tmp_path))
+            found.append(sorted((r.case_id, r.name, r.trace) for r in rows.collect()))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found[0] == found[1] == found[2] and len(found[0]) == 421
+    # A case is known by its file and its number there.
+    assert {(c.rpartition("/")[2], name) for c, name, _ in found[0]} == {
+        (f"{f}.xes#{i}", f"{f}{i}") for f, n in (("a", 300), ("b", 1), ("c", 120)) for i in range(n)}
+    log = read_xes_log(spark, str(tmp_path), with_name=True)
+    assert {(r.case_id, r.name) for r in log.collect()} == {(c, n) for c, n, t in found[0] if t}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.profile import activity_alphabet
+from tracewell.functions.storage import materialize
 
 COUNTING_MODES = ("last_wins", "presence")
 
@@ -71,8 +71,8 @@ def profile_alphabet(profile: DataFrame) -> DataFrame:
 
 
 def footprint(log: DataFrame, counting: str = "last_wins") -> DataFrame:
-    """``a, b, relation`` for all ordered pairs of activities. A self-loop is ``->``."""
-    return _matrix(follow_flags(log, counting), activity_alphabet(log))
+    """``a, b, relation`` for all ordered pairs of activities. A self-loop is ``->``. The log is read once."""
+    return profile_footprint(materialize(log_profile(log, counting), "profile"))
 
 
 def profile_footprint(profile: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewell.functions.ordering import BLOCK_ROWS, LOG_COLUMNS, block_of, order_events
+from tracewell.functions.storage import materialize
 
 ColumnOrName = Column | str
 
@@ -81,51 +82,68 @@ def _concept_name(strings: Column) -> Column:
     return F.get(F.filter(strings, lambda s: s["_key"] == "concept:name"), F.lit(0))["_value"]
 
 
+def _with_ordinal(rows: DataFrame) -> DataFrame:
+    """Rows ``file, start, row_id`` and more with ``ordinal``, their number in the file from 0, instead of the last two.
+
+    The rows of a piece of a file are read by one task one after another, so their ids are too; how many rows the pieces before
+    have makes the number the same however files are split. Only one row per piece is counted up.
+    """
+    rows = materialize(rows, "file-rows")
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = rows.groupBy("file", "start").agg(F.min("row_id").alias("first"), F.count(F.lit(1)).alias("n")).select(
+        "file", "start", (F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    pieces = materialize(pieces, "file-pieces")
+    return rows.join(pieces, ["file", "start"]).withColumn("ordinal", F.col("row_id") + F.col("shift")).drop(
+        "start", "row_id", "shift")
+
+
 def read_xes_traces(spark: SparkSession, path: str) -> DataFrame:
     """``case_id, name, trace``: one row per ``<trace>``, with the names of its events that have one.
 
     ``name`` is the trace's own ``concept:name``, which may be missing or repeat, within a file or over
-    several. ``case_id`` is its own: file, first byte of the block read, and row in what one task reads;
-    it stays the same as long as the files are read with the same settings.
+    several. ``case_id`` is its own: the file and its number in there from 0, however the files are split for reading.
+    The files are read once; what is found in them is written.
     """
-    return (
+    rows = (
         spark.read.format("xml").option("rowTag", "trace").schema(_XES_SCHEMA).load(path)
         .select(
-            F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.file_block_start").cast("string"),
-                        F.monotonically_increasing_id().cast("string")).alias("case_id"),
-            _concept_name(F.col("string")).alias("name"),
+            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("row_id"), _concept_name(F.col("string")).alias("name"),
             F.filter(F.transform("event", lambda e: _concept_name(e["string"])),
                      lambda name: name.isNotNull()).alias("trace")))
+    return _with_ordinal(rows).select(
+        F.concat_ws("#", "file", F.col("ordinal").cast("string")).alias("case_id"), "name", "trace")
 
 
-def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def read_xes_log(spark: SparkSession, path: str, block_rows: int = BLOCK_ROWS, with_name: bool = False) -> DataFrame:
     """One case per ``<trace>``, whatever its name, and one event per ``<event>`` that has a ``concept:name``.
 
-    ``case_id`` is that of read_xes_traces(), which also says the names of the traces.
+    ``case_id`` is that of read_xes_traces(); ``with_name`` adds the name of the event's trace as ``name``.
     """
-    return traces_to_events(read_xes_traces(spark, path), "case_id", "trace", block_rows)
+    keep = ["name"] if with_name else []
+    return traces_to_events(read_xes_traces(spark, path), "case_id", "trace", block_rows, keep=keep)
 
 
 def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
-                     block_rows: int = BLOCK_ROWS, by_case: bool = False) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS, by_case: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """Event log of a table that holds one array of activity names per row.
 
-    Needs no shuffle. With ``by_case`` the arrays are hash-partitioned by case before they are
+    ``keep`` names columns of the table, other than those of a log, that each event gets too. Needs no shuffle. With ``by_case`` the arrays are hash-partitioned by case before they are
     spread into events, so that operators that group by case need not shuffle the events.
     """
-    traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"))
+    traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"), *keep)
     if by_case:
         traces = traces.repartition("case_id")
     return (
-        traces.select("case_id", F.posexplode("trace").alias("i", "activity"), "trace")
+        traces.select("case_id", F.posexplode("trace").alias("i", "activity"), "trace", *keep)
         .select(
             "case_id",
             (F.col("i") + 1).cast("bigint").alias("pos"),
             F.when(F.size("trace") > block_rows, block_of(F.col("i") + 1, block_rows)).alias("block"),
             _required(F.col("activity"), "activity").alias("activity"),
             F.get("trace", F.col("i") + 1).alias("next1"),
-            F.get("trace", F.col("i") + 2).alias("next2"))
-        .select(LOG_COLUMNS))
+            F.get("trace", F.col("i") + 2).alias("next2"), *keep)
+        .select(*LOG_COLUMNS, *keep))
 
 
 def build_traces(log: DataFrame, part_rows: int | None = None) -> DataFrame:
