@@ -96,3 +96,25 @@ def test_small_tables(spark):
     manifest = M.built(df.limit(0), F.col("name"), F.col("id"), one)
     assert manifest.root is None and M.proven(manifest).collect() == []
     assert M.proven(manifest, "id").schema["id"].dataType.simpleString() == "bigint"
+
+
+@pytest.mark.parametrize("levels,cuts", [(2, (0, 1, 4, 17, 60, 60, 200)), (10, (50, 200))])
+def test_appending_is_building(spark, levels, cuts):
+    rng = random.Random(levels)
+    rows = [(i, rng.choice([None, "a", "a", "a", "b", f"late{i // 50}"]), f"text {i}") for i in range(200)]
+    columns = "id long, team string, text string"
+    leaf = M.leaf_digest(F.col("id"), F.col("text"))
+    parts = [rows[a:b] for a, b in zip((0, *cuts), cuts)]
+    manifest, sofar = M.built(spark.createDataFrame(parts[0], columns), F.col("team"), F.col("id"), leaf, levels=levels), parts[0]
+    for part in parts[1:]:
+        before = {(r.team, r.block): r.root for r in manifest.roots.collect()}
+        manifest = M.appended(manifest, spark.createDataFrame(part, columns), F.col("team"), F.col("id"), leaf)
+        sofar = sofar + part
+        assert all({(r.team, r.block): r.root for r in manifest.roots.collect()}[k] == before[k]
+                   for k in {(r.team, r.block) for r in manifest.blocks.where(f"size(nodes) = {1 << levels}").collect()} & before.keys()
+                   if k in before and len([x for x in sofar[:-len(part) or None] if (f"={x[1]}" if x[1] is not None else "") == k[0]]) >= (k[1] + 1) << levels)
+    whole = M.built(spark.createDataFrame(rows, columns), F.col("team"), F.col("id"), leaf, levels=levels)
+    assert manifest.root == whole.root
+    assert sorted(map(tuple, M.proven(manifest).collect())) == sorted(map(tuple, M.proven(whole).collect()))
+    with pytest.raises(Exception, match="does not come after"):
+        M.appended(manifest, spark.createDataFrame([(3, "a", "early")], columns), F.col("team"), F.col("id"), leaf)

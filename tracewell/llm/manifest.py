@@ -148,29 +148,25 @@ class Manifest:
     """Written tables of a tree. ``blocks`` has the leaves, ``tops`` for each block the subroot and the rest of its witnesses."""
 
     blocks: DataFrame  # team, block, nodes: array<struct<at, node, id, other>>
+    roots: DataFrame  # team, block, root
     tops: DataFrame  # team, block, subroot, rest: array<string>
     root: str | None
     levels: int
 
 
-def built(rows: DataFrame, group: Column, order: Column, leaf: Column, other: Column | None = None,
-          levels: int = BLOCK_LEVELS) -> Manifest:
-    """The manifest of ``rows``, whose ``leaf`` digests ascend by ``order`` (null first, then equal ones by digest) in each ``group``.
-
-    A null group is a group of its own and the first; groups ascend by the bytes of their texts. ``other`` is a second digest
-    carried with each leaf and not part of the tree. Repeated rows are leaves of their own; of no rows the root is null.
-    The rows are read once; digests, groups and orders are sorted in ranges and then meet in blocks, so a
-    group of any size is spread over tasks and none holds more than a block. The driver gets the root alone.
-    """
-    team = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))  # in the order of the groups, null first
+def _leaves(rows: DataFrame, group: Column, order: Column, leaf: Column, other: Column | None) -> DataFrame:
+    """``team, id, node, other, at``: the leaves of ``rows`` in order within teams, which are never null and ordered as groups."""
+    team = F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))
     leaves = materialize(rows.select(
         team.alias("team"), order.alias("id"), leaf.alias("node"), (leaf if other is None else other).alias("other")), "leaves")
-    blocks = materialize(_blocks(ranked(leaves, ["team"], ["id", "node", "other"], "at").select(
-        "team", "at", "node", "id", "other"), levels), "blocks")
-    roots = materialize(_roots(blocks, levels, False), "block-roots")
+    return ranked(leaves, ["team"], ["id", "node", "other"], "at")
+
+
+def _finished(blocks: DataFrame, roots: DataFrame, levels: int) -> Manifest:
+    """The manifest over written blocks and their roots, which are appended to streams in turn."""
     if roots.isEmpty():
-        return Manifest(blocks, roots.select("team", "block", F.col("root").alias("subroot"),
-                                             F.array().cast("array<string>").alias("rest")), None, levels)
+        return Manifest(blocks, roots, roots.select("team", "block", F.col("root").alias("subroot"),
+                                                    F.array().cast("array<string>").alias("rest")), None, levels)
     subroots, in_team = _risen(roots.select("team", F.col("block").alias("at"), F.col("root").alias("node")), levels)
     subroots = materialize(subroots, "subroots")
     places = ranked(subroots, [], ["team"], "at").select(F.lit("").alias("all"), "team", "at", F.col("root").alias("node"))
@@ -178,7 +174,51 @@ def built(rows: DataFrame, group: Column, order: Column, leaf: Column, other: Co
     rest = places.join(among.select("at", "witness"), "at").select("team", F.col("node").alias("subroot"), "witness")
     tops = in_team.withColumnRenamed("witness", "own").join(rest, "team").select(
         "team", F.col("at").alias("block"), "subroot", F.concat("own", "witness").alias("rest"))
-    return Manifest(blocks, materialize(tops, "tops"), top.first()["root"], levels)
+    return Manifest(blocks, roots, materialize(tops, "tops"), top.first()["root"], levels)
+
+
+def built(rows: DataFrame, group: Column, order: Column, leaf: Column, other: Column | None = None,
+          levels: int = BLOCK_LEVELS) -> Manifest:
+    """The manifest of ``rows``, whose ``leaf`` digests ascend by ``order`` (null first, then equal ones by digest) in each ``group``.
+
+    A null group is a group of its own and the first; groups ascend by the bytes of their texts. ``other`` is a second digest
+    carried with each leaf and not part of the tree. Repeated rows are leaves of their own; of no rows the root is null.
+    The rows are read once, a very long one is hashed as it is read; digests, groups and orders are sorted in ranges and
+    then meet in blocks, so a group of any size is spread over tasks and none holds more than a block. The driver gets the root alone.
+    """
+    leaves = _leaves(rows, group, order, leaf, other)
+    blocks = materialize(_blocks(leaves.select("team", "at", "node", "id", "other"), levels), "blocks")
+    return _finished(blocks, materialize(_roots(blocks, levels, False), "block-roots"), levels)
+
+
+def appended(manifest: Manifest, rows: DataFrame, group: Column, order: Column, leaf: Column, other: Column | None = None) -> Manifest:
+    """The manifest with further ``rows``, each of which must come after all leaves of its group.
+
+    It is the one that ``built`` would make of all rows. Whole blocks stay as they are and are not hashed again, the open block of each group
+    goes on with its new leaves, and above it only roots of blocks are hashed. Rows that do not come after those
+    of their group are an error; where orders are equal, the new rows follow. New groups find their places among the old ones.
+    """
+    levels = manifest.levels
+    last = materialize(manifest.blocks.groupBy("team").agg(F.max("block").alias("block")).join(
+        manifest.blocks, ["team", "block"]).select(
+        "team", "block", F.size("nodes").alias("n"), F.element_at("nodes", -1)["id"].alias("last"), "nodes"), "last-blocks")
+    ends = last.select("team", (F.shiftleft("block", levels) + F.col("n")).alias("before"), "last")
+    late = F.col("before").isNotNull() & F.col("last").isNotNull() & (F.col("id").isNull() | (F.col("id") < F.col("last")))
+    new = _leaves(rows, group, order, leaf, other).join(ends, "team", "left").select(
+        "team", (F.when(late, F.raise_error(F.lit("a row does not come after the leaves of its group")).cast("long")).otherwise(
+            F.col("at") + F.coalesce("before", F.lit(0)))).alias("at"), "node", "id", "other")
+    new = materialize(new, "new-leaves")
+    open_blocks = last.where(F.col("n") < 1 << levels).select("team", "block", "nodes").join(
+        new.select("team").distinct(), "team", "left_semi")
+    again = open_blocks.select("team", F.inline("nodes")).select(new.columns)
+    touched = materialize(_blocks(again.unionByName(new), levels), "blocks")
+    kept = open_blocks.select("team", "block")
+
+    def whole(table: DataFrame, changed: DataFrame, name: str) -> DataFrame:
+        return materialize(table.join(kept, ["team", "block"], "left_anti").unionByName(changed), name)
+
+    return _finished(whole(manifest.blocks, touched, "blocks"), whole(
+        manifest.roots, _roots(touched, levels, False), "block-roots"), levels)
 
 
 def proven(manifest: Manifest, order: str = "id") -> DataFrame:
