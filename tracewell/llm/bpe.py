@@ -244,7 +244,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     """Adds the token ids of each whole text (``array<int>``; null and empty texts give an empty array).
 
     Replaces a column named as ``ids`` if there is one; all other columns stay as they are. Strings of special
-    tokens inside a text become those tokens. Repeated rows stay repeated. ``decoded`` also adds what decode()
+    tokens inside a text become those tokens. Repeated rows stay repeated, an empty table gives no rows, and a
+    very long text is a slice of its own. ``decoded`` also adds what decode()
     makes of the ids, in the same pass.
     """
     model = shared_model(df.sparkSession, path)

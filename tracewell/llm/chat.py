@@ -50,7 +50,8 @@ def preferences(turns: DataFrame, pair: str = "pair_id", side: str = "side", tur
     none. Masks are the code points [start, end) of a completion that loss is taken on: what turns of the role
     ``trained`` say, with the end marker. Markers inside a text are set apart by blanks and so mean nothing.
 
-    A pair's turns come together in one row, as they must in the result; nothing else is shuffled.
+    A pair's turns come together in one row, as they must in the result; nothing else is shuffled. An empty table gives no
+    rows, and a very long text is rendered as a whole.
     """
     clean = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"<\|(im_start|im_end)\|>", "<| $1 |>")
     row = F.struct(F.col(turn).cast("long").alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"),

@@ -189,6 +189,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, text: str =
     words [begin, end) and code points [from, to); a window is ``window`` consecutive words of an item, or a whole item of fewer words.
     ``items`` are the ids, as strings and sorted, of items with a window in the text. A null or empty text has
     no words; an item without words, or without an id, has no windows; rows with the same item id are one item.
+    An empty table gives no rows, an empty benchmark no spans; texts of any length are streamed through as a whole.
     The benchmark is read in shards of ``shard_words`` words: neither the driver nor a task holds more of it.
     """
     session = docs.sparkSession

@@ -114,7 +114,8 @@ def edited_and_next(docs: DataFrame, doc: str = "doc_id", text: str = "text", co
     Gives ``doc, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next`` for every
     row. The edited text has its last half (rounded down) replaced by as many code points from the beginning
     of the next document, or all if it has fewer. A null text is empty; a row without an id comes first; rows
-    of equal id follow each other in the order of their texts. Other columns play no part.
+    of equal id follow each other in the order of their texts. Other columns play no part. Ids must be numbers, or texts of
+    numbers. A document alone is its own next, an empty table gives no rows, and a very long text is parsed as a whole.
 
     Documents are dealt out by ranges of ids, the first of a range also to the range before it, so that every
     task has the documents that follow its own.

@@ -244,7 +244,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_
     smallest id that links lead to, ``kept`` marks the document of that id. A null or empty text has no
     shingles and is linked with nothing. Rows of equal id are one document for links; each gets its row, and
     all are kept or none. A row without an id is linked with nothing and never kept; its component is null.
-    ``block`` is how many members of a bucket meet in a task at a time; it changes no result.
+    ``block`` is how many members of a bucket meet in a task at a time; it changes no result. Ids must be numbers, or
+    texts of numbers. An empty table gives no rows; the whole of a very long text enters its set.
     """
     signed = materialize(signatures(docs, scheme, doc, text), "signatures")
     classes = materialize(signed.where("n > 0 AND doc IS NOT NULL").groupBy("high", "low").agg(

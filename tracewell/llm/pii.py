@@ -199,6 +199,7 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
     A null text stays null and an empty one empty, with counts of 0. Columns named like the counts are
     replaced, all others stay. The same key gives the same pseudonyms everywhere; whoever has it can undo them.
+    Repeated rows stay repeated, an empty table gives no rows, and a text of any length is searched as a whole, in one pass.
     """
     source = F.col(f"`{text}`")
     # Nothing of any kind is without a digit or an @; most texts are done with that.

@@ -144,7 +144,7 @@ def scored(df: DataFrame, model: Model | None, text: str = "text", score: str =
     """Adds the probability that a text is good, from the whole text alone; it replaces a column of that name.
 
     Null and empty texts are scored as a text that neither dictionary changes. Without a model every score
-    is 0.5. Equal texts get equal scores.
+    is 0.5. Equal texts get equal scores, an empty table gives no rows, and a very long text is compressed as a whole.
     """
     if model is None:
         return df.withColumn(score, F.lit(0.5))
