@@ -165,13 +165,29 @@ def random_footprint(spark, rng, names):
     return rel, spark.createDataFrame([(*k, v) for k, v in rel.items()], "a string, b string, relation string")
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1, 2, 3, 4])
 def test_cliques_on_random_footprints(spark, seed):
-    names = "abcdefg"
+    names = "abcdefgh"
     rel, fp = random_footprint(spark, random.Random(seed), names)
     expected = sorted(brute.maximal(brute.candidates_of(names, rel)))
     assert sorted((tuple(r.in_set), tuple(r.out_set))
                   for r in maximal_places(fp).collect()) == expected
+    related = maximal_places(fp.filter("relation <> '#'")).collect()
+    assert sorted((tuple(r.in_set), tuple(r.out_set)) for r in related) == expected
+
+
+def test_places_of_twenty_thousand_activities(spark):
+    """A hub of 150 choices, each the head of a chain; all 20,000 activities are known by their related cells only."""
+    heads, length = 150, 133
+    name = "concat({}, '-', {})".format
+    arcs = spark.range(heads).selectExpr("id AS h", f"explode(sequence(0, {length - 1})) AS k").selectExpr(
+        f"if(k = 0, 'hub', {name('h', 'k')}) AS a", f"{name('h', 'k + 1')} AS b")
+    cells = arcs.selectExpr("stack(2, a, b, '->', b, a, '<-') AS (a, b, relation)")
+    places = maximal_places(cells).cache()
+    assert places.count() == 1 + heads * (length - 1)
+    (choice,) = places.filter("in_set = array('hub')").collect()
+    assert choice.out_set == sorted(f"{h}-1" for h in range(heads))
+    assert places.filter("in_set <> array('hub')").selectExpr("max(size(in_set) + size(out_set))").first()[0] == 2
 
 
 def test_wide_choices_do_not_explode(spark):

@@ -80,13 +80,18 @@ def profile_footprint(profile: DataFrame) -> DataFrame:
     return _matrix(profile.where("kind = 'pair'"), profile_alphabet(profile))
 
 
-def _matrix(flags: DataFrame, alphabet: DataFrame) -> DataFrame:
+def related_cells(flags: DataFrame) -> DataFrame:
+    """``a, b, relation``: the cells of a footprint but those with ``#``, from follow_flags() or a profile's pairs."""
     # A pair fills two cells of the matrix, a self-loop only one.
-    seen = (
+    return (
         flags.selectExpr("a", "b", "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '->' ELSE '<-' END AS there",
                     "CASE WHEN forward AND backward THEN '||' WHEN forward THEN '<-' ELSE '->' END AS back")
         .selectExpr("stack(2, a, b, there, if(a = b, NULL, b), a, back) AS (a, b, relation)")
         .filter("a IS NOT NULL"))
+
+
+def _matrix(flags: DataFrame, alphabet: DataFrame) -> DataFrame:
+    seen = related_cells(flags)
     names = alphabet.agg(F.array_sort(F.collect_list("activity")).alias("names"))
     cells = alphabet.select(F.col("activity").alias("a"), names.scalar().alias("names")).select(
         "a", F.explode_outer("names").alias("b"))

@@ -8,7 +8,8 @@ reached in exactly one way and needs no deduplication.
 There may be exponentially many such pairs but few maximal ones, which are found without the others:
 activities as inputs and activities as outputs are the nodes of a graph that joins what may be in one
 place, and the maximal places are its maximal cliques with nodes of both kinds (Bron and Kerbosch's
-search with pivots, one level per round, started at every node in name order).
+search with pivots, one level per round, started at nodes in order of falling degree). Only related
+pairs of activities are read; what is unrelated is known by absence, among the members of one search.
 """
 
 from __future__ import annotations
@@ -85,72 +86,181 @@ def place_candidates(fp: DataFrame) -> DataFrame:
 
 
 def maximal_places(fp: DataFrame) -> DataFrame:
-    """``place, in_set, out_set``: the possible places to which no activity can be added."""
-    return with_place_name(_maximal_cliques(_written_sets(fp)))
+    """``place, in_set, out_set``: the possible places to which no activity can be added.
+
+    ``fp`` may leave out its cells with ``#``, as related_cells() does.
+    """
+    return with_place_name(_maximal_cliques(fp.filter("relation <> '#'")))
+
+
+# Sets of members of a search are arrays of 64-bit words; member i is bit i % 64 of word i div 64.
+
+
+def _any(words: str) -> str:
+    return f"exists({words}, p -> p <> 0)"
+
+
+def _wordwise(x: str, y: str, operation: str) -> str:
+    return f"zip_with({x}, {y}, (p, q) -> {operation})"
+
+
+def _size(words: str) -> str:
+    return f"aggregate({words}, 0, (s, p) -> s + bit_count(p))"
 
 
-def _promising(states: DataFrame) -> DataFrame:
-    """States that may lead to a maximal clique with nodes of both kinds."""
+def _indexes(words: str) -> str:
+    return f"""flatten(transform({words}, (p, w) -> if(p = 0, cast(array() AS array<int>),
+        transform(filter(sequence(0, 63), k -> p & shiftleft(1L, k) <> 0), k -> w * 64 + k))))"""
+
+
+def _words(indexes: str, like: str) -> str:
+    return f"""transform({like}, (p, w) -> aggregate(filter({indexes}, i -> i div 64 = w), 0L,
+        (m, i) -> m | shiftleft(1L, i % 64)))"""
+
+
+def _range_word(low: str, high: str, word: str) -> str:
+    """The bits from ``low`` up to ``high`` that are in the word of that number."""
+    def below(x: str) -> str:
+        return f"""CASE WHEN {x} <= 64 * {word} THEN 0L WHEN {x} >= 64 * {word} + 64 THEN -1L
+            ELSE shiftleft(1L, {x} - 64 * {word}) - 1L END"""
+
+    return f"(({below(high)}) & ~({below(low)}))"
+
+
+def _searches(cells: DataFrame) -> DataFrame:
+    """``seed, is_output, i, as_output, activity, open``: one search for each node that may be the first of a place.
+
+    Nodes come in order of falling degree, the degree of an input being the number of its followers and that of an
+    output the number of its preceders. A place whose first node is the seed holds a later neighbour of the other
+    kind, so only neighbours of these can be with it. The lengths of all ways from seeds over later neighbours
+    add up to no more than the arcs times twice the arboricity of the graph of followers.
+    """
+    arcs = cells.filter("relation = '->'").selectExpr(
+        "stack(2, false, a, b, true, b, a) AS (as_output, activity, other)")
+    degrees = arcs.groupBy("as_output", "activity").agg(F.count("*").alias("degree"))
+    arcs = materialize(
+        arcs.join(degrees, ["as_output", "activity"]).join(
+            degrees.selectExpr("NOT as_output AS as_output", "activity AS other", "degree AS other_degree"),
+            ["as_output", "other"])
+        .withColumn("later", F.expr(
+            "struct(other_degree, NOT as_output, other) < struct(degree, as_output, activity)")), "place-arcs")
+    starts = arcs.filter("later")
+    seeds = starts.select("as_output", "activity").distinct()
+    opposite = arcs.join(seeds, ["as_output", "activity"], "left_semi").selectExpr(
+        "as_output AS is_output", "activity AS seed", "NOT as_output AS as_output", "other AS activity",
+        "later AS open")
+    same = (
+        starts.selectExpr("as_output AS is_output", "activity AS seed", "degree", "NOT as_output AS as_output",
+                          "other AS activity")
+        .join(arcs.selectExpr("as_output", "activity", "other AS member", "other_degree"), ["as_output", "activity"])
+        .filter("member <> seed")
+        .selectExpr("is_output", "seed", "is_output AS as_output", "member AS activity",
+                    "struct(other_degree, member) < struct(degree, seed) AS open").distinct()
+        .join(cells.selectExpr("a AS seed", "b AS activity"), ["seed", "activity"], "left_anti"))
     return (
-        states.filter("exists(chosen, v -> v LIKE '<%') OR exists(open, v -> v LIKE '<%')")
-        .filter("exists(chosen, v -> v LIKE '>%') OR exists(open, v -> v LIKE '>%')")
-        .filter("size(open) > 0 OR size(tried) = 0"))
-
-
-def _maximal_cliques(sets: DataFrame) -> DataFrame:
-    # Inputs are tagged <, outputs >. A node no node of the other kind goes with is in no place.
-    def tagged(names: str, tag: str) -> str:
-        return f"transform({names}, v -> concat('{tag}', v))"
-
-    def node(tag: str, same: str, other_tag: str, other: str) -> str:
-        return f"""named_struct('node', concat('{tag}', activity), 'near',
-            concat({tagged(f"array_remove({same}, activity)", tag)}, {tagged(other, other_tag)}))"""
-
-    nodes = materialize(
-        sets.selectExpr(f"""inline(concat(
-            if(size(followers) > 0, array({node("<", "unrelated", ">", "followers")}), array()),
-            if(size(preceders) > 0, array({node(">", "unrelated", "<", "preceders")}), array())))"""),
-        "place-nodes")
-    # chosen: a clique; open: nodes near all of it, to be tried; tried: such nodes tried elsewhere. A clique is
-    # looked for from its first node in name order, so that no state holds more than a node's neighbours.
-    states = nodes.selectExpr(
-        "array(node) AS chosen", "filter(near, v -> v > node) AS open", "filter(near, v -> v < node) AS tried")
-    states = _promising(states).filter("size(open) > 0")
+        opposite.unionByName(same)
+        .groupBy("seed", "is_output").agg(
+            F.array_sort(F.collect_list(F.struct("as_output", "activity", "open"))).alias("members"))
+        .selectExpr("seed", "is_output", "cast(size(members) AS int) AS n",
+                    "cast(size(filter(members, m -> NOT m.as_output)) AS int) AS inputs",
+                    "posexplode(members) AS (i, member)")
+        .selectExpr("seed", "is_output", "n", "inputs", "i", "member.*"))
+
+
+def _neighbours(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """``seed, is_output, i, near``: the members of its search that each member may share a place with."""
+    search = ["seed", "is_output"]
+    # Members of one kind go together unless related, those of both kinds only if one follows the other. So the
+    # related ones are the exceptions: their bits differ from those of a table that knows nothing but the kinds.
+    exceptions = (
+        members.selectExpr(*search, "i", "as_output", "activity AS a").join(cells, "a")
+        .join(members.selectExpr(*search, "i AS j", "as_output AS to_output", "activity AS b"), [*search, "b"])
+        .filter("as_output = to_output OR relation = if(as_output, '<-', '->')")
+        .select(*search, "i", "j")
+        .unionByName(members.selectExpr(*search, "i", "i AS j")))
+    bits = (
+        exceptions.selectExpr(*search, "i", "cast(j div 64 AS int) AS word", "shiftleft(1L, j % 64) AS bit")
+        .groupBy(*search, "i", "word").agg(F.bit_or("bit").alias("bits"))
+        .groupBy(*search, "i").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("differ")))
+    kind = _range_word("if(as_output, inputs, 0)", "if(as_output, n, inputs)", "w")
+    return members.join(bits, [*search, "i"]).selectExpr(*search, "i", f"""transform(
+        sequence(0, cast((n - 1) div 64 AS int)), w -> {kind} ^ coalesce(differ[w], 0L)) AS near""")
+
+
+def _maximal_cliques(related: DataFrame) -> DataFrame:
+    loops = related.filter("a = b").select("a").distinct()
+    cells = materialize(
+        related.join(loops, "a", "left_anti").join(loops.withColumnRenamed("a", "b"), "b", "left_anti")
+        .select("a", "b", "relation"), "related-cells")
+    members = materialize(_searches(cells), "place-members")
+    near = materialize(_neighbours(members, cells), "place-neighbours")
+    search = ["seed", "is_output", "n", "inputs"]
+    # chosen: a clique; open: members near all of it, to be tried; tried: members tried elsewhere, near all of it
+    # except perhaps the last ones chosen.
+    state = [*search, "chosen", "open", "tried"]
+    states = (
+        members.withColumn("bit", F.expr("shiftleft(1L, i % 64)"))
+        .groupBy(*search, F.expr("i div 64").alias("word")).agg(
+            F.bit_or(F.expr("if(open, bit, 0L)")).alias("open"), F.bit_or(F.expr("if(open, 0L, bit)")).alias("tried"))
+        .groupBy(*search).agg(F.array_sort(F.collect_list(F.struct("word", "open", "tried"))).alias("words"))
+        .selectExpr(*search, "transform(words, w -> 0L) AS chosen", "words.open AS open", "words.tried AS tried"))
+    other_kind = _range_word("if(is_output, 0, inputs)", "if(is_output, inputs, n)", "w")
+    promising = f"exists(transform(chosen, (p, w) -> (p | open[w]) & {other_kind}), p -> p <> 0)"
     found = []
     while not states.isEmpty():
+        rows = (
+            states.withColumn("i", F.expr(f"explode({_indexes(_wordwise('open', 'tried', 'p | q'))})"))
+            .join(near, ["seed", "is_output", "i"])
+            .withColumn("is_open", F.expr("open[cast(i div 64 AS int)] & shiftleft(1L, i % 64) <> 0"))
+            .withColumn("reach", F.expr(_size(_wordwise("open", "near", "p & q"))))
+            .filter(f"is_open OR NOT {_any(_wordwise('chosen', 'near', 'p & ~q'))}"))
         seen = (
-            states.selectExpr("*", "explode(array_union(open, tried)) AS node").join(nodes, "node")
-            .withColumn("reach", F.expr("size(array_intersect(open, near))"))
-            .groupBy("chosen", "open", "tried").agg(
-                # Open nodes near all other open ones are in every clique from here.
-                F.expr("collect_list(struct(node, near)) FILTER ("
-                       "WHERE reach = size(open) - 1 AND array_contains(open, node)) AS sure"),
+            states.join(rows.groupBy(*state).agg(
+                # A member tried elsewhere and near all open ones is near every clique from here.
+                F.expr(f"bool_or(NOT is_open AND reach = {_size('open')}) AS dead"),
+                # Open members near all other open ones are in every clique from here.
+                F.expr(f"collect_list(i) FILTER (WHERE is_open AND reach = {_size('open')} - 1) AS sure"),
+                F.expr("collect_list(i) FILTER (WHERE NOT is_open) AS still_tried"),
                 # Some member of a maximal clique is the pivot or not near it.
-                F.expr("max_by(near, reach) AS pivot")))
-        taken = seen.filter("size(sure) > 0").selectExpr(
-            "array_union(chosen, sure.node) AS chosen", "array_except(open, sure.node) AS open",
-            "aggregate(sure.near, tried, (t, n) -> array_intersect(t, n)) AS tried")
+                F.expr("max_by(near, reach) AS pivot")), state, "left")
+            .filter("NOT coalesce(dead, false)"))
+        ended = f"NOT {_any('open')}"
+        done = seen.filter(ended).selectExpr(
+            *search, "chosen", "open", "transform(tried, p -> 0L) AS tried")
+        taken = seen.filter(f"NOT ({ended}) AND size(sure) > 0").withColumn("more", F.expr(_words("sure", "open"))).selectExpr(
+            *search, f"{_wordwise('chosen', 'more', 'p | q')} AS chosen", f"{_wordwise('open', 'more', 'p & ~q')} AS open",
+            f"{_words('still_tried', 'open')} AS tried")
         branches = (
-            seen.filter("size(sure) = 0")
-            .selectExpr("chosen", "open", "tried", "array_except(open, pivot) AS branch")
-            .selectExpr("chosen", "open", "tried", "branch", "posexplode(branch) AS (i, node)")
-            .withColumn("earlier", F.expr("slice(branch, 1, i)"))
-            .join(nodes, "node")
+            seen.filter(f"NOT ({ended}) AND size(sure) = 0")
+            .withColumn("tried", F.expr(_words("still_tried", "open")))
+            .withColumn("branch", F.expr(_indexes(_wordwise("open", "pivot", "p & ~q"))))
+            .selectExpr(*state, "branch", "posexplode(branch) AS (k, i)")
+            .withColumn("earlier", F.expr(_words("slice(branch, 1, k)", "open")))
+            .join(near, ["seed", "is_output", "i"])
             .selectExpr(
-                "array_append(chosen, node) AS chosen",
-                "array_intersect(array_except(open, earlier), near) AS open",
-                "array_intersect(array_union(tried, earlier), near) AS tried"))
-        after = materialize(_promising(taken.unionByName(branches)).hint("rebalance"), "cliques")
-        found.append(after.filter("size(open) = 0"))
-        states = after.filter("size(open) > 0")
-
-    def untagged(tag: str) -> str:
-        return f"array_sort(transform(filter(chosen, v -> v LIKE '{tag}%'), v -> substring(v, 2)))"
+                *search, f"{_wordwise('chosen', _words('array(i)', 'open'), 'p | q')} AS chosen",
+                f"zip_with({_wordwise('open', 'earlier', 'p & ~q')}, near, (p, q) -> p & q) AS open",
+                f"zip_with({_wordwise('tried', 'earlier', 'p | q')}, near, (p, q) -> p & q) AS tried")
+            .filter(f"{_any('open')} OR NOT {_any('tried')}"))
+        after = materialize(
+            done.unionByName(taken).unionByName(branches).filter(promising).hint("rebalance"), "cliques")
+        ended = f"NOT {_any('open')} AND NOT {_any('tried')}"
+        found.append(after.filter(ended))
+        states = after.filter(f"NOT ({ended})")
 
     if not found:
-        return states.selectExpr("chosen AS in_set", "chosen AS out_set")
-    return reduce(DataFrame.unionByName, found).selectExpr(
-        f"{untagged('<')} AS in_set", f"{untagged('>')} AS out_set")
+        return members.selectExpr("array(seed) AS in_set", "array(seed) AS out_set").limit(0)
+    cliques = reduce(DataFrame.unionByName, found)
+    chosen = cliques.withColumn("i", F.expr(f"explode({_indexes('chosen')})")).join(
+        members.select("seed", "is_output", "i", "as_output", "activity"), ["seed", "is_output", "i"])
+
+    def side(is_output: str, of_kind: str) -> str:
+        return f"""array_sort(concat(if({is_output}, array(seed), cast(array() AS array<string>)),
+            collect_list(activity) FILTER (WHERE {of_kind})))"""
+
+    return chosen.groupBy("seed", "is_output", "chosen").agg(
+        F.expr(f"{side('NOT is_output', 'NOT as_output')} AS in_set"),
+        F.expr(f"{side('is_output', 'as_output')} AS out_set")).select("in_set", "out_set")
 
 
 def with_place_name(places: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Whole jobs: from a log to a causal net, or to a workflow net and its fitness.
 
-Each stage boundary writes its result, which is as large as the alphabet squared and not as
-the log, so that the stages after it neither read the log again nor guess at sizes.
+Each stage boundary writes its result, which is as large as the related pairs of activities and not
+as the log, so that the stages after it neither read the log again nor guess at sizes.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.storage import materialize
 from tracewell.operators.bindings import binding_counts
 from tracewell.operators.counts import dependency_counts
-from tracewell.operators.footprint import log_profile, profile_alphabet, profile_footprint
+from tracewell.operators.footprint import log_profile, profile_alphabet, related_cells
 from tracewell.operators.graph import DEFAULTS, Thresholds, dependency_graph
 from tracewell.operators.measures import directed_measures
 from tracewell.operators.net import pre_post_places, with_source_sink
@@ -47,7 +47,7 @@ def places_of(profile: DataFrame) -> DataFrame:
     def ends(kind: str) -> DataFrame:
         return profile.where(F.col("kind") == kind).select(F.col("a").alias("activity"))
 
-    places = maximal_places(materialize(profile_footprint(profile), "footprint"))
+    places = maximal_places(related_cells(profile.where("kind = 'pair'")))
     return materialize(with_source_sink(places, ends("start"), ends("end")), "net-places")
 
 
