@@ -156,6 +156,41 @@ def test_places_and_replay(spark, seed, block_rows, max_markings, max_bits, on_d
     assert any(expected.values()) and not all(expected.values())
 
 
+@pytest.mark.parametrize("on_disabled,max_bits", [("skip", 63), ("reject", 63), ("reject", 3)])
+def test_a_thousand_blocks_of_a_net_with_too_many_markings(spark, on_disabled, max_bits):
+    """Two loops side by side, in a case of 1,000 blocks and ones that go wrong at some place or end early."""
+    rng = random.Random(5)
+    net = [("s", ["In"], ["p", "q"]), ("a", ["p"], ["r"]), ("b", ["r"], ["p"]), ("c", ["q"], ["t"]),
+           ("d", ["t"], ["q"]), ("z", ["p", "q"], ["Out"])]
+    pre_post = spark.createDataFrame(net, "activity string, pre array<string>, post array<string>")
+    rules = {a: (set(pre), set(post)) for a, pre, post in net}
+    middle = [e for _ in range(500) for e in rng.choice([["a", "c", "d", "b"], ["c", "a", "b", "d"]])]
+    traces = {"good": ["s", *middle, "z"]}
+    traces["lacks"] = ["s", *middle[:901], *middle[903:], "z"]
+    traces["unknown"] = ["s", *middle[:700], "?", *middle[700:], "z"]
+    traces["early"] = ["s", *middle[:400], "z", *middle[400:], "z"]
+    traces["open"] = ["s", *middle]
+    traces["no start"] = [*middle, "z"]
+    traces["repeats"] = ["s", *[e for e in middle[:600] for _ in range(2)], "z"]
+    log = as_log(spark, traces, 2, "table")
+    got = {r.case_id: r.accepted for r in trace_conformance(log, pre_post, on_disabled, 1, max_bits).collect()}
+    assert got == {c: brute.accepts(t, rules, on_disabled) for c, t in traces.items()}
+    assert got["good"] and not got["unknown"] and got["repeats"] == (on_disabled == "skip")
+
+
+def test_blocks_that_a_token_waits_through(spark):
+    """What the first block decides and the last one asks for can't be guessed by the blocks between them."""
+    net = [("s", ["In"], ["p", "q"]), ("a", ["p"], ["r"]), ("b", ["p"], ["o"]), ("x", ["q"], ["t"]), ("y", ["t"], ["q"]),
+           ("z", ["r", "q"], ["Out"])]
+    pre_post = spark.createDataFrame(net, "activity string, pre array<string>, post array<string>")
+    rules = {a: (set(pre), set(post)) for a, pre, post in net}
+    traces = {f"{e}{n}": ["s", e, *["x", "y"] * n, "z"] for e in "ab" for n in (1, 16)}
+    log = as_log(spark, traces, 2, "table")
+    got = {r.case_id: r.accepted for r in trace_conformance(log, pre_post, "skip", 1).collect()}
+    assert got == {c: brute.accepts(t, rules, "skip") for c, t in traces.items()}
+    assert got["a16"] and not got["b16"]
+
+
 def random_footprint(spark, rng, names):
     rel = {}
     for i, a in enumerate(names):

@@ -5,13 +5,20 @@ those tokens and puts one in each output place; an event that lacks a token does
 case is rejected by an unknown activity or by any event after the sink got its token, and
 accepted if it ends with exactly one token, in the sink.
 
-A whole case is replayed by one fold over its events. For a case cut into blocks, the net is
-first unfolded into its reachable markings; each block, on its own, becomes a table that says
-which marking it turns every marking into, and these tables are chained in a tree.
+A whole case is replayed by one fold over its events. Of a case cut into blocks:
+
+- where an event that lacks a token rejects its case, a block asks for some tokens, takes some and
+  puts some, and so do several blocks in a row;
+- where it is skipped, the net is first unfolded into its reachable markings; each block, on its
+  own, becomes a table that says which marking it turns every marking into, and these tables are
+  chained in a tree;
+- where there are too many markings, all blocks are replayed at once from guesses, then from the
+  markings that guesses led to at the end of the block before, until the case can be followed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +29,7 @@ from tracewell.functions.storage import append, materialize, new_path
 from tracewell.operators.net import SINK, SOURCE
 from tracewell.operators.variants import variants
 
-# Beyond so many reachable markings long cases are replayed block after block instead.
+# Beyond so many reachable markings long cases are replayed from the markings that arrive at their blocks.
 MAX_MARKINGS = 4096
 # Blocks chained per step of the tree.
 FAN_IN = 1024
@@ -51,9 +58,11 @@ def trace_conformance(log: DataFrame, pre_post: DataFrame, on_disabled: str = "s
         .selectExpr("case_id", f"{rules.after(rules.start)} AS state"))
     if not (has_long if has_long is not None else not long.isEmpty()):
         return whole
+    if on_disabled == "reject":
+        return whole.unionByName(_replay_by_tokens(long, rules))
     steps = _unfold(pre_post, on_disabled, max_markings)
     if steps is None:
-        return whole.unionByName(_replay_in_turn(long, rules))
+        return whole.unionByName(_replay_from_arrivals(long, rules))
     return whole.unionByName(_replay_in_parallel(long, steps))
 
 
@@ -66,12 +75,21 @@ def log_fitness(conformance: DataFrame) -> DataFrame:
 @dataclass(frozen=True)
 class _Rules:
     """How a marking changes: ``net`` has the input and output places of each activity as
-    ``pre`` and ``post``, the texts are SQL. A rejected case has the state ``dead``."""
+    ``pre`` and ``post``, the texts are SQL. A rejected case has the state ``dead``. ``full`` is the
+    marking of all places but the source and the sink; ``plus`` and ``minus`` are operations on sets of
+    places, ``meets`` and ``within`` say whether one shares a place with, or lies in, another."""
 
     net: DataFrame
     start: str
     final: str
     dead: str
+    full: Column
+    nothing: str
+    plus: Callable[[str, str], str]
+    minus: Callable[[str, str], str]
+    meets: Callable[[str, str], str]
+    within: Callable[[str, str], str]
+    sink: str
     is_closed: str
     is_enabled: str
     fire: str
@@ -101,6 +119,12 @@ def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
         dead = "cast(NULL AS array<string>)"
         return _Rules(
             pre_post, start=f"array('{SOURCE}')", final=f"array('{SINK}')", dead=dead,
+            full=pre_post.selectExpr("explode(array_union(pre, post)) AS place")
+            .filter(~F.col("place").isin(SOURCE, SINK))
+            .agg(F.array_sort(F.collect_set("place"))).scalar(),
+            nothing="cast(array() AS array<string>)", plus="array_union({}, {})".format,
+            minus="array_except({}, {})".format, meets="arrays_overlap({}, {})".format,
+            within="(size(array_except({}, {})) = 0)".format, sink=f"array('{SINK}')",
             is_closed=f"s IS NULL OR array_contains(s, '{SINK}')",
             is_enabled="size(array_except(e.pre, s)) = 0",
             fire="array_union(array_except(s, e.pre), e.post)",
@@ -110,21 +134,84 @@ def _rules(pre_post: DataFrame, on_disabled: str, max_bits: int) -> _Rules:
     net = pre_post.selectExpr(
         "activity", f"{to_bits_sql(places, 'pre')} AS pre", f"{to_bits_sql(places, 'post')} AS post")
     return _Rules(
-        net, start="1L", final="2L", dead="-1L", is_closed="s < 0 OR s & 2L = 2L",
+        net, start="1L", final="2L", dead="-1L", full=F.lit((1 << len(places)) - 4).cast("long"),
+        nothing="0L", plus="({} | {})".format, minus="({} & ~{})".format, meets="({} & {} <> 0)".format,
+        within="({0} & {1} = {0})".format, sink="2L", is_closed="s < 0 OR s & 2L = 2L",
         is_enabled="s & e.pre = e.pre", fire="(s & ~e.pre) | e.post", stuck="s" if on_disabled == "skip" else "-1L")
 
 
-def _replay_in_turn(long: DataFrame, rules: _Rules) -> DataFrame:
-    """One round per block: exact for any net, with as many rounds as the longest case has blocks."""
-    blocks = materialize(rules.block_events(long), "block-events", partition_by="block")
-    last = blocks.agg(F.max("block")).first()[0]
-    states = blocks.filter("block = 0").selectExpr("case_id", f"{rules.start} AS state")
-    for block in range(last + 1):
+def _replay_by_tokens(long: DataFrame, rules: _Rules) -> DataFrame:
+    """For cases that end with the first event that lacks a token; any net, one row per block after one fold over it.
+
+    Events all of which fire ask for the tokens that none of them has put before, clear all they take, and put what
+    none of them takes after. They cannot all fire if one lacks a token that an earlier one took, or follows the sink's.
+    """
+    plus, minus = rules.plus, rules.minus
+    asked = minus("e.pre", "x.put")
+    effect = f"""aggregate(events, named_struct('need', {rules.nothing}, 'clear', {rules.nothing}, 'put', {rules.nothing}),
+        (x, e) -> CASE
+            WHEN x IS NULL OR e.pre IS NULL OR {rules.meets("x.put", rules.sink)} OR {rules.meets(asked, "x.clear")}
+            THEN NULL
+            ELSE named_struct('need', {plus("x.need", asked)}, 'clear', {plus("x.clear", "e.pre")},
+                'put', {plus(minus("x.put", "e.pre"), "e.post")}) END)"""
+    blocks = rules.block_events(long).selectExpr("case_id", "block", f"{effect} AS effect")
+    after = f"""aggregate(blocks, {rules.start}, (s, b) -> CASE
+        WHEN {rules.is_closed} OR b.effect IS NULL OR NOT {rules.within("b.effect.need", "s")} THEN {rules.dead}
+        ELSE {plus(minus("s", "b.effect.clear"), "b.effect.put")} END)"""
+    return rules.verdict(
+        blocks.groupBy("case_id").agg(F.expr("sort_array(collect_list(struct(block, effect))) AS blocks"))
+        .selectExpr("case_id", f"{after} AS state"))
+
+
+def _replay_from_arrivals(long: DataFrame, rules: _Rules) -> DataFrame:
+    """For nets with any number of markings.
+
+    All blocks are replayed from the marking of all places and from the source alone; in each round, then, from the
+    markings that the block before is known to end with. After r rounds a block has seen the r blocks before it, and
+    most blocks end alike from most markings: so a case can soon be followed from its start over what is known. A
+    round adds no more than two markings a block. Cases that a logarithm of the number of blocks and two rounds leave
+    open are replayed on block after block, so that the work stays that of a few replays for each doubling.
+    """
+    blocks = materialize(rules.block_events(long), "block-events")
+    last = int(blocks.agg(F.max("block")).first()[0])
+    in_order = (lambda state: state) if rules.dead == "-1L" else "array_sort({})".format
+    alive = f"NOT (state <=> {rules.dead})"
+
+    def replayed(arrivals: DataFrame) -> DataFrame:
+        return arrivals.selectExpr("case_id", "block", "arrives", f"{in_order(rules.after('arrives'))} AS state")
+
+    guesses = F.array(F.expr(rules.start), rules.full)
+    known = materialize(replayed(blocks.withColumn("arrives", F.explode(
+        F.when(F.col("block") == 0, F.slice(guesses, 1, 1)).otherwise(F.array_distinct(guesses))))), "arrivals")
+    # Entries come by block; one of the next block that starts where the case stands takes it on.
+    follow = f"""aggregate(entries, named_struct('next', 0L, 'state', {rules.start}), (x, e) ->
+        if(e.block = x.next AND e.arrives = x.state, named_struct('next', x.next + 1, 'state', e.state), x))"""
+    for left in reversed(range(last.bit_length() + 3)):
+        cases = materialize(
+            known.groupBy("case_id").agg(
+                F.max("block").alias("last"), F.expr("sort_array(collect_list(struct(block, arrives, state))) AS entries"))
+            .selectExpr("case_id", "last", f"inline(array({follow}))")
+            .selectExpr("case_id", "next", "state", f"next <= last AND {alive} AS open"), "followed")
+        unfinished = cases.filter("open")
+        if not left or unfinished.isEmpty():
+            break
+        keys = ["case_id", "block", "arrives"]
+        new = (
+            known.filter(alive).join(unfinished.select("case_id"), "case_id", "left_semi")
+            .selectExpr("case_id", "block + 1 AS block", "state AS arrives").distinct().join(known, keys, "left_anti"))
+        known = known.unionByName(materialize(replayed(blocks.join(new, ["case_id", "block"])), "arrivals"))
+
+    first = unfinished.agg(F.min("next")).first()[0]
+    if first is None:
+        return rules.verdict(cases)
+    states, rest = unfinished, materialize(
+        blocks.join(unfinished.select("case_id", "next"), "case_id").filter("block >= next").select("case_id", "block", "events"),
+        "open-blocks", partition_by="block")
+    for block in range(first, last + 1):
         states = materialize(
-            states.join(blocks.filter(F.col("block") == block), "case_id", "left")
-            .selectExpr("case_id", f"if(events IS NULL, state, {rules.after('state')}) AS state"),
-            "replay-states")
-    return rules.verdict(states)
+            states.join(rest.filter(F.col("block") == block).select("case_id", "events"), "case_id", "left")
+            .selectExpr("case_id", f"if(events IS NULL, state, {rules.after('state')}) AS state"), "replay-states")
+    return rules.verdict(cases.filter("NOT open").select("case_id", "state").unionByName(states.select("case_id", "state")))
 
 
 def _fire(marking: Column, pre: Column, post: Column) -> Column:
