@@ -97,3 +97,87 @@ def test_edges(spark):
     assert pii.pseudonymised(df.limit(0), KEY).collect() == []
     long = "word " * 200_000 + "1.2.3.4"
     assert replaced(spark, [long]) == ["word " * 200_000 + rows[4].text]
+
+
+def characters(kind, text):
+    """The rounds of letters and digits in plain Python."""
+    def shifted(t, other, step):
+        hashed = hashlib.sha256(f"{KEY}|{kind}|{step}|{other.lower()}".encode()).digest()
+        out = ""
+        for i, c in enumerate(t):
+            by = hashed[i % 32]
+            for first, n in (("a", 26), ("A", 26), ("0", 10)):
+                if ord(first) <= ord(c) < ord(first) + n:
+                    c = chr(ord(first) + (ord(c) - ord(first) + by) % n)
+                    break
+            out += c
+        return out
+
+    a, b = text[:len(text) // 2], text[len(text) // 2:]
+    for r in range(1, pii.ROUNDS + 1):
+        b = shifted(b, a, r)
+        a = shifted(a, b, -r)
+    return a + b
+
+
+def test_more_dates(spark):
+    texts = ["2024-01-15T10:30:00Z 2024-01-15", "1/15/1987 01/15/1987 15/1/1987 1987-01-15", "2/30/1999 13/13/2000",
+             "1/2/2003/4", "2024-01-15Txt"]
+    got = replaced(spark, texts)
+    stamp, day = got[0].split()
+    assert stamp == f"{day}T10:30:00Z" and day != "2024-01-15"
+    short, full, other, iso = got[1].split()
+    y, m, d = iso.split("-")
+    assert full == f"{m}/{d}/{y}" and short == f"{int(m)}/{int(d)}/{y}" and other == f"{int(d)}/{int(m)}/{y}"
+    assert iso != "1987-01-15" and got[2:] == texts[2:]
+
+
+def test_more_phones(spark):
+    texts = ["555 123 4567, 555-123-4567, +15551234567", "+44 20 7946 0958 or +442079460958 or +44-20-7946-0958",
+             "+49 (30) 1234567", "+353 1 234 5678", "+12", "1+442079460958", "+44 20 7946 0958 2024-01-15"]
+    got = replaced(spark, texts)
+    new = digits("phone", "5551234567")
+    assert got[0] == f"{new[:3]} {new[3:6]} {new[6:]}, {new[:3]}-{new[3:6]}-{new[6:]}, +1{new}"
+    new = digits("phone", "2079460958")
+    spaced = f"+44 {new[:2]} {new[2:6]} {new[6:]}"
+    assert got[1] == f"{spaced} or +44{new} or {spaced.replace(' ', '-')}"
+    new = digits("phone", "301234567")
+    assert got[2] == f"+49 ({new[:2]}) {new[2:]}"
+    new = digits("phone", "12345678")
+    assert got[3] == f"+353 {new[0]} {new[1:4]} {new[4:]}"
+    assert got[4:6] == texts[4:6]
+    assert got[6].startswith("+44 ") and "20 7946 0958" not in got[6]
+
+
+def test_ipv6(spark):
+    texts = ["2001:db8::8a2e:370:7334, 2001:0DB8:0:0:0:8A2E:0370:7334", "std::move a::b 12:30:45 ::1",
+             "1:2:3:4:5:6:7::8", "fe80::1%eth0", "00:1b:44:11:3a:b7", "1:2:3:4:5:6:7:8::9"]
+    got = replaced(spark, texts)
+    a, b = feistel("ipv6", 0x0db80000000000, 0x008a2e03707334, (1 << 56, 1 << 56))
+    whole = f"2001{a:014x}{b:014x}"
+    new = ":".join(f"{int(whole[i:i + 4], 16):x}" for i in range(0, 32, 4))
+    assert got[0] == f"{new}, {new}" and got[1] == texts[1]
+    assert got[3].startswith("fe80:") and got[3].endswith("%eth0") and got[3] != texts[3]
+    assert got[4:] == texts[4:]
+
+
+def test_iban(spark):
+    texts = ["DE89 3704 0044 0532 0130 00, DE89370400440532013000.", "GB29NWBK60161331926819", "DE88370400440532013000",
+             "FR14 2004 1010 0505 0001 3M02 606 now"]
+    got = replaced(spark, texts)
+
+    def value(text):
+        return int("".join(str(int(c, 36)) for c in text))
+
+    new = characters("iban", "370400440532013000")
+    new = f"DE{98 - value(new + 'DE00') % 97:02}{new}"
+    assert value(new[4:] + new[:4]) % 97 == 1
+    assert got[0] == f"{' '.join(new[i:i + 4] for i in range(0, 22, 4))}, {new}."
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", got[1]) and value(got[1][4:] + got[1][:4]) % 97 == 1 and got[1] != texts[1]
+    assert got[2] == texts[2] and got[3][:2] == "FR" and got[3].endswith(" now") and got[3][4:] != texts[3][4:]
+
+
+def test_mail_rounds_and_punycode(spark):
+    got = replaced(spark, ["to ann@mail.example.com", "to bob@xn--bcher-kva.xn--p1ai, now"])
+    assert got[0] == f"to {characters('mail', 'ann@mail.example')}.com"
+    assert got[1] == f"to {characters('mail', 'bob@xn--bcher-kva')}.xn--p1ai, now"
