@@ -76,6 +76,15 @@ def test_repeated_rows_and_missing_ids(spark):
         key=repr)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_text_ids_and_small_parts(spark, monkeypatch, seed):
+    monkeypatch.setattr(minhash, "PART", 2)
+    rows = [(f"d{d}", t) for d, t in corpus(seed)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id string, text string"), minhash.Scheme(3, 85), block=3)
+    assert got.schema["component_id"].dataType.simpleString() == "string"
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 3, 85)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(empty).collect() == []

@@ -16,12 +16,12 @@ def _least(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     """Ties each node's larger neighbours to the smallest node around it."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return both.where("b > a").join(_least(both), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    return both.where("b > a").join(materialize(_least(both), "least"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Ties each node and its smaller neighbours to the smallest of them; ``a > b`` in all edges."""
-    least = _least(edges)
+    least = materialize(_least(edges), "least")
     moved = edges.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a > b")
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
@@ -35,7 +35,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
     Links may repeat, point either way or lead from a node to itself; a link with a null end counts for
     nothing. No links give no rows. Each step is a pre-aggregated minimum and a join, whatever the size of a
-    component, and is written to the shared folder; two steps in turn are repeated until they change nothing.
+    component. The minima are written, so that adaptive execution can split their join at a node of many links, and
+    so is what two steps in turn give; these are repeated until they change nothing.
     """
     edges = links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where(
         F.col(a).isNotNull() & F.col(b).isNotNull() & F.col("a").isNotNull() & (F.col("a") > F.col("b")))

@@ -4,8 +4,9 @@ Texts with equal shingle sets form a class, represented by its smallest document
 buckets of their bands. Each bucket's smallest member, its hub, is compared with all others; after the links
 confirmed so have been joined to components, members that a bucket still holds of different components are
 compared with each other in blocks, inside tasks. So no two similar texts of a bucket stay in different
-components, however large it is. Signatures must agree before texts are compared; all links are confirmed on
-full sets.
+components, however large it is. Signatures must agree before texts are compared, and only texts that have such
+a partner move; all links are confirmed on full sets. The documents of a hub are cut into numbered parts, each of
+which gets the hub's signature and text, so that a hub of any size is spread over tasks.
 """
 
 from __future__ import annotations
@@ -17,12 +18,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tracewell.functions.storage import materialize
+from tracewell.llm.common import ranked
 from tracewell.llm.components import components
 
+#: So many documents of a hub are compared with it in one part.
+PART = 500
+
 #: Odd multipliers of the shingle hash; any would do.
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -107,6 +113,19 @@ def band_keys(least: np.ndarray, rows: int) -> np.ndarray:
     return _mixed(total).view(np.int64)
 
 
+def id_type(docs: DataFrame, doc: str) -> str:
+    """``long`` for whole numbers, else ``string``."""
+    return "long" if isinstance(docs.select(f"`{doc}`").schema[0].dataType, IntegralType) else "string"
+
+
+def _id(docs: DataFrame, doc: str) -> Column:
+    return F.col(f"`{doc}`").cast(id_type(docs, doc))
+
+
+def _links(found: list, kind: str) -> pd.DataFrame:
+    return pd.DataFrame(found, columns=["hub", "doc"], dtype=np.int64 if kind == "long" else object)
+
+
 def signatures(docs: DataFrame, scheme: Scheme, doc: str, text: str) -> DataFrame:
     """``doc, n, high, low, bands, signature``: set size, digest of the set, band keys and the low byte of each minimum."""
 
@@ -129,37 +148,40 @@ def signatures(docs: DataFrame, scheme: Scheme, doc: str, text: str) -> DataFram
                     "low": digests[:, 1].view(np.int64), "bands": list(band_keys(least, scheme.rows)),
                     "signature": [x.tobytes() for x in least.astype(np.uint8)]})
 
-    return docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).mapInPandas(
-        sign, "doc long, n long, high long, low long, bands array<long>, signature binary")
+    return docs.select(_id(docs, doc).alias("doc"), F.col(f"`{text}`").alias("text")).mapInPandas(
+        sign, f"doc {id_type(docs, doc)}, n long, high long, low long, bands array<long>, signature binary")
 
 
 def _similar(pairs: DataFrame, signed: DataFrame, scheme: Scheme) -> DataFrame:
-    """The pairs ``hub, doc`` whose signatures agree in enough places."""
-    joined = (pairs.join(signed.select(F.col("doc"), F.col("signature").alias("x")), "doc")
-              .join(signed.select(F.col("doc").alias("hub"), F.col("signature").alias("y")), "hub"))
+    """The pairs ``hub, doc, part`` whose signatures agree in enough places; ``part`` numbers a hub's documents by PART.
+
+    ``pairs`` are distinct and written.
+    """
+    parts = ranked(pairs, ["hub"], ["doc"], "rank").select(
+        "hub", "doc", F.floor(F.col("rank") / PART).alias("part"))
+    heads = parts.select("hub", "part").distinct().join(
+        signed.select(F.col("doc").alias("hub"), F.col("signature").alias("y")), "hub")
+    joined = parts.join(signed.select("doc", F.col("signature").alias("x")), "doc").join(heads, ["hub", "part"])
 
     def agree(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(len(batch), -1) for c in "xy")
-                yield batch.loc[(x == y).sum(axis=1) >= scheme.agreeing, ["hub", "doc"]]
+                yield batch.loc[(x == y).sum(axis=1) >= scheme.agreeing, ["hub", "doc", "part"]]
 
-    return joined.mapInPandas(agree, "hub long, doc long")
+    kind = signed.schema["doc"].dataType.simpleString()
+    return joined.mapInPandas(agree, f"hub {kind}, doc {kind}, part long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, doc: str, text: str) -> DataFrame:
-    """The pairs ``hub, doc`` whose full sets are similar enough.
+    """The pairs ``hub, doc`` of ``hub, doc, part`` whose full sets are similar enough.
 
-    Documents are shuffled once to their pairs; the texts of pairs then meet by hub, a large group being cut
-    into parts that each get the hub's text.
+    Documents are shuffled once to their pairs; the texts of pairs then meet by part, each with the hub's text.
     """
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 500).alias("parts"))
-    ends = pairs.join(parts, "hub").select(
-        "hub", F.pmod(F.xxhash64("doc"), "parts").alias("part"), F.col("doc").alias("id"), F.lit(1).alias("role")
-    ).unionByName(parts.select(
-        "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"),
-        F.col("hub").alias("id"), F.lit(0).alias("role")))
-    texts = docs.select(F.col(f"`{doc}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    kind = id_type(docs, doc)
+    ends = pairs.select("hub", "part", F.col("doc").alias("id"), F.lit(1).alias("role")).unionByName(
+        pairs.select("hub", "part").distinct().select("hub", "part", F.col("hub").alias("id"), F.lit(0).alias("role")))
+    texts = docs.select(_id(docs, doc).alias("id"), F.col(f"`{text}`").alias("text"))
     # The same join at every size: the pairs grow with the documents.
     met = texts.join(ends.hint("merge"), "id").repartition("hub", "part").sortWithinPartitions("hub", "part", "role", "id")
 
@@ -173,18 +195,52 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, scheme: Scheme, doc: str, text
                     continue
                 if alike(of, shingle_set(whole, scheme.words), scheme.percent):
                     found.append((at, own))
-            yield pd.DataFrame(found, columns=["hub", "doc"], dtype=np.int64)
+            yield _links(found, kind)
+
+    return met.mapInPandas(compare, f"hub {kind}, doc {kind}")
+
 
-    return met.mapInPandas(compare, "hub long, doc long")
+def _grouped(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The rows of each group, whole; those of equal keys come one after the other."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(batch):
+            continue
+        at = batch[keys].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield batch.iloc[a:b]
+        held = batch.iloc[starts[-1]:]
+    if held is not None:
+        yield held
+
+
+def _agreeing(group: pd.DataFrame, root: np.ndarray, scheme: Scheme) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each member of two blocks the later ones of other components whose signatures agree, and how far.
+
+    ``root`` are the members' components, which the caller may join in between. Members of the same block are compared
+    where it meets itself only.
+    """
+    signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
+    own = group["own"].to_numpy()
+    apart = group["low"].iat[0] != group["high"].iat[0]
+    for i in range(len(group) - 1):
+        at = np.flatnonzero((root[i + 1:] != root[i]) & (not apart or own[i + 1:] != own[i])) + i + 1
+        agree = (signs[at] == signs[i]).sum(axis=1)
+        enough = agree >= scheme.agreeing
+        yield i, at[enough], agree[enough]
 
 
 def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: DataFrame, scheme: Scheme, block: int,
                doc: str, text: str) -> DataFrame:
     """Links ``hub, doc`` that join components: between members of a bucket, but its hub, of different ones.
 
-    Members meet in blocks. Those whose signatures agree are compared on their full sets, the likeliest first,
-    unless links found in the same two blocks have joined their components by then.
+    Members meet in blocks, first with their signatures alone. Those with a partner there whose signature agrees
+    meet again with their texts, and are compared on their full sets, the likeliest first, unless links found in the
+    same two blocks have joined their components by then.
     """
+    kind = id_type(docs, doc)
     members = shared.where("doc != hub").join(joined.withColumnRenamed("node", "doc"), "doc", "left").select(
         "key", "doc", F.coalesce("component", "doc").alias("component"))
     buckets = members.groupBy("key").agg(
@@ -195,45 +251,41 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: Da
         "key", F.ceil(F.col("n") / block).alias("blocks"))
     left = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks"))
     left = materialize(left, "left-over").join(signed.select("doc", "signature"), "doc")
-    texts = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
+    meeting = ["key", "low", "high"]
+
+    def met(members: DataFrame) -> DataFrame:
+        return members.repartition(*meeting).sortWithinPartitions(*meeting, "own", "doc")
+
     # Each member goes to every pair of blocks that its own block is part of.
-    spread = texts.join(left.hint("merge"), "doc").withColumn(
-        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+    spread = met(left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
         "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc",
-        "component", "signature", "text").repartition("key", "low", "high").sortWithinPartitions(
-        "key", "low", "high", "own")
-
-    def linked(group: pd.DataFrame) -> pd.DataFrame:
-        signs = np.frombuffer(b"".join(group["signature"]), np.uint8).reshape(len(group), -1)
-        own, root, ids = (group[c].to_numpy().copy() for c in ("own", "component", "doc"))
-        sets = [shingle_set(t, scheme.words) for t in group["text"]]
-        apart = group["low"].iat[0] != group["high"].iat[0]
-        found = []
-        for i in range(len(group) - 1):
-            at = np.flatnonzero((root[i + 1:] != root[i]) & (not apart or own[i + 1:] != own[i])) + i + 1
-            agree = (signs[at] == signs[i]).sum(axis=1)
-            order = np.argsort(-agree, kind="stable")
-            for j in at[order[:(agree >= scheme.agreeing).sum()]]:
-                if root[j] != root[i] and alike(sets[i], sets[j], scheme.percent):
-                    found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
-                    root[root == root[j]] = root[i]
-        return pd.DataFrame(found, columns=["hub", "doc"], dtype=np.int64)
+        F.col("component").alias("root"), "signature"))
+    columns = f"key long, low long, high long, own long, doc {kind}, root {kind}, signature binary"
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in _grouped(batches, meeting):
+            likely = np.zeros(len(group), bool)
+            for i, at, _ in _agreeing(group, group["root"].to_numpy(), scheme):
+                likely[at] = True
+                likely[i] |= len(at) > 0
+            yield group[likely]
+
+    likely = materialize(spread.mapInPandas(partners, columns), "partners")
+    texts = docs.select(_id(docs, doc).alias("doc"), F.col(f"`{text}`").alias("text"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            at = batch[["key", "low", "high"]].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]).any(axis=1)])
-            for a, b in zip(starts[:-1], starts[1:], strict=True):
-                yield linked(batch.iloc[a:b])
-            held = batch.iloc[starts[-1]:]
-        if held is not None:
-            yield linked(held)
+        for group in _grouped(batches, meeting):
+            ids, root = group["doc"].to_numpy(), group["root"].to_numpy().copy()
+            sets = [shingle_set(t, scheme.words) for t in group["text"]]
+            found = []
+            for i, at, agree in _agreeing(group, root, scheme):
+                for j in at[np.argsort(-agree, kind="stable")]:
+                    if root[j] != root[i] and alike(sets[i], sets[j], scheme.percent):
+                        found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                        root[root == root[j]] = root[i]
+            yield _links(found, kind)
 
-    return spread.mapInPandas(compare, "hub long, doc long").distinct()
+    return met(texts.join(likely.hint("merge"), "doc")).mapInPandas(compare, f"hub {kind}, doc {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_id", text: str = "text",
@@ -244,8 +296,9 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_
     smallest id that links lead to, ``kept`` marks the document of that id. A null or empty text has no
     shingles and is linked with nothing. Rows of equal id are one document for links; each gets its row, and
     all are kept or none. A row without an id is linked with nothing and never kept; its component is null.
-    ``block`` is how many members of a bucket meet in a task at a time; it changes no result. Ids must be numbers, or
-    texts of numbers. An empty table gives no rows; the whole of a very long text enters its set.
+    ``block`` is how many members of a bucket meet in a task at a time; it changes no result. Ids of whole numbers come
+    back as longs and are ordered as numbers, all others as texts. An empty table gives no rows; the whole of a very
+    long text enters its set.
     """
     signed = materialize(signatures(docs, scheme, doc, text), "signatures")
     classes = materialize(signed.where("n > 0 AND doc IS NOT NULL").groupBy("high", "low").agg(
@@ -254,8 +307,11 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_
     first = materialize(first.select("doc", "bands", "signature"), "representatives")
     buckets = first.select(F.explode("bands").alias("key"), "doc")
     hubs = buckets.groupBy("key").agg(F.min("doc").alias("hub"), F.max("doc").alias("most")).where("hub < most")
-    shared = materialize(buckets.join(hubs.select("key", "hub"), "key"), "buckets")
-    pairs = _similar(shared.where("doc != hub").select("hub", "doc").distinct(), first, scheme)
+    # Written, so that both sides of the join are shuffles of its own, which adaptive execution splits where a key is hot.
+    hubs = materialize(hubs.select("key", "hub"), "hubs")
+    shared = materialize(buckets.join(hubs, "key"), "buckets")
+    met = materialize(shared.where("doc != hub").select("hub", "doc").distinct(), "met")
+    pairs = _similar(met, first, scheme)
     links = materialize(_confirmed(materialize(pairs, "pairs"), docs, scheme, doc, text), "confirmed")
     joined = materialize(components(links, "hub", "doc"), "components")
     more = _left_over(shared, joined, first, docs, scheme, block, doc, text)
