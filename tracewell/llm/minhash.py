@@ -250,17 +250,17 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: Da
     keys = buckets.where("least < most").groupBy("n", "who", "which").agg(F.min("key").alias("key")).select(
         "key", F.ceil(F.col("n") / block).alias("blocks"))
     left = members.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks"))
-    left = materialize(left, "left-over").join(signed.select("doc", "signature"), "doc")
+    left = materialize(left.join(signed.select("doc", "signature"), "doc").select(
+        "key", "doc", "own", "blocks", F.col("component").alias("root"), "signature"), "left-over")
     meeting = ["key", "low", "high"]
 
     def met(members: DataFrame) -> DataFrame:
         return members.repartition(*meeting).sortWithinPartitions(*meeting, "own", "doc")
 
-    # Each member goes to every pair of blocks that its own block is part of.
+    # Each member's signature goes to every pair of blocks that its own block is part of.
     spread = met(left.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc",
-        F.col("component").alias("root"), "signature"))
-    columns = f"key long, low long, high long, own long, doc {kind}, root {kind}, signature binary"
+        "key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "doc", "root",
+        "signature"))
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(batches, meeting):
@@ -268,10 +268,14 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: Da
             for i, at, _ in _agreeing(group, group["root"].to_numpy(), scheme):
                 likely[at] = True
                 likely[i] |= len(at) > 0
-            yield group[likely]
+            yield group.loc[likely, [*meeting, "doc"]]
 
-    likely = materialize(spread.mapInPandas(partners, columns), "partners")
+    likely = spread.mapInPandas(partners, f"key long, low long, high long, doc {kind}")
+    # A text is joined once a bucket, and goes only to the pairs of blocks that hold a partner.
+    places = materialize(likely.groupBy("key", "doc").agg(F.collect_list(F.struct("low", "high")).alias("at")), "partners")
     texts = docs.select(_id(docs, doc).alias("doc"), F.col(f"`{text}`").alias("text"))
+    wanted = texts.join(left.join(places, ["key", "doc"]).hint("merge"), "doc").withColumn("at", F.explode("at")).select(
+        "key", "at.low", "at.high", "own", "doc", "root", "signature", "text")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in _grouped(batches, meeting):
@@ -285,7 +289,7 @@ def _left_over(shared: DataFrame, joined: DataFrame, signed: DataFrame, docs: Da
                         root[root == root[j]] = root[i]
             yield _links(found, kind)
 
-    return met(texts.join(likely.hint("merge"), "doc")).mapInPandas(compare, f"hub {kind}, doc {kind}").distinct()
+    return met(wanted).mapInPandas(compare, f"hub {kind}, doc {kind}").distinct()
 
 
 def near_duplicates(docs: DataFrame, scheme: Scheme = Scheme(), doc: str = "doc_id", text: str = "text",
