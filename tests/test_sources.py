@@ -1,8 +1,10 @@
 """Text and XES logs, sinks, and unusual input."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracewell.functions.storage import materialize, shared_dir
+from tracewell.operators.bindings import output_bindings
 from tracewell.operators.counts import activity_trace_count, dependency_counts
 from tracewell.operators.footprint import footprint, footprint_text
 from tracewell.operators.profile import word_count
@@ -170,3 +172,35 @@ def test_xes_cases_stay_the_same_however_files_are_split(spark, tmp_path):
         (f"{f}.xes#{i}", f"{f}{i}") for f, n in (("a", 300), ("b", 1), ("c", 120)) for i in range(n)}
     log = read_xes_log(spark, str(tmp_path), with_name=True)
     assert {(r.case_id, r.name) for r in log.collect()} == {(c, n) for c, n, t in found[0] if t}
+
+
+def small_tasks(spark, monkeypatch, cases):
+    """A log by case of 49 events a case on average, where a task is to get 1,000, and the log as read."""
+    monkeypatch.setattr("tracewell.sources.logs.TASK_EVENTS", 1000)
+    given = spark.createDataFrame(
+        [(i, ["a", "b"] * (i % 50)) for i in range(cases)] + [(-1, None), (-2, [])], "c long, t array<string>")
+    return traces_to_events(given, "c", "t", by_case=True), traces_to_events(given, "c", "t")
+
+
+def most_in_a_task(df):
+    return df.groupBy(F.spark_partition_id().alias("task")).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("cases", [400, 1600])
+def test_by_case_tasks_sized_by_events(spark, monkeypatch, cases):
+    """However few bytes the arrays take and however many partitions a shuffle has."""
+    log, as_read = small_tasks(spark, monkeypatch, cases)
+    assert most_in_a_task(log) < 3000
+    tasks = log.select("case_id", F.spark_partition_id().alias("task")).distinct()
+    assert tasks.groupBy("case_id").count().filter("count > 1").isEmpty()
+    assert sorted(map(tuple, log.collect()), key=repr) == sorted(map(tuple, as_read.collect()), key=repr)
+    nothing = spark.createDataFrame([], "c long, t array<string>")
+    assert traces_to_events(nothing, "c", "t", by_case=True).collect() == []
+
+
+def test_bindings_stay_in_small_tasks(spark, monkeypatch):
+    log, as_read = small_tasks(spark, monkeypatch, 800)
+    graph = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    links = output_bindings(log, graph)
+    assert most_in_a_task(links) < 3000
+    assert sorted(map(tuple, links.collect())) == sorted(map(tuple, output_bindings(as_read, graph).collect()))

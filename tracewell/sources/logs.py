@@ -18,6 +18,9 @@ from tracewell.functions.storage import materialize
 
 ColumnOrName = Column | str
 
+# Events that a task gets on average of traces spread by case.
+TASK_EVENTS = 1 << 18
+
 
 def _column(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -129,11 +132,15 @@ def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
     """Event log of a table that holds one array of activity names per row.
 
     ``keep`` names columns of the table, other than those of a log, that each event gets too. Needs no shuffle. With ``by_case`` the arrays are hash-partitioned by case before they are
-    spread into events, so that operators that group by case need not shuffle the events.
+    spread into events, so that operators that group by case need not shuffle the events. The bytes of the arrays
+    say little about the rows they become, so one pass over the table counts the events first and there are
+    as many partitions as these need.
     """
     traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"), *keep)
     if by_case:
-        traces = traces.repartition("case_id")
+        events = df.agg(F.sum(F.greatest(F.size(_column(trace)), F.lit(0)))).first()[0] or 0
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        traces = traces.repartition(max(cores, -(-events // TASK_EVENTS)), "case_id")
     return (
         traces.select("case_id", F.posexplode("trace").alias("i", "activity"), "trace", *keep)
         .select(
