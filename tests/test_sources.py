@@ -8,6 +8,7 @@ from tracewell.operators.bindings import output_bindings
 from tracewell.operators.counts import activity_trace_count, dependency_counts
 from tracewell.operators.footprint import footprint, footprint_text
 from tracewell.operators.profile import word_count
+from tracewell.operators.variants import trace_digests
 from tracewell.plans.discovery import causal_net
 from tracewell.sources.logs import build_traces, log_from_table, read_tsv_log, read_xes_log, read_xes_traces, traces_to_events
 from tracewell.sources.sinks import write_bindings, write_counts, write_footprint_text
@@ -204,3 +205,11 @@ def test_bindings_stay_in_small_tasks(spark, monkeypatch):
     links = output_bindings(log, graph)
     assert most_in_a_task(links) < 3000
     assert sorted(map(tuple, links.collect())) == sorted(map(tuple, output_bindings(as_read, graph).collect()))
+
+
+def test_digests_come_from_small_tasks(spark, monkeypatch):
+    log, as_read = small_tasks(spark, monkeypatch, 800)
+    monkeypatch.setattr("tracewell.operators.variants.materialize", lambda df, name: df)
+    digests = trace_digests(log)
+    assert most_in_a_task(digests) < 100
+    assert sorted(map(tuple, digests.collect())) == sorted(map(tuple, trace_digests(as_read).collect()))
