@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from tracewell.functions.storage import materialize, shared_dir
 from tracewell.operators.bindings import output_bindings
 from tracewell.operators.counts import activity_trace_count, dependency_counts
-from tracewell.operators.footprint import footprint, footprint_text
+from tracewell.operators.footprint import footprint, footprint_text, log_profile, oriented_pairs
 from tracewell.operators.profile import word_count
 from tracewell.operators.variants import trace_digests
 from tracewell.plans.discovery import causal_net
@@ -213,3 +213,11 @@ def test_digests_come_from_small_tasks(spark, monkeypatch):
     digests = trace_digests(log)
     assert most_in_a_task(digests) < 100
     assert sorted(map(tuple, digests.collect())) == sorted(map(tuple, trace_digests(as_read).collect()))
+
+
+def test_profile_starts_in_small_tasks(spark, monkeypatch):
+    """Pairs of each case are found in the tasks of the log; the profile itself is the same as without them."""
+    log, as_read = small_tasks(spark, monkeypatch, 800)
+    sightings = log.selectExpr("case_id", "pos", "activity AS a", "pos > 1 AS fwd")
+    assert most_in_a_task(oriented_pairs(sightings.withColumn("b", F.col("pos")), ["case_id", "a", "b"], "last_wins")) < 3000
+    assert sorted(map(tuple, log_profile(log).collect())) == sorted(map(tuple, log_profile(as_read).collect()))
