@@ -221,3 +221,19 @@ def test_profile_starts_in_small_tasks(spark, monkeypatch):
     sightings = log.selectExpr("case_id", "pos", "activity AS a", "pos > 1 AS fwd")
     assert most_in_a_task(oriented_pairs(sightings.withColumn("b", F.col("pos")), ["case_id", "a", "b"], "last_wins")) < 3000
     assert sorted(map(tuple, log_profile(log).collect())) == sorted(map(tuple, log_profile(as_read).collect()))
+
+
+def test_tables_read_by_few_tasks_are_sent_on_by_many(spark, monkeypatch):
+    """Beyond DIRECT_TASKS a task holds what it sends, so those that read the table must not be the ones to send it there."""
+    _, as_read = small_tasks(spark, monkeypatch, 800)
+    rows = sorted(map(tuple, as_read.collect()), key=repr)
+    dealt = []
+    for most in (200, 7):
+        monkeypatch.setattr("tracewell.sources.logs.DIRECT_TASKS", most)
+        log, _ = small_tasks(spark, monkeypatch, 800)
+        dealt.append(log._jdf.queryExecution().executedPlan().toString().count("REPARTITION_BY_NUM"))
+        assert sorted(map(tuple, log.collect()), key=repr) == rows
+        assert most_in_a_task(log) < 3000
+        tasks = log.select("case_id", F.spark_partition_id().alias("task")).distinct()
+        assert tasks.groupBy("case_id").count().filter("count > 1").isEmpty()
+    assert dealt == [1, 2]

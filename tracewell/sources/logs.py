@@ -20,6 +20,8 @@ ColumnOrName = Column | str
 
 # Events that a task gets on average of traces spread by case.
 TASK_EVENTS = 1 << 18
+# A task that sends rows to at most so many others writes each as it comes; with more of them it holds all its rows until the end.
+DIRECT_TASKS = 200
 
 
 def _column(c: ColumnOrName) -> Column:
@@ -134,13 +136,18 @@ def traces_to_events(df: DataFrame, case: ColumnOrName, trace: ColumnOrName,
     ``keep`` names columns of the table, other than those of a log, that each event gets too. Needs no shuffle. With ``by_case`` the arrays are hash-partitioned by case before they are
     spread into events, so that operators that group by case need not shuffle the events. The bytes of the arrays
     say little about the rows they become, so one pass over the table counts the events first and there are
-    as many partitions as these need.
+    as many partitions as these need. Where that is more than ``DIRECT_TASKS``, the arrays go to so many partitions
+    before, for the tasks that send them on hold their rows meanwhile, and those that read the table may get any number.
     """
-    traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"), *keep)
+    tasks = 0
     if by_case:
         events = df.agg(F.sum(F.greatest(F.size(_column(trace)), F.lit(0)))).first()[0] or 0
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        traces = traces.repartition(max(cores, -(-events // TASK_EVENTS)), "case_id")
+        tasks = max(df.sparkSession.sparkContext.defaultParallelism, -(-events // TASK_EVENTS))
+        if tasks > DIRECT_TASKS:
+            df = df.repartition(DIRECT_TASKS, _column(case))
+    traces = df.select(_required(_column(case), "case").alias("case_id"), _column(trace).alias("trace"), *keep)
+    if tasks:
+        traces = traces.repartition(tasks, "case_id")
     return (
         traces.select("case_id", F.posexplode("trace").alias("i", "activity"), "trace", *keep)
         .select(
