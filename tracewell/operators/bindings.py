@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.functions.bits import MAX_BITS, bit_sql, few_names, from_bits_sql
+from tracewell.functions.storage import materialize
 from tracewell.operators.graph import adjacency
 from tracewell.operators.variants import variants
 
@@ -70,7 +71,9 @@ def _links(log: DataFrame, graph: DataFrame, sides: list[str], max_bits: int) ->
             'side', '{side}', 'direction', {direction}, 'neighbour', {code},
             'waits', array_contains({near}, s), 'arrives', s = activity))"""
 
-    roles = adjacency(graph).selectExpr("activity", f"concat({', '.join(map(in_line, sides))}) AS roles")
+    # Written, so that its size is known from the start: with a late choice the events might move by activity first.
+    roles = materialize(
+        adjacency(graph).selectExpr("activity", f"concat({', '.join(map(in_line, sides))}) AS roles"), "roles")
     lines = (
         log.select("case_id", "block", "pos", "activity").join(roles, "activity")
         .selectExpr("case_id", "block", "pos", "activity", "inline(roles)")
